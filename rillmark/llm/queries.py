@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rillmark.llm.common import table
 
@@ -30,6 +29,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "component_id")
 
 
+def op5_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.telephony import describe_bytes, store_bytes
+
+    return describe_bytes(store_bytes(table(spark, sf_dir, "documents")))
+
+
+def op6_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.huffman import roundtrip
+
+    return roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
