@@ -41,6 +41,12 @@ def op6_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.katz import score
+
+    return score(table(spark, sf_dir, "documents"), 7, 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
