@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillmark.llm.common import table
 
@@ -23,6 +24,12 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=False)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.packing import best_fit, word_tokens
+
+    return best_fit(table(spark, sf_dir, "documents"), word_tokens(F.col("text")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.urlfilter import RULES, judge
 
@@ -41,6 +48,25 @@ def op6_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), 3, 1)
+
+
+def op9_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.permindex import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.katz import score
 
