@@ -129,7 +129,7 @@ def best_fit(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPA
         if held:
             yield out()
 
-    spread = dealt.repartition(max(1, min(groups, max(200, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))), "g")
+    spread = dealt.repartition(max(1, min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "g")
     spread = spread.sortWithinPartitions("g", F.desc("length"), "doc_id", "start")
     return spread.mapInArrow(run, "doc_id long, piece int, start long, length long, bin_id long, bin_offset long, capacity long")
 

@@ -117,7 +117,7 @@ def search(
     asked = posts.where("q").select("id", F.col("look").alias("place"), "v", F.explode("looks").alias("f"))
     asked = asked.select("f", upto(of(0)).alias("vb"), own_block(of(1)).alias("qb"), F.lit(1).alias("side"), "id", "place", "v")
     cells = sum(a * b for a, b in blocks.values())
-    parts = max(1, min(4 * cells, max(200, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    parts = max(1, min(cells, max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     dealt = filed.union(asked).repartition(parts, "f", "vb", "qb").sortWithinPartitions("f", "vb", "qb", "side", "id")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

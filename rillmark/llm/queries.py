@@ -36,6 +36,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "component_id")
 
 
+def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.telephony import describe_bytes, store_bytes
 
