@@ -352,7 +352,7 @@ class _Crash(RuntimeError):
 def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream goes through a topic log; its first batch crashes after the write, and the restart replays it."""
     root = new_path(spark, "stream")
-    log = root.removeprefix("file://").removeprefix("file:") + "/topic"
+    log = topic.local(root) + "/topic"
     topic.produce(wire.encode(canonical(spark, sf_dir)), log)
     ledger, sink = FileLedger(spark, f"{root}/ledger"), TokenSink(spark, f"{root}/tables")
     left = ["after write"]

@@ -2,6 +2,8 @@
 
 Layout: <root>/partition=<p>/<first offset, 20 digits>.jsonl, a message a line. A segment is written beside
 its place and renamed, so that readers see whole segments. Offsets count lines from 0 in each partition.
+
+root is a path that the driver and all executors have mounted: readers run in Python, without Hadoop's file systems.
 """
 
 from __future__ import annotations
@@ -18,6 +20,14 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from rillmark.model import BATCH_SIZE, TOPIC
 
 
+def local(path: str) -> str:
+    """A file: url as a path; other file systems are refused."""
+    plain = path.removeprefix("file://").removeprefix("file:")
+    if not plain.startswith("/"):
+        raise ValueError(f"a topic log needs a mounted folder, not {path}")
+    return plain
+
+
 def _segments(root: str, partition: int) -> list[tuple[int, str]]:
     folder = f"{root}/partition={partition}"
     if not os.path.isdir(folder):
@@ -114,7 +124,7 @@ class _Reader(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict) -> None:
-        self.root = options["path"]
+        self.root = local(options["path"])
         self.most = int(options.get("maxmessages", BATCH_SIZE))
         self.start = {int(k): int(v) for k, v in json.loads(options.get("startoffsets", "{}")).items()}
         self.at: dict[int, int] | None = None
