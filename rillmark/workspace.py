@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
         key = spark.sparkContext.applicationId
         if key not in _local:
             _local[key] = tempfile.mkdtemp(prefix="rillmark-")
+            atexit.register(shutil.rmtree, _local[key], ignore_errors=True)
         base = "file://" + _local[key]
     return base.rstrip("/")
 
