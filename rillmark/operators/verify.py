@@ -19,10 +19,16 @@ def invariants(transactions: DataFrame, reports: DataFrame, expected: DataFrame)
     """
     raw = transactions.agg(F.count_distinct("transaction_id").alias("distinct_ids"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("amount"), F.lit(0)).alias("raw_sum"))
     rep = reports.agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("report_sum"))
-    one = raw.crossJoin(rep).crossJoin(expected)  # single rows
-    pairs = [("loss", "distinct_ids", "row_count"), ("double_write", "rows", "row_count"), ("raw_sum", "raw_sum", "total"), ("double_count", "report_sum", "total")]
-    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.col(a).cast("bigint").alias("actual"), F.col(e).cast("bigint").alias("expected")) for n, a, e in pairs])
-    return one.select(F.inline(rows)).withColumn("ok", F.col("actual") == F.col("expected"))
+    none = F.lit(None).cast("bigint")
+
+    def sided(df: DataFrame, actual: bool, **columns: str) -> DataFrame:
+        rows = [F.struct(F.lit(n).alias("check"), (F.col(c).cast("bigint") if actual else none).alias("actual"), (none if actual else F.col(c).cast("bigint")).alias("expected")) for n, c in columns.items()]
+        return df.select(F.inline(F.array(*rows)))
+
+    # three rows' facts meet by the check's name
+    facts = sided(raw, True, loss="distinct_ids", double_write="rows", raw_sum="raw_sum").union(sided(rep, True, double_count="report_sum"))
+    facts = facts.union(sided(expected, False, loss="row_count", double_write="row_count", raw_sum="total", double_count="total"))
+    return facts.groupBy("check").agg(F.max("actual").alias("actual"), F.max("expected").alias("expected")).withColumn("ok", F.col("actual") == F.col("expected"))
 
 
 def compare(produced: DataFrame, stored: DataFrame) -> DataFrame:
