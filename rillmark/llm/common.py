@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from rillmark.workspace import new_path
+
 #: Texts that go to a Python worker at once. A single longer text makes a batch of its own.
 ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 4096
@@ -19,8 +20,6 @@ ARROW_BATCH_ROWS = 4096
 #: ASCII white space that separates words, as bytes.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
-_dirs: dict[str, list[str]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,20 +31,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        key = spark.sparkContext.applicationId
-        if key not in _dirs:
-            _dirs[key] = [tempfile.mkdtemp(prefix="rillmark-")]
-        base = "file://" + _dirs[key][0]
-    return base.rstrip("/")
-
-
 def work_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/rillmark-{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     atexit.register(_remove, spark, path)
     return path
 
@@ -66,6 +54,24 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, what: str, column: str) -> DataFrame:
+    """As stored(), bucketed by a column into as many buckets as a shuffle has partitions: joins on that column
+    take these rows from where they are, and only the other side is moved. The table goes when the driver ends."""
+    spark = df.sparkSession
+    name = f"rillmark_{what}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", work_path(spark, what)).option("compression", "uncompressed").saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session has ended, and its catalogue with it
+        return
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = ARROW_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about limit bytes of a text column, one row at least."""
     n = batch.num_rows
@@ -114,24 +120,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return; no word goes over the end of a text. The hash is a polynomial over random odd values of
     the bytes, mixed: equal words have equal hashes, and different ones differ but for chance (2**-60).
     """
+    hashes, starts, _, _ = word_spans(data, offsets)
+    return hashes, starts
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), with each word's first byte and the byte after its last."""
     n = len(offsets) - 1
+    none = np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return none
     low = _LOWER[data]
     space = _SPACE[low]
+    edge = offsets[:-1][np.diff(offsets) > 0]
     start = ~space
     start[1:] &= space[:-1]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    start[first] = ~space[first]
+    start[edge] = ~space[edge]
     at = np.flatnonzero(start)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return none
+    last = ~space
+    last[:-1] &= space[1:]
+    final = np.append(edge[1:], len(data)) - 1
+    last[final] = ~space[final]
+    end = np.flatnonzero(last) + 1
     span = np.diff(np.append(at, len(data)))
     power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(int(span.max()), _BASE))))
     inside = np.arange(at[0], len(data)) - np.repeat(at, span)
     value = _HASH_OF_BYTE[low[at[0] :]]
     value *= power[inside]
-    return mixed(np.add.reduceat(value, at - at[0])), np.searchsorted(at, offsets)
+    return mixed(np.add.reduceat(value, at - at[0])), np.searchsorted(at, offsets), at, end
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import flat, mixed, pieces, small_batches, stored, words
+from rillmark.llm.common import flat, mixed, pieces, small_batches, stored, stored_by, words
 
 #: Text bytes of a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Counts above this are not discounted.
 UNDISCOUNTED = 5
 SALTS = 16
@@ -54,7 +54,8 @@ def is_held_out(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
 
 
 def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Documents as stored blocks of packed tokens; each text ends with END. Null texts are empty."""
+    """Documents as blocks of packed tokens, stored in buckets by block, so that what is joined to them moves and they
+    don't; each text ends with END. Null texts are empty."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
             yield out()
 
     made = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, _BLOCK)
-    return stored(made, "tokens", "uncompressed")
+    return stored_by(made, "tokens", "block")
 
 
 class _Block:
@@ -97,16 +98,17 @@ class _Block:
         self.held_out = np.frombuffer(row["held_out"], bool)
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.tokens = _unpress(row["tokens"], "<u4").astype(np.int64)
+        self.tokens = _unpress(row["tokens"], "<u4").astype(np.int32)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.trains = np.repeat(~self.held_out, self.sizes)
         # the history of a text's first token is the start, a place after the vocabulary
-        self.history = np.concatenate(([0], self.tokens[:-1]))
+        self.history = np.concatenate((np.zeros(1, np.int32), self.tokens[:-1]))
         self.history[self.first] = len(self.vocabulary)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (history, token) codes of all documents, each token's place among them, and training counts."""
-        code = self.history * (len(self.vocabulary) + 1) + self.tokens
+        code = self.history.astype(np.int64) * (len(self.vocabulary) + 1)
+        code += self.tokens
         distinct, at = np.unique(code, return_inverse=True)
         return distinct, at, np.bincount(at[self.trains], minlength=len(distinct))
 
