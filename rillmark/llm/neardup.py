@@ -33,7 +33,7 @@ HASHES, ROWS, BITS = 128, 4, 4
 #: A pair of similarity 0.75 is estimated lower than 0.75 - MARGIN with probability 4e-6.
 MARGIN = 0.18
 #: Members of a block of a bucket; documents and shingles of a block of a family.
-BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 512, 400_000
+BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 256, 400_000
 
 _rng = np.random.default_rng(8128)
 _A = _rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -142,34 +142,35 @@ def _cells(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def spread_links(n: int, side: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect what is linked, by search: each member meets those that nothing has reached yet.
+def spread_links(ids: np.ndarray, side: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that connect what is linked, by search: each member meets those that nothing has reached yet.
 
     linked(k, others) says which others are linked with member k. With two sides, only members of
-    different sides meet.
+    different sides meet. Each member has one edge at most, to the least id of those it is connected with.
     """
     two = bool(side.any()) and not bool(side.all())
-    left = np.ones(n, bool)
-    edges = []
-    for first in range(n):
+    left = np.ones(len(ids), bool)
+    low, member = [], []
+    for first in range(len(ids)):
         if not left[first]:
             continue
         left[first] = False
-        queue = [first]
-        while queue:
-            k = queue.pop()
+        reached, done = [first], 0
+        while done < len(reached):
+            k = reached[done]
+            done += 1
             others = np.flatnonzero(left & (side != side[k])) if two else np.flatnonzero(left)
             if not len(others):
                 continue
-            for o in others[linked(k, others)].tolist():
-                left[o] = False
-                queue.append(o)
-                edges.append((k, o))
-    return edges
-
-
-def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            more = others[linked(k, others)]
+            left[more] = False
+            reached += more.tolist()
+        if len(reached) > 1:
+            own = np.unique(ids[reached])
+            low.append(np.full(len(own) - 1, own[0]))
+            member.append(own[1:])
+    if low:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low), pa.int64()), pa.array(np.concatenate(member), pa.int64())], names=["a", "b"])
 
 
 def candidate_edges(heads: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -178,7 +179,9 @@ def candidate_edges(heads: DataFrame, margin: float = MARGIN) -> DataFrame:
     heads has doc_id, signature and bands, a row for each class.
     """
     rows = heads.select("doc_id", F.explode("bands").alias("key"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, as are the other counts that meet their rows again: Spark splits a hot key's rows only where
+    # both sides of a join are plain exchanges
+    several = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = rows.join(several, "key").join(heads.select("doc_id", "signature"), "doc_id")
     lowest = PERCENT / 100 - margin
 
@@ -188,10 +191,7 @@ def candidate_edges(heads: DataFrame, margin: float = MARGIN) -> DataFrame:
             if len(ids) < 2:
                 continue
             signature = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint64).reshape(len(ids), -1)
-            found = spread_links(len(ids), cell["side"].to_numpy(), lambda k, o: similarity(signature[k], signature[o]) >= lowest)  # noqa: B023
-            if found:
-                a, b = np.array(found).T
-                yield _edge_batch(ids[a], ids[b])
+            yield from spread_links(ids, cell["side"].to_numpy(), lambda k, o: similarity(signature[k], signature[o]) >= lowest)  # noqa: B023
 
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     return in_cells(members, "key", blocks, F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), run, "a long, b long").distinct()
@@ -199,8 +199,8 @@ def candidate_edges(heads: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 def confirmed_edges(docs: DataFrame, heads: DataFrame, family: DataFrame, id_column: str = "doc_id", text_column: str = "text", margin: float = MARGIN) -> DataFrame:
     """Edges (a, b) that connect all documents of a family (node, component) that are linked on their full sets."""
-    sized = family.join(heads.select(F.col("doc_id").alias("node"), "signature", "n_shingles"), "node")
-    groups = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sized = stored(family.join(heads.select(F.col("doc_id").alias("node"), "signature", "n_shingles"), "node"), "families")
+    groups = stored(sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")), "families")
     blocks = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("s") / FAMILY_SHINGLES)).cast("int")
     members = sized.join(groups, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "signature", blocks.alias("blocks"))
     texts = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -241,10 +241,7 @@ def confirmed_edges(docs: DataFrame, heads: DataFrame, family: DataFrame, id_col
                 out[at] = 100 * both >= PERCENT * (size[k] + size[o] - both)
                 return out
 
-            found = spread_links(len(ids), cell["side"].to_numpy(), linked)
-            if found:
-                a, b = np.array(found).T
-                yield _edge_batch(ids[a], ids[b])
+            yield from spread_links(ids, cell["side"].to_numpy(), linked)
 
     placed = texts.join(members, "doc_id")
     return in_cells(placed, "family", F.col("blocks"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), run, "a long, b long").distinct()
@@ -261,6 +258,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     marks = stored(sketches(docs, id_column, text_column), "sketches")
     classes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("sequence").agg(F.min("doc_id").alias("head"))
+    classes = stored(classes, "classes")
     member = marks.select("doc_id", "n_shingles", "sequence").join(classes, "sequence", "left")
     first = marks.join(classes, "sequence").where("doc_id = head").select("doc_id", "n_shingles", "signature", "bands")
     heads = stored(first.dropDuplicates(["doc_id", "signature"]), "heads")
