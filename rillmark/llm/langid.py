@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.common import flat, pieces, small_batches
@@ -115,13 +115,20 @@ def training_sample(docs: DataFrame, modulus: int, remainder: int, each: int = T
     ids = F.col("doc_id").cast("string")
     able = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(ids.cast("binary")) % modulus != remainder) & F.octet_length("text").between(1, most_bytes)
-    ).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = able.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= each)
-    chosen = first.select("doc_id", "lang", "h").collect()
-    if len({r.lang for r in chosen}) > MOST_LANGUAGES:
+    ).select("doc_id", "lang", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)).alias("h"))
+    sizes = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not chosen:
+    if not sizes:
         return [], []
+    # hashes are even: four times as many as are wanted lie below the bound of a language, a few rows of any table
+    below = docs.sparkSession.createDataFrame([(r.lang, 4 * each / r.n) for r in sizes], "lang string, below double")
+    first = able.join(F.broadcast(below), "lang").where(F.col("h") < F.col("below")).select("doc_id", "lang", "h").collect()
+    left, chosen = dict.fromkeys([r.lang for r in sizes], each), []
+    for r in sorted(first, key=lambda r: (r.h, r.doc_id)):
+        if left[r.lang]:
+            left[r.lang] -= 1
+            chosen.append(r)
     picked = docs.sparkSession.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long").distinct()
     rows = docs.select("doc_id", "lang", "text").where(F.octet_length("text").between(1, most_bytes)).join(F.broadcast(picked), "doc_id").where("lang is not null").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))
