@@ -19,7 +19,7 @@ CAPACITIES = (512, 1024, 2048, 4096)
 #: Tokens that a bin costs besides its length.
 OVERHEAD = 16
 #: Pieces that a group has about.
-GROUP_ROWS = 8192
+GROUP_ROWS = 2048
 
 
 def word_tokens(text: Column) -> Column:
