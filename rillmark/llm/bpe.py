@@ -23,14 +23,17 @@ from pyspark.sql import functions as F
 from rillmark.llm.common import pieces, small_batches
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 #: Unicode White_Space, which the vocabulary's normaliser collapses. str.split() would also split at
 #: U+001C to U+001F.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _UNLIKE = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: The vocabulary's own pattern, for ASCII words; a word holds no white space.
-_ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The vocabulary's own pattern, for words of characters below U+0250; a word holds no white space. There
+#: composition changes nothing.
+_LETTER, _NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+_LATIN = re.compile("[\0-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]*")
 _NONE = np.int64(2**62)
 
 
@@ -80,8 +83,8 @@ class WordBpe:
 
     def _pieces(self, word: str) -> list[str]:
         """What the normaliser and the pattern make of a word, as lower-case strings."""
-        if word.isascii():
-            return _ASCII_PIECE.findall(word.lower())
+        if _LATIN.fullmatch(word):
+            return _LATIN_PIECE.findall(word.lower())
         plain = self.library.normalizer.normalize_str(unicodedata.normalize("NFC", word))
         alphabet = self._of_shown()
         return [bytes(alphabet[c] for c in x).decode() for x, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
@@ -236,36 +239,35 @@ def cached_encode(
     """Encodes texts word by word, each new word of the batch once. Words at a special token's edge stand alone."""
     if len(known) > REMEMBERED:
         known.clear()
-    plan: list[list[str] | list[bytes | list[str]]] = []
-    new: set[str] = set()
+    get = known.get
+    out: list[list[bytes | None]] = []
+    parts: list[list[str]] = []  # the words of each text, or None in place of a special token
+    lacking: set[str] = set()
     for text in texts:
         text = text or ""
         if specials is not None and "<|" in text and specials.search(text):
-            parts: list[bytes | list[str]] = []
-            at = 0
+            ws, ids, at = [], [], 0
             for m in specials.finditer(text):
-                parts += [split(text[at : m.start()]), np.array([special[m[0]]], "<u4").tobytes()]
+                some = split(text[at : m.start()])
+                ws += [*some, ""]
+                ids += [*map(get, some), np.array([special[m[0]]], "<u4").tobytes()]
                 at = m.end()
-            parts.append(split(text[at:]))
-            for p in parts:
-                if isinstance(p, list):
-                    new.update(p)
-            plan.append(parts)
+            some = split(text[at:])
+            ws += some
+            ids += map(get, some)
         else:
             ws = split(text)
-            new.update(ws)
-            plan.append(ws)
-    new.difference_update(known)
-    if new:
-        known.update(encode(new))
-    get = known.__getitem__
-    out = []
-    for p in plan:
-        if p and not isinstance(p[0], str):
-            out.append(b"".join(b"".join(map(get, x)) if isinstance(x, list) else x for x in p))
-        else:
-            out.append(b"".join(map(get, p)))
-    return out
+            ids = [*map(get, ws)]
+        if None in ids:
+            lacking.update([w for w, x in zip(ws, ids, strict=True) if x is None])
+        out.append(ids)
+        parts.append(ws)
+    if lacking:
+        known.update(encode(lacking))
+        for ws, ids in zip(parts, out, strict=True):
+            if None in ids:
+                ids[:] = [known[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
+    return [b"".join(ids) for ids in out]
 
 
 class LibraryEncoder:
@@ -280,18 +282,40 @@ class LibraryEncoder:
         self.library = Tokenizer.from_str(spec)
         self.special = {x["content"]: x["id"] for x in json.loads(spec)["added_tokens"]}
         self._specials = re.compile("|".join(map(re.escape, self.special)))
-        self._mark, self._mark_id = next(reversed(self.special.items()))
         self._known: dict[str, bytes] = {}
 
+        ends = [t for t in self.library.get_vocab(with_added_tokens=False).items() if t[0].endswith("</w>")]
+        self._ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self._ends[[i for _, i in ends]] = True
+
     words = WordBpe.words
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        words, made = list(words), {}
-        for a in range(0, len(words), 1024):
-            some = words[a : a + 1024]
-            ids = np.array(self.library.encode_batch_fast([self._mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            for w, x in zip(some, np.split(ids, np.flatnonzero(ids == self._mark_id)), strict=True):
-                made[w] = (x[1:] if w is not some[0] else x).tobytes()
+        """Each word's ids. Many words go to the library as one text, which its white space separates.
+
+        The ids are cut after word-end tokens, of which each piece of a word has one. The number of pieces is
+        known for Latin words; should a text have another number of word ends than
+        expected, its words go one by one, as all others do.
+        """
+        made: dict[str, bytes] = {}
+        plain, odd = [], []
+        for w in words:
+            (plain if _LATIN.fullmatch(w) and "<|" not in w else odd).append(w)
+        for a in range(0, len(plain), 512):
+            some = plain[a : a + 512]
+            count = [1 if w.isalpha() else len(_LATIN_PIECE.findall(w.lower())) for w in some]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self._ends[ids])
+            if len(last) != sum(count):
+                odd += some
+                continue
+            cut = [0, *(4 * (last[np.cumsum(count) - 1] + 1)).tolist()]
+            data = ids.tobytes()
+            made.update(zip(some, [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        for a in range(0, len(odd), 1024):
+            some = odd[a : a + 1024]
+            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                made[w] = np.array(e.ids, "<u4").tobytes()
         return made
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -72,6 +73,16 @@ def _drop(spark: SparkSession, name: str) -> None:
         return
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers live on, and blocks of several MB would
+    otherwise leave their size behind in each allocator."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        return
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = ARROW_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about limit bytes of a text column, one row at least."""
     n = batch.num_rows
