@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import flat, mixed, pieces, small_batches, stored, stored_by, words
+from rillmark.llm.common import flat, mixed, pieces, release, small_batches, stored, stored_by, words
 
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Counts above this are not discounted.
 UNDISCOUNTED = 5
 SALTS = 16
@@ -75,7 +75,7 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
             )
 
         for whole in batches:
-            for batch in pieces(whole, "text", 2 << 20):
+            for batch in pieces(whole, "text", 1 << 20):
                 data, offsets = flat(batch.column("text"))
                 hashes, starts = words(data, offsets)
                 ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -83,8 +83,10 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield out()
+                    release()
         if held:
             yield out()
+        release()
 
     made = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, _BLOCK)
     return stored_by(made, "tokens", "block")
@@ -135,6 +137,7 @@ def _by_bucket(answer):
                 rows.append(row)
         if rows:
             yield from answer(rows)
+        release()
 
     return run
 
@@ -267,6 +270,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, partitions: int
                     run = np.diff(np.append(begin, len(some)))
                     facts = np.concatenate((rights[some], own[some], np.minimum(count[right[some]], 2**32 - 1)))
                     yield _record(kinds, bucket=[k], block=[row["block"]], left=[_press(np.concatenate((lefts[some[begin]], run)).astype("<u4"))], facts=[_press(facts.astype("<u4"))])
+                release()
 
     def answer_pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         kinds = {"bucket": pa.int32(), "block": pa.int64(), "counts": pa.binary(), "facts": pa.binary(), "histories": pa.binary()}
@@ -355,6 +359,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, partitions: int
                     kinds, doc_id=b.ids, held_out=b.held_out, n_tokens=b.sizes, n_known=sums((count > 0)[b.tokens].astype(np.int64)), train_tokens=np.full(len(b.ids), unigrams.n),
                     base_score=sums(base[b.tokens]), score=sums(np.log10(p)[at]),
                 )
+                del b, distinct, at, left, right, pair, p
+                release()
 
     ready = with_words.join(_gathered(answered, "counts", "pairs"), "block", "left").join(_gathered(weights, "weights", "weights"), "block", "left")
     return ready.mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
