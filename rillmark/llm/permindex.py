@@ -1,10 +1,14 @@
-"""Approximate nearest neighbours by a permutation index.
+"""Nearest neighbours by a permutation index.
 
 A vector is represented by the order of its nearest pivots. It is posted in the files of its first
 POSTED pivots; a query looks into the files of its first PROBED. There vectors are ranked by the
 footrule distance of the two orders, and the best share is ranked again by inner product in double
 precision on the original vectors. Files are cut into blocks of vectors and of queries, so that a
 pivot that many vectors are near to is many tasks.
+
+A query that looks into all files and ranks them whole finds the exact neighbours: so with the default
+parameters, where a vector is in one file. Fewer files or a smaller share make the search approximate.
+Copies of a vector are one entry with its smallest ids, so that they neither fill a share nor cost more.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from pyspark.sql import functions as F
 from rillmark.llm.common import stored
 
 #: Pivots, how many of them an order holds, files that a vector is in and that a query looks into, and the
-#: share of a block that is ranked again. Pivots are a bounded sample of the vectors.
-PIVOTS, ORDER, POSTED, PROBED, RERANK = 64, 32, 8, 8, 0.4
+#: share of a block that is ranked again. Pivots are a bounded sample of the distinct vectors. One file a vector and
+#: all files a query are as many pairs as 8 and 8 are, but each pair once and none left out.
+PIVOTS, ORDER, POSTED, PROBED, RERANK = 64, 32, 1, 64, 1.0
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Queries that are scored against a block at once.
+QUERY_CHUNK = 256
 
 
 def usable(vector: Column) -> Column:
@@ -64,7 +71,7 @@ def search(
     score is the inner product. Candidates are all rows with another id; ties go to the smaller id.
     Vectors that are null or zero, or hold null or non-finite components, take no part; shorter vectors
     count as padded with zeros. Rows of one id and several vectors are one candidate by their best score. With
-    fewer candidates than k, or than the probed files hold, there are fewer rows.
+    fewer candidates than k in the probed files there are fewer rows.
     """
     spark = vectors.sparkSession
     base = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
@@ -74,7 +81,9 @@ def search(
     if facts.d is None:
         return spark.createDataFrame([], schema)
     d, longest = facts.d, facts.m
-    sample = base.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(pivots).collect()
+    base = base.withColumn("h", F.xxhash64("v"))
+    hashes = [r.h for r in base.select("h").distinct().orderBy("h").limit(pivots).collect()]
+    sample = base.where(F.col("h").isin(hashes)).select("h", "v").distinct().orderBy("h", "v").limit(pivots).collect()
     pad = lambda rows: np.array([list(r) + [0.0] * (d - len(r)) for r in rows], float).reshape(-1, d)
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -86,36 +95,42 @@ def search(
     n_pivots = len(centre)
     order, posted, probed = min(order, n_pivots), min(posted, n_pivots), min(probed, n_pivots)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by_footrule = rerank < 1  # else a block is ranked whole, and places aren't needed
+
+    def index(batches: Iterator[pa.RecordBatch], asking: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pad(batch.column("v").to_pylist())
-            up = lifted(x)
-            q = batch.column("q").to_numpy(zero_copy_only=False)
             length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            asking = orders(np.column_stack((x / length, np.zeros(len(x)))), centre, order)
-            own = orders(up, centre, order)
+            up = np.column_stack((x / length, np.zeros(len(x)))) if asking else lifted(x)
+            near = orders(up, centre, n_pivots)
+            place = [r.tobytes() for r in places(near[:, :order], n_pivots)] if by_footrule else [b""] * len(x)
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column("id"),
-                    "q": batch.column("q"),
-                    "files": pa.array(list(own[:, :posted].astype(np.int32)), pa.list_(pa.int32())),
-                    "looks": pa.array([r if is_q else [] for r, is_q in zip(asking[:, :probed].astype(np.int32), q, strict=True)], pa.list_(pa.int32())),
-                    "place": pa.array([r.tobytes() for r in places(own, n_pivots)], pa.binary()),
-                    "look": pa.array([r.tobytes() if is_q else None for r, is_q in zip(places(asking, n_pivots), q, strict=True)], pa.binary()),
+                    "ids": batch.column("ids"),
+                    "files": pa.array(list(near[:, : probed if asking else posted].astype(np.int32)), pa.list_(pa.int32())),
+                    "place": pa.array(place, pa.binary()),
                     "v": pa.array([r.tobytes() for r in x], pa.binary()),
                 }
             )
 
-    posts = stored(base.mapInArrow(index, "id long, q boolean, files array<int>, looks array<int>, place binary, look binary, v binary"), "postings")
-    sizes = posts.select(F.explode("files").alias("f"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(posts.select(F.explode("looks").alias("f"), F.lit(0), F.lit(1)))
+    entry = "id long, ids array<long>, files array<int>, place binary, v binary"
+    # of copies the k + 1 smallest ids are enough: one may be the query's own, and those with a better score elsewhere are in the result
+    copies = base.withColumn("r", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
+    copies = copies.groupBy("h", "v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "v")
+    posts = stored(copies.mapInArrow(lambda b: index(b, False), entry), "postings")
+    askers = base.where("q").select("id", "v").distinct().select("id", F.array().cast("array<long>").alias("ids"), "v")
+    asks = stored(askers.mapInArrow(lambda b: index(b, True), entry), "askers")
+    sizes = posts.select(F.explode("files").alias("f"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(asks.select(F.explode("files").alias("f"), F.lit(0), F.lit(1)))
     count = {r.f: (r.a, r.b) for r in sizes.groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
     blocks = {f: (max(1, -(-a // VECTOR_BLOCK)), max(1, -(-b // QUERY_BLOCK))) for f, (a, b) in count.items()}
     of = lambda i: F.element_at(F.create_map(*[F.lit(x) for f, c in blocks.items() for x in (f, c[i])]), F.col("f"))
-    own_block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    own_block = lambda n, c: F.pmod(F.xxhash64(c), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    filed = posts.select("id", "place", "v", F.explode("files").alias("f")).select("f", own_block(of(0)).alias("vb"), upto(of(1)).alias("qb"), F.lit(0).alias("side"), "id", "place", "v")
-    asked = posts.where("q").select("id", F.col("look").alias("place"), "v", F.explode("looks").alias("f"))
-    asked = asked.select("f", upto(of(0)).alias("vb"), own_block(of(1)).alias("qb"), F.lit(1).alias("side"), "id", "place", "v")
+    filed = posts.select("id", "ids", "place", "v", F.explode("files").alias("f"))
+    filed = filed.select("f", own_block(of(0), "v").alias("vb"), upto(of(1)).alias("qb"), F.lit(0).alias("side"), "id", "ids", "place", "v")
+    asked = asks.select("id", "ids", "place", "v", F.explode("files").alias("f"))
+    asked = asked.select("f", upto(of(0)).alias("vb"), own_block(of(1), "id").alias("qb"), F.lit(1).alias("side"), "id", "ids", "place", "v")
     cells = sum(a * b for a, b in blocks.values())
     parts = max(1, min(cells, max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     dealt = filed.union(asked).repartition(parts, "f", "vb", "qb").sortWithinPartitions("f", "vb", "qb", "side", "id")
@@ -127,29 +142,63 @@ def search(
             if n == 0 or n == len(side):
                 continue
             ids = table["id"].to_numpy()
+            members = table["ids"].combine_chunks()
+            owned = members.value_lengths().to_numpy(zero_copy_only=False)[:n].astype(np.int64)
+            members = members.flatten().to_numpy()
             place = np.frombuffer(b"".join(table["place"].to_pylist()), np.int8).reshape(len(side), -1)
             x = np.frombuffer(b"".join(table["v"].to_pylist()), float).reshape(len(side), -1)
-            file, take = place[:n], min(n, max(4 * k, int(np.ceil(rerank * n))))
-            queries, found, scores = [], [], []
-            for i in range(n, len(side)):
-                far = footrule(file, place[i])
-                # the file is in order of id: a stable order breaks ties by the smaller
-                best = np.argsort(far, kind="stable")[:take]
-                best = best[ids[best] != ids[i]]
-                score = np.einsum("ij,j->i", x[best], x[i])
-                top = np.lexsort((ids[best], -score))[: 2 * k]
-                _, first = np.unique(ids[best][top], return_index=True)
-                top = top[np.sort(first)][:k]
-                queries.append(np.full(len(top), ids[i]))
-                found.append(ids[best][top])
-                scores.append(score[top])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (queries, found, scores)], names=["query_id", "vec_id", "score"])
+            take = min(n, max(4 * k, int(np.ceil(rerank * n))))
+            for a in range(n, len(side), QUERY_CHUNK):
+                b = min(a + QUERY_CHUNK, len(side))
+                scores = x[a:b] @ x[:n].T
+                if take < n:
+                    for i in range(a, b):
+                        # the file is in order of id: a stable order breaks ties by the smaller
+                        scores[i - a, np.argsort(footrule(place[:n], place[i]), kind="stable")[take:]] = -np.inf
+                found = _best(scores, x[a:b], x[:n], ids[a:b], owned, members, k, longest)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     near = dealt.mapInArrow(rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     placed = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, asking: np.ndarray, owned: np.ndarray, members: np.ndarray, k: int, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best ids for each query of those that own the vectors x: ids of queries, ids, scores.
+
+    scores are the products of all, -inf for those that take no part. They choose who is near; as their last bits
+    depend on the shape of a block, those near are scored again one by one.
+    """
+    n = len(x)
+    slack = 1e-10 * longest * np.sqrt((q * q).sum(axis=1))
+    first = np.cumsum(owned) - owned
+    out, todo, want = [], np.arange(len(q)), min(n, k + 1)
+    while len(todo):
+        part = scores[todo]
+        least = np.partition(part, n - want, axis=1)[:, n - want]
+        row, col = np.nonzero((part >= (least - slack[todo])[:, None]) & (part > -np.inf))
+        score = np.einsum("ij,ij->i", x[col], q[todo[row]])
+        size = owned[col]
+        at = np.repeat(first[col] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        row, score, ids = np.repeat(row, size), np.repeat(score, size), members[at]
+        other = ids != asking[todo[row]]
+        row, score, ids = row[other], score[other], ids[other]
+        # an id counts once, by its best score
+        by = np.lexsort((-score, ids, row))
+        row, score, ids = row[by], score[by], ids[by]
+        once = np.ones(len(row), bool)
+        once[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+        row, score, ids = row[once], score[once], ids[once]
+        by = np.lexsort((ids, -score, row))
+        row, score, ids = row[by], score[by], ids[by]
+        sure = np.bincount(row[score >= (least - slack[todo] / 2)[row]], minlength=len(todo))
+        done = (sure >= k) | (want == n)
+        best = done[row] & (np.arange(len(row)) - np.searchsorted(row, row) < k)
+        out.append((asking[todo[row[best]]], ids[best], score[best]))
+        todo, want = todo[~done], min(n, 4 * want)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each cell of a partition, which is sorted by cell."""
     held: list[pa.RecordBatch] = []

@@ -179,6 +179,42 @@ def test_search_recall(spark):
         assert all(s == pytest.approx(float(x[at[i]] @ x[at[q]]), abs=1e-12) for i, s in found)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_search_recall_at_production_parameters(spark, hot):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
+    if hot:  # a third of the rows are copies of one vector
+        x[ids % 3 == 0] = x[0]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in permindex.search(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id][r.vec_id] = r.score
+    queries = [i for i in ids.tolist() if i % 20 == 0]
+    assert set(got) == set(queries) and all(len(found) == 20 for found in got.values())
+    for q in queries:
+        score = np.einsum("ij,j->i", x, x[np.flatnonzero(ids == q)[0]])
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        assert set(got[q]) == {int(ids[i]) for i in order}
+        assert sorted(got[q].values()) == pytest.approx(sorted(score[order]), abs=1e-12)
+
+
+def test_search_ids_with_several_vectors(spark):
+    r = np.random.default_rng(5)
+    rows = [(1, r.normal(size=4).tolist()) for _ in range(60)] + [(i, r.normal(size=4).tolist()) for i in range(2, 40)]
+    rows += [(i, rows[60][1]) for i in (50, 51, 50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x["rank"], x.vec_id) for x in permindex.search(df, F.col("vec_id") == 2, 10).collect()]
+    q, best = np.array(rows[60][1]), {}
+    for i, v in rows:
+        best[i] = max(best.get(i, -np.inf), float(np.array(v) @ q))
+    del best[2]
+    want = sorted(best, key=lambda i: (-round(best[i], 9), i))[:10]
+    assert sorted(got) == list(enumerate(want, 1))
+    # a narrower search is approximate
+    some = [x.vec_id for x in permindex.search(df, F.col("vec_id") == 2, 3, posted=4, probed=4, rerank=0.3).collect()]
+    assert 0 < len(some) == len(set(some)) <= 3 and 2 not in some
+
+
 def test_search_odd_vectors(spark):
     r = np.random.default_rng(3)
     rows = [(i, r.normal(size=6).tolist()) for i in range(60)]
