@@ -209,6 +209,17 @@ def merge_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_pending(rows.where(F.col("offset") < 1500), later)
 
 
+@_query(
+    """SELECT partition_id, "offset", CASE WHEN "offset" % 1000 < 600 THEN amount ELSE amount + 1 END AS amount FROM tx"""
+)
+def merge_pending_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole stream: of each batch the first 600 offsets are pending, and those from 400 on incoming."""
+    rows = canonical(spark, sf_dir).select("partition_id", "offset", "amount")
+    place = F.col("offset") % BATCH_SIZE
+    later = rows.where(place >= 400).withColumn("amount", F.col("amount") + 1)
+    return R.merge_pending(rows.where(place < 600), later)
+
+
 @_query(
     """SELECT ranges.partition_id, batch, coalesce(min_offset = stored_min AND max_offset = stored_max AND n = max_offset - min_offset + 1 AND n_distinct = n, false) AS covers
        FROM ranges LEFT JOIN ledger ON ranges.partition_id = ledger.partition_id"""

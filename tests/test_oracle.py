@@ -37,6 +37,14 @@ def test_query(spark, duck, name):
         assert got == rows(names, result.fetchall())
 
 
+def test_merge_covers_the_stream(spark):
+    sf = "/root/testdata/sf0.01"
+    offsets = catalog.queries()["raw_transactions"](spark, sf).select("partition_id", "offset")
+    assert offsets.where("offset >= 2500").count() > 0
+    merged = catalog.queries()["merge_pending_stream"](spark, sf).select("partition_id", "offset")
+    assert offsets.exceptAll(merged).count() == merged.exceptAll(offsets).count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
