@@ -252,6 +252,17 @@ def range_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overlaps(moved, _ledger(spark))
 
 
+@_query(
+    """SELECT a.partition_id, a.min_offset, a.max_offset, min(w.min_offset) AS written_min, min(w.max_offset) AS written_max
+       FROM (SELECT partition_id, min_offset + 250 AS min_offset, max_offset + 250 AS max_offset FROM ranges) a
+       JOIN ranges w ON a.partition_id = w.partition_id AND w.min_offset <= a.max_offset AND w.max_offset >= a.min_offset GROUP BY 1, 2, 3"""
+)
+def range_overlaps_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of all batches, moved, against those of all batches as written."""
+    written = _batches(spark, sf_dir)
+    return R.overlaps(written.withColumns({"min_offset": F.col("min_offset") + 250, "max_offset": F.col("max_offset") + 250}), written)
+
+
 # verification
 
 

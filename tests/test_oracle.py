@@ -45,6 +45,14 @@ def test_merge_covers_the_stream(spark):
     assert offsets.exceptAll(merged).count() == merged.exceptAll(offsets).count() == 0
 
 
+def test_overlaps_cover_the_stream(spark):
+    sf = "/root/testdata/sf0.01"
+    starts = {(r.partition_id, r.min_offset) for r in catalog.queries()["range_state"](spark, sf).collect()}
+    got = catalog.queries()["range_overlaps_stream"](spark, sf).collect()
+    assert {(r.partition_id, r.min_offset - 250) for r in got} == starts == {(r.partition_id, r.written_min) for r in got}
+    assert any(m // 1000 % 2 for _, m in starts)
+
+
 def test_entry(spark):
     import __spark_entry__
 
