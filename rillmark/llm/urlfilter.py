@@ -104,41 +104,64 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.replace(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
 
 
+def _without_dots(path: Column) -> Column:
+    """The path, which begins with /, without . and .. segments."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    fold = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, fold)
+    # a last . or .. is a folder
+    ended = F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none))
+    return F.when(path.rlike(r"(?s)/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(ended, "/"))).otherwise(path)
+
+
 def resolved(links: DataFrame) -> DataFrame:
-    """Adds absolute, the url that (url, target) means: target may be absolute, or relative to scheme, host or folder."""
+    """Adds absolute, the url that (url, target) means: target may be absolute, or relative to scheme, host, folder, page
+    (from ? on) or to the url but for its fragment. Relative ones lose their dot segments."""
+    target = F.col("target")
     parts = links.withColumns(
         {
             "_scheme": F.regexp_extract("url", r"^([^:/?#]+):", 1),
             "_root": F.regexp_extract("url", r"(?s)^([^:/?#]*://[^/?#]*)", 1),
-            "_folder": F.regexp_extract("url", r"(?s)^[^:/?#]*://[^/?#]*(/[^?#]*/|/)?", 1),
+            "_path": F.regexp_extract("url", r"(?s)^[^:/?#]*://[^/?#]*([^?#]*)", 1),
+            "_query": F.regexp_extract("url", r"(?s)^[^?#]*(\?[^#]*)", 1),
+            "_host": F.regexp_extract("target", r"(?s)^(//[^/?#]*)", 1),
         }
     )
-    target = F.col("target")
-    return parts.withColumn(
-        "absolute",
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat("_scheme", F.lit(":"), target))
-        .when(target.startswith("/"), F.concat("_root", target))
-        .otherwise(F.concat("_root", F.when(F.col("_folder") == "", "/").otherwise(F.col("_folder")), target)),
-    ).drop("_scheme", "_root", "_folder")
+    parts = parts.withColumn("_own", F.regexp_extract(target.substr(F.length("_host") + 1, F.length(target)), r"(?s)^([^?#]*)", 1))
+    parts = parts.withColumn("_tail", target.substr(F.length("_host") + F.length("_own") + 1, F.length(target)))
+    folder = F.regexp_extract("_path", "(?s)^(.*/)", 1)
+    whole = F.when((F.col("_host") != "") | F.col("_own").startswith("/"), F.col("_own")).when(F.col("_own") == "", F.col("_path"))
+    whole = whole.otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), "_own"))
+    parts = parts.withColumn("_whole", F.when(whole == "", "/").otherwise(whole))
+    path = F.when((F.col("_own") == "") & (F.col("_host") == ""), F.col("_whole")).otherwise(_without_dots(F.col("_whole")))
+    query = F.when((F.col("_own") == "") & (F.col("_host") == "") & ~target.startswith("?"), F.col("_query")).otherwise("")
+    root = F.when(F.col("_host") == "", F.col("_root")).otherwise(F.concat("_scheme", F.lit(":"), "_host"))
+    return parts.withColumn("absolute", F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).otherwise(F.concat(root, path, query, "_tail"))).drop(
+        "_scheme", "_root", "_path", "_query", "_host", "_own", "_tail", "_whole"
+    )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes: each page's canonical link and meta refresh. Pages without either give none."""
+    """Edges (a, b) between nodes: each page's canonical link and meta refresh. Pages without either give none. Targets are
+    relative to the page's first base element with href, where there is one."""
     html = F.col("html")
     marked = pages.where((F.locate("://", "url") > 0) & html.rlike("(?i)canonical|http-equiv"))
-    tags = marked.select("url", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))).alias("tag"))
+    base = F.trim(_attribute(F.regexp_extract(html, r"(?is)(<base\s(?:[^>]*\s)?href\s*=[^>]*>)", 1), "href"))
+    tags = marked.select("url", base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))).alias("tag"))
     tag = F.col("tag")
     read = tags.select(
-        "url", _attribute(tag, "rel").alias("rel"), _attribute(tag, "href").alias("href"), _attribute(tag, "http-equiv").alias("equiv"), _attribute(tag, "content").alias("content")
+        "url", "base", _attribute(tag, "rel").alias("rel"), _attribute(tag, "href").alias("href"), _attribute(tag, "http-equiv").alias("equiv"), _attribute(tag, "content").alias("content")
     )
     target = F.when(F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), F.col("href")).when(
         F.lower("equiv") == "refresh", F.regexp_extract("content", r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1)
     )
     # written here: filters that are pushed below would repeat the expressions of every step
-    links = stored(read.select("url", F.trim(target).alias("target")), "links").where(F.length("target") > 0)
-    found = resolved(links)
-    return found.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("absolute")).alias("b"))
+    links = stored(read.select("url", "base", F.trim(target).alias("target")), "links").where(F.length("target") > 0)
+    # without a base element the base is empty, which means the url itself
+    based = resolved(links.select("url", F.col("base").alias("target"), F.col("target").alias("link")))
+    found = resolved(based.select(F.col("url").alias("page"), F.col("absolute").alias("url"), F.col("link").alias("target")))
+    return found.select(alias_key(F.col("page")).alias("a"), alias_key(F.col("absolute")).alias("b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -166,6 +166,50 @@ def test_aliases_share_decisions(spark):
     assert {r.verdict for r in urlfilter.judge(df, urlfilter.RULES, extra).where("page_id = 9").collect()} == {"block"}
 
 
+def test_relative_targets(spark):
+    deep, bare = "http://b.org/x/y/z?q=1#f", "HTTP://B.org"
+    want = {
+        (deep, ""): "http://b.org/x/y/z?q=1",
+        (deep, "../w"): "http://b.org/x/w",
+        (deep, "./w"): "http://b.org/x/y/w",
+        (deep, "w"): "http://b.org/x/y/w",
+        (deep, ".."): "http://b.org/x/",
+        (deep, "."): "http://b.org/x/y/",
+        (deep, "../../../../w"): "http://b.org/w",
+        (deep, "a/./b/../c?p=../d#e"): "http://b.org/x/y/a/c?p=../d",
+        (deep, "a//b/..c/..."): "http://b.org/x/y/a//b/..c/...",
+        (deep, "?page=2"): "http://b.org/x/y/z?page=2",
+        (deep, "#g"): "http://b.org/x/y/z?q=1",
+        (deep, "/m/../n"): "http://b.org/n",
+        (deep, "//c.org/a/../b"): "http://c.org/b",
+        (deep, "//c.org?a"): "http://c.org/?a",
+        (deep, "http://d.org/1"): "http://d.org/1",
+        (bare, "?page=2"): "http://b.org/?page=2",
+        (bare, "../w"): "http://b.org/w",
+        (bare, "#g"): "http://b.org/",
+    }
+    df = spark.createDataFrame(list(want), "url string, target string")
+    got = urlfilter.resolved(df).withColumn("key", urlfilter.alias_key(F.col("absolute"))).collect()
+    assert {(r.url, r.target): r.key for r in got} == want
+
+
+def test_relative_aliases_pass_decisions_on(spark):
+    link = '<base target="_top"><BASE class="x" href=\'{}\'><link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://b.org/x/y/1", '<link rel="canonical" href="../z">'),
+        (2, "http://b.org/x/z", "<meta http-equiv='refresh' content='0; URL=?page=2'>"),
+        (3, "http://b.org/x/z?page=2", '<link rel="canonical" href="./w">'),
+        (4, "http://b.org/x/w", link.format("/docs/", "v")),
+        (5, "http://b.org/docs/v", link.format("http://c.org/k/", "../u")),
+        (6, "http://c.org/u", link.format("http://x.net/fr/", "1")),  # blocked, and so is all that leads to it
+        (7, "http://b.org/x/", '<link rel="canonical" href="#top">'),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = urlfilter.judge(df, [("net", "/fr/", "block")]).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block"] * 6 + ["allow"]
+    assert len({r.component_id for r in got[:6]}) == 1
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
 def test_components(pairs):
