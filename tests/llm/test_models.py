@@ -112,14 +112,54 @@ def test_language(spark, docs, odd, none):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_kernel_is_by_presence():
-    model = langid.fit(["abc abd xyz", "qrs qrt uvw"], ["a", "b"], 1)
-    text = np.frombuffer(b"abq", np.uint8)
-    mine = {bytes([x]) for x in b"abq"} | {b"ab", b"bq"} | {b"abq"}
-    for k, mark in enumerate((b"abc abd xyz", b"qrs qrt uvw")):
-        own = {mark[i : i + n] for n in (1, 2, 3) for i in range(len(mark) - n + 1)}
-        both = model.presence([text])[0] @ (model.landmarks[:, k] > 0)
-        assert both == len({g.replace(b" ", b" ") for g in mine} & own)
+def coded(text):
+    """The text's n-grams as the kernel sees them: letters in lower case, bytes from 128, and all others as one gap."""
+    t = re.sub(rb"[^a-z\x80-\xff]", b" ", text.encode().translate(LOWER))
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_kernel_and_regression_against_brute_force():
+    """Kernel matrix, Nyström features and ridge regression, from sets of n-grams and the dual solution."""
+    r = np.random.default_rng(3)
+    words = {"a": ["the", "and", "Of", "house", "wind"], "b": ["der", "und", "Haus", "straße", "wind"]}
+    texts, langs = [], []
+    for i in range(40):
+        lang = "ab"[i % 2]
+        texts.append(" ".join(r.choice(words[lang], r.integers(1, 12))) + "!?1 "[: i % 4])
+        langs.append(lang)
+    sets = [langid.gram_set(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    assert [len(s) for s in sets] == [len(coded(t)) for t in texts]
+    model = langid.fit(sets, langs, 6)
+    marks = [*range(0, 12)]
+    k = lambda x, y: len(coded(x) & coded(y)) / math.sqrt(len(coded(x)) * len(coded(y)))
+    order = marks  # the first six of each language, as they stand
+    full = np.array([[k(t, texts[j]) for j in order] for t in texts])
+    queries = [langid.grams(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    assert np.abs(model.kernel(queries) - full).max() < 1e-5
+    # the regression's solution in terms of landmarks: features times their transpose is the Nyström kernel
+    own = full[order]
+    phi = model.features(queries)[:, :-1].astype(float)
+    assert np.abs(phi @ phi.T - full @ np.linalg.pinv(own, rcond=1e-6, hermitian=True) @ full.T).max() < 1e-2
+    x = np.hstack((phi, np.ones((40, 1))))
+    y = np.array([[1.0 if lang == c else -1.0 for c in "ab"] for lang in langs])
+    dual = x @ x.T
+    lam = langid.RIDGE * 40 / 100
+    want = dual @ np.linalg.solve(dual + lam * np.eye(40), y)
+    assert np.abs(model.scores(queries) - want).max() < 1e-2
+
+
+def test_long_and_repeated_training_texts(spark):
+    english, german = "the wind and the house of the river ", "der wind und das haus an dem fluss "
+    rows = [(i, english * (1 + i % 3) + f"word{i}", "en") for i in range(60)]
+    rows += [(100 + i, german * 900 + f" wort{i}", "de") for i in range(60)]  # about 30 kB each
+    rows += [(500, "le vent et la maison du fleuve", "fr")] * 900  # one document, repeated
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sets, langs = langid.training_sample(df, 3, 1)
+    assert langs.count("fr") == 1
+    assert langs.count("de") == sum(zlib.crc32(str(100 + i).encode()) % 3 != 1 for i in range(60))
+    got = langid.identify(df).distinct().join(df.distinct().select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    assert len(langid.training_sample(df, 3, 1, 5)[0]) == 11
 
 
 def test_quality(spark, docs, odd, none):
