@@ -1,27 +1,31 @@
 """Quality classification by co-training.
 
 Two views of a document, each with its own logistic regression: the text's content (frequencies of
-pairs of byte classes, repeated lines, word shape) and the metadata (source, language, length). Over
-some rounds each view labels the documents that it is surest of for the other. Both are then calibrated
-on labelled rows kept aside, and a last regression of the two calibrated views scores every document.
+pairs of byte classes, repeated lines, word shape) and the metadata (source, language, length). In each
+round a view learns from the labelled rows and from all unlabelled documents that the other view is sure
+of. Those stay where they are: each partition sums up what a Newton step needs of them, a matrix of fixed
+size, so their number has no bound. Both views are then calibrated on labelled rows kept aside, and a last
+regression of the two calibrated views scores every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import flat, pieces, small_batches
+from rillmark.llm.common import flat, pieces, small_batches, stored
 
-#: Bounds of what is fitted: labelled rows, unlabelled rows, bytes of a text that is learnt from.
-LABELLED, UNLABELLED, LEARN_BYTES = 3000, 3000, 20_000
-ROUNDS, PER_ROUND = 4, 100
+#: Labelled documents that are fitted at most. Texts have any length, and all documents without one of these labels are the pool.
+LABELLED = 3000
+#: Rounds, Newton steps of a round, the logit from which a view is sure, and what the sure documents weigh together against the labelled ones.
+ROUNDS, STEPS, SURE, POOL_WEIGHT = 3, 2, 2.2, 0.5
 #: Documents whose probability of good quality is lower are rejected.
 REJECT_BELOW = 0.35
 
@@ -33,6 +37,9 @@ for _k, _chars in enumerate((b".,;:", b"!?", b"|", b"*#&%$", b"@/\\_=+", b"<>{}[
     _CLASS[list(_chars)] = 7 + _k
 _CONTENT = 256 + 6
 _SOURCES, _LANGS, _LENGTHS = 64, 32, 24
+_META = _SOURCES + _LANGS + _LENGTHS
+#: Places of a metadata view that are 1.
+_ONES = 3
 
 
 def content(data: np.ndarray) -> np.ndarray:
@@ -60,7 +67,7 @@ def content(data: np.ndarray) -> np.ndarray:
 def metadata(sources: list, langs: list, lengths: np.ndarray) -> np.ndarray:
     """The metadata view: hashed source and language, and the length's half powers of two; null is a value of its own."""
     n = len(sources)
-    out = np.zeros((n, _SOURCES + _LANGS + _LENGTHS), np.float32)
+    out = np.zeros((n, _META), np.float32)
     row = np.arange(n)
     out[row, [0 if s is None else 1 + zlib.crc32(str(s).encode()) % (_SOURCES - 1) for s in sources]] = 1
     out[row, [_SOURCES + (0 if s is None else 1 + zlib.crc32(str(s).encode()) % (_LANGS - 1)) for s in langs]] = 1
@@ -105,36 +112,55 @@ class Model:
         return p(a), p(b), p(self.both[0] * a + self.both[1] * b + self.both[2])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
+#: What a pool tells of each view and class of the sure documents: how many, the gradient and the matrix of a Newton step.
+Sums = dict[str, list[tuple[float, np.ndarray, np.ndarray]]]
+#: (weights to step from, weights to label by) to sums.
+Pool = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], Sums]
+
+
+def pool_sums(views: dict[str, np.ndarray], weights: dict[str, np.ndarray], labels: dict[str, np.ndarray]) -> Sums:
+    """Sums over documents, each labelled for one view by the other."""
+    out: Sums = {}
+    for own, other in (("text", "meta"), ("meta", "text")):
+        z, x = logit(views[other], labels[other]), np.hstack((views[own].astype(float), np.ones((len(views[own]), 1))))
+        out[own] = []
+        for good in (0, 1):
+            some = x[z > SURE if good else z < -SURE]
+            p = 1 / (1 + np.exp(-np.clip(some @ weights[own], -30, 30)))
+            out[own].append((float(len(some)), some.T @ (p - good), (some * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ some))
+    return out
+
+
+def _step(x: np.ndarray, y: np.ndarray, w: np.ndarray, pool: list[tuple[float, np.ndarray, np.ndarray]], ridge: float = 1.0) -> np.ndarray:
+    """One Newton step over the labelled rows and the pool's sums. In both parts the two classes weigh the same."""
+    x = np.hstack((x.astype(float), np.ones((len(x), 1))))
+    weight = np.where(y == 1, 0.5 / max(np.count_nonzero(y == 1), 1), 0.5 / max(np.count_nonzero(y == 0), 1)) * len(y)
+    penalty = np.append(np.full(len(w) - 1, ridge), 1e-3)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    gradient = x.T @ (weight * (p - y)) + penalty * w
+    curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+    for n, g, h in pool:
+        if n:
+            scale = POOL_WEIGHT * 0.5 * len(y) / n
+            gradient, curve = gradient + scale * g, curve + scale * h
+    return w - np.linalg.solve(curve, gradient)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> Model:
     """Fits both views; every fifth labelled row is kept aside for calibration. With one class only, or too few
     rows to keep any aside, the model says the labels' share for every document."""
     aside = np.arange(len(y)) % 5 == 4
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         share = np.clip((y.sum() + 1) / (len(y) + 2), 1e-3, 1 - 1e-3) if len(y) else 0.5
         z, line = np.log(share / (1 - share)), np.array([0.0, 0.0])
-        return Model(np.zeros(_CONTENT + 1), np.zeros(_SOURCES + _LANGS + _LENGTHS + 1), line, line, np.array([0.0, 0.0, z]), len(y))
-    fits = {"text": (text[~aside], y[~aside]), "meta": (meta[~aside], y[~aside])}
-    pools = {"text": pool_text, "meta": pool_meta}
-    open_ = np.ones(len(pool_text), bool)
-    for turn in range(rounds + 1):
-        weights = {k: regression(*v) for k, v in fits.items()}
-        if turn == rounds:
-            break
-        for own, other in (("text", "meta"), ("meta", "text")):
-            left = np.flatnonzero(open_)
-            if not len(left):
-                break
-            z = logit(pools[own][left], weights[own])
-            order = np.argsort(z, kind="stable")
-            # only what a view is sure of, as many of each class as the labels' share says
-            share = float(fits[own][1].mean())
-            bad = order[: max(1, round(per_round * (1 - share)))]
-            good = order[::-1][: max(1, round(per_round * share))]
-            bad, good = bad[z[bad] < -2.2], good[z[good] > 2.2]
-            taken = left[np.concatenate((bad, good))]
-            x, old = fits[other]
-            fits[other] = np.vstack((x, pools[other][taken])), np.concatenate((old, np.zeros(len(bad)), np.ones(len(good))))
-            open_[taken] = False
+        return Model(np.zeros(_CONTENT + 1), np.zeros(_META + 1), line, line, np.array([0.0, 0.0, z]), len(y))
+    views, known = {"text": text[~aside], "meta": meta[~aside]}, y[~aside]
+    weights = {k: regression(x, known) for k, x in views.items()}
+    for _ in range(rounds):
+        labels = weights
+        for _ in range(STEPS):
+            sums = pool(weights, labels)
+            weights = {k: _step(x, known, weights[k], sums[k]) for k, x in views.items()}
     za, zb, ya = logit(text[aside], weights["text"]), logit(meta[aside], weights["meta"]), y[aside]
     line = lambda z: _plain(z[:, None], ya)
     la, lb = line(za), line(zb)
@@ -161,41 +187,86 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text, metadata(part.column("source").to_pylist(), part.column("lang").to_pylist(), length)
 
 
-def _views_of(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, content, metadata) of a bounded set of documents, in order of id."""
+def stored_views(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of all documents with an id and a text, written once: both views as 32-bit numbers, the content
+    first; of the metadata only the places that are 1."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in pieces(whole, "text", 1 << 20):
+                text, meta = _views(part)
+                x = np.hstack((text, np.flatnonzero(meta.ravel()).reshape(len(meta), _ONES) % _META)).astype("<f4")
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    usable = _columns(docs).where((F.octet_length("text") > 0) & F.col("doc_id").isNotNull())
+    return stored(usable.mapInArrow(run, "doc_id long, x binary"), "views")
+
+
+def _unpacked(column: pa.Array) -> dict[str, np.ndarray]:
+    x = np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, _CONTENT + _ONES)
+    meta = np.zeros((len(x), _META), np.float32)
+    np.put_along_axis(meta, x[:, _CONTENT:].astype(np.int64), 1, axis=1)
+    return {"text": x[:, :_CONTENT], "meta": meta}
+
+
+_SHAPE = [(k, good, n) for k, n in (("text", _CONTENT + 1), ("meta", _META + 1)) for good in (0, 1)]
+
+
+def _flat_sums(sums: Sums) -> np.ndarray:
+    return np.concatenate([np.concatenate(([sums[k][good][0]], sums[k][good][1], sums[k][good][2].ravel())) for k, good, _ in _SHAPE])
+
+
+def _of_flat(flat: np.ndarray) -> Sums:
+    out: Sums = {"text": [], "meta": []}
+    for k, _, n in _SHAPE:
+        out[k].append((flat[0], flat[1 : n + 1], flat[n + 1 : n + 1 + n * n].reshape(n, n)))
+        flat = flat[1 + n + n * n :]
+    return out
+
+
+def distributed_pool(views: DataFrame, ways: int = 32) -> Pool:
+    """The sums over all rows of views. A partition makes one matrix of fixed size, and ways tasks add them up."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
         for batch in batches:
-            text, meta = _views(batch)
-            both = np.hstack((text, meta)).astype("<f4")
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array([r.tobytes() for r in both], pa.binary())})
+            for data in batch.column("sums").to_pylist():
+                total = total + np.frombuffer(data)
+        if not isinstance(total, float):
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    x = np.array([np.frombuffer(r.x, "<f4") for r in rows], np.float32).reshape(-1, _CONTENT + _SOURCES + _LANGS + _LENGTHS)
-    return np.array([r.doc_id for r in rows], np.int64), x[:, :_CONTENT], x[:, _CONTENT:]
+    def pool(weights: dict[str, np.ndarray], labels: dict[str, np.ndarray]) -> Sums:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    total = total + _flat_sums(pool_sums(_unpacked(batch.slice(a, 1024).column("x")), weights, labels))
+            if not isinstance(total, float):
+                yield pa.RecordBatch.from_pydict({"way": pa.array([TaskContext.get().partitionId() % ways], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
+        each = views.select("x").mapInArrow(run, "way int, sums binary").repartition(ways, "way")
+        rows = each.select("sums").mapInArrow(added, "sums binary").collect()
+        empty = np.zeros(sum(1 + n + n * n for _, _, n in _SHAPE))
+        return _of_flat(sum((np.frombuffer(r.sums) for r in rows), empty))
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Learns from bounded samples, the first by hash of id: labelled documents and documents without a label.
+    return pool
 
-    Of several labels of a document the mean counts, a half being good; null labels don't. Texts learnt
-    from have 1 to LEARN_BYTES bytes.
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Learns from at most labelled documents with a label, the first by hash of id, and from all others as the pool.
+
+    Of several labels of a document the mean counts, a half being good; null labels don't. A document that has
+    several rows is learnt from once where it is labelled. Rows without id or text aren't learnt from.
     """
-    small_batches(docs.sparkSession)
-    usable = _columns(docs).where(F.octet_length("text").between(1, LEARN_BYTES) & F.col("doc_id").isNotNull())
+    spark = docs.sparkSession
+    views = stored_views(docs)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    ids = usable.select("doc_id").distinct()
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
-    with_label = first(known.join(ids, "doc_id", "left_semi"), labelled)
-    without = first(ids.join(known, "doc_id", "left_anti"), unlabelled)
-    make = lambda rows: docs.sparkSession.createDataFrame([(r.doc_id,) for r in rows], "doc_id long")
-    y_of = {r.doc_id: r.y for r in with_label}
-    # one scan for both samples
-    every, text, meta = _views_of(usable, make([*with_label, *without]))
-    has = np.array([i in y_of for i in every.tolist()], bool)
-    y = np.array([y_of[i] for i in every[has].tolist()], float)
-    return co_train(text[has], meta[has], y, text[~has], meta[~has])
+    first = known.join(views.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
+    chosen = F.broadcast(spark.createDataFrame([(r.doc_id, float(r.y)) for r in first], "doc_id long, y double"))
+    rows = views.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    own = _unpacked(pa.array([r.x for r in rows], pa.binary()))
+    return co_train(own["text"], own["meta"], np.array([r.y for r in rows], float), distributed_pool(views.join(chosen, "doc_id", "left_anti")), rounds)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -209,7 +280,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, reject_b
 
     A document is kept if quality_score is reject_below or more. A null or empty text has scores 0 and is
     not kept. Missing or null metadata count as a value of their own. Columns of those four names are
-    replaced; repeated rows give a row each.
+    replaced; repeated rows give a row each; an empty table gives an empty result; texts of any length are read whole.
     """
     small_batches(docs.sparkSession)
     made = ("text_score", "meta_score", "quality_score", "kept")

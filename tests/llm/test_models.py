@@ -165,7 +165,7 @@ def test_long_and_repeated_training_texts(spark):
 def test_quality(spark, docs, odd, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = quality.fit(big, labels, 200, 200)
+    model = quality.fit(big, labels, 200)
     known = labels.join(big.select("doc_id", F.col("text").alias("t")), "doc_id")
     scored = quality.score(big, model, ["doc_id"]).join(known, "doc_id").collect()
     good, bad = [r.kept for r in scored if r.quality == 1], [r.kept for r in scored if r.quality == 0]
@@ -185,13 +185,51 @@ def test_quality(spark, docs, odd, none):
 def test_co_training_labels_help():
     r = np.random.default_rng(0)
     y = r.integers(0, 2, 400).astype(float)
-    text, meta = np.zeros((400, quality._CONTENT)), np.zeros((400, quality._SOURCES + quality._LANGS + quality._LENGTHS))
+    text, meta = np.zeros((400, quality._CONTENT)), np.zeros((400, quality._META))
     text[:, 0], meta[:, 0] = y * 2 - 1 + r.normal(0, 0.5, 400), y + r.normal(0, 0.2, 400)
-    m = quality.co_train(text[:60], meta[:60], y[:60], text[60:200], meta[60:200])
+    pool = lambda w, by: quality.pool_sums({"text": text[60:200], "meta": meta[60:200]}, w, by)
+    m = quality.co_train(text[:60], meta[:60], y[:60], pool)
     p = m.probabilities(text[200:], meta[200:])[2]
     assert ((p > 0.5) == y[200:]).mean() > 0.95
 
 
+def test_quality_against_brute_force(spark):
+    """Held-out accuracy, and the distributed fit against one over arrays on the driver."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    learnt, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    model = quality.fit(docs, learnt, 500)
+    rows = {r.doc_id: r for r in docs.collect()}
+    view = lambda r: (quality.content(np.frombuffer((r.text or "").encode(), np.uint8)), quality.metadata([r.source], [r.lang], np.array([r.n_chars or 0]))[0])
+    every = {i: view(r) for i, r in rows.items() if r.text}
+    order = [r.doc_id for r in learnt.join(docs.where("length(text) > 0"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(500).collect()]
+    y = {r.doc_id: float(r.quality) for r in learnt.collect()}
+    assert len(set(order)) == len(order) == 500
+    pool = [every[i] for i in every if i not in set(order)]
+    pool = {"text": np.array([t for t, _ in pool]), "meta": np.array([m for _, m in pool])}
+    want = quality.co_train(np.array([every[i][0] for i in order]), np.array([every[i][1] for i in order]), np.array([y[i] for i in order]), lambda w, by: quality.pool_sums(pool, w, by))
+    for a, b in ((model.text, want.text), (model.meta, want.meta), (model.both, want.both)):
+        assert np.abs(a - b).max() < 1e-3
+    got = {r.doc_id: r for r in quality.score(docs, model, ["doc_id"]).collect()}
+    truth = [(got[r.doc_id], r.quality) for r in held.collect() if r.doc_id in every]
+    right = lambda f: np.mean([(f(g) >= 0.5) == bool(q) for g, q in truth])
+    both, text, meta = right(lambda g: g.quality_score), right(lambda g: g.text_score), right(lambda g: g.meta_score)
+    print("held-out accuracy: both", both, "text", text, "meta", meta)
+    assert both >= 0.9 and both >= max(text, meta) - 0.01
+    # as many of the pool as are sure take part
+    sums = quality.distributed_pool(quality.stored_views(docs))({"text": model.text, "meta": model.meta}, {"text": model.text, "meta": model.meta})
+    assert sum(n for n, _, _ in sums["meta"]) > 500
+
+
+def test_quality_learns_from_long_texts(spark):
+    """Labels on texts beyond 20 kB alone: junk and prose are still told apart."""
+    rows = [(i, (f"A plain sentence about rivers and hills number {i}. " if i % 2 else f"$$ %% {i} ## @@ !! ") * 1200, "s", "en", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.score(df, quality.fit(df, labels)).where("doc_id >= 40").collect()
+    assert all((r.quality_score >= 0.5) == bool(r.doc_id % 2) for r in got)
+
+
 def exact(ids, x, queries, k):
     out = {}
     for q in queries:
