@@ -1,9 +1,11 @@
-"""Best-fit packing into bins of several permitted lengths.
-
-Pieces are dealt evenly over groups by hash, whatever their source, and each group is packed by
-itself, longest piece first: a piece goes into the open bin that it leaves least room in. If none has
-room, the bin size that costs least is opened: its fixed overhead, plus what the rest of the group can't
-be expected to fill. At the end each bin shrinks to the least permitted length that holds its contents.
+"""Best-fit packing of token ids into sequences of several permitted lengths.
+
+Documents are encoded, an end id follows each, and what is longer than the largest length is cut into pieces.
+Pieces are dealt evenly over groups by a hash of their document, place and contents, whatever their source and
+however the input is split, and each group is packed by itself, longest piece first: a piece goes into the open
+bin that it leaves least room in. If none has room, the bin size that costs least is opened: its fixed
+overhead and what the rest of the group can't fill, by token that is held. At the end each bin shrinks to the
+least permitted length that holds its contents, and is written as a sequence.
 """
 
 from __future__ import annotations
@@ -15,16 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.llm.bpe import LibraryEncoder, encoder, read_spec
+from rillmark.llm.common import pieces, release, small_batches, work_path
+
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Tokens that a bin costs besides its length.
 OVERHEAD = 16
-#: Pieces that a group has about.
-GROUP_ROWS = 2048
-
-
-def word_tokens(text: Column) -> Column:
-    """Words (runs of other than ASCII white space) and an end: at least 1, for null too."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
+#: Text bytes, or tokens where lengths are given, that a group has about; and tokens that are packed at once at most.
+GROUP_BYTES, GROUP_TOKENS, MOST_TOKENS = 512 << 10, 192 << 10, 4 << 20
+END_ID = 1
 
 
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,8 +68,8 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
             if not open_[room]:
                 rooms &= ~(1 << room)
         else:
-            cost = lambda c: overhead + c - n - min(c - n, below(min(c - n, sizes[-1])))  # noqa: B023, E731
-            room = min((c for c in sizes if c >= n), key=lambda c: ((overhead + cost(c)) / (c - cost(c) + overhead + 1), -c))
+            waste = {c: c - n - min(c - n, below(c - n)) for c in sizes if c >= n}
+            room = min(waste, key=lambda c: ((overhead + waste[c]) / (c - waste[c]), -c))
             b = len(filled)
             filled.append(0)
             room_of.append(room)
@@ -83,54 +84,67 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
     return bin_of, offset, final[bin_of] if filled else final
 
 
-def best_fit(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, group_rows: int = GROUP_ROWS, id_column: str = "doc_id") -> DataFrame:
-    """Packs documents: doc_id, piece, start, length, bin_id, bin_offset, capacity.
+def _groups(rows: DataFrame, total: int, size: int, key: list[str]) -> DataFrame:
+    """Deals rows by group and sorts each group, longest first."""
+    groups = max(1, -(-total // size))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    parts = max(1, min(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition(parts, "g").sortWithinPartitions("g", F.desc("length"), *key)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """(group, chunk, rows): a group's rows, in chunks of MOST_TOKENS should it have more."""
+    held: list[pa.RecordBatch] = []
+    group, chunk, size = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, n = batch.column("g").to_numpy(), batch.column("length").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and (group != int(g[a]) or size > MOST_TOKENS):
+                yield group, chunk, pa.Table.from_batches(held).combine_chunks()
+                chunk = chunk + 1 if group == int(g[a]) else 0
+                held, size = [], 0
+            group = int(g[a])
+            held.append(batch.slice(a, z - a))
+            size += int(n[a:z].sum())
+    if held:
+        yield group, chunk, pa.Table.from_batches(held).combine_chunks()
+
+
+def _bin_ids(group: int, chunk: int, bins: np.ndarray) -> np.ndarray:
+    return (group << 28) + (chunk << 20) + bins
+
+
+def best_fit(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS, id_column: str = "doc_id") -> DataFrame:
+    """Packs documents by a length that is given: doc_id, piece, start, length, bin_id, bin_offset, capacity.
 
     length is a document's tokens; null counts as 0, and a document of 0 tokens has no piece but one of
     length 0 (bin_id null), so that no document is lost. A document longer than the largest capacity is
     cut into pieces of that capacity, which fill a bin each, and a rest. Repeated rows and null ids are
-    packed as rows. bin_id is unique over groups. Only ids and lengths are shuffled.
+    packed as rows; other columns are ignored; an empty table gives an empty result. bin_id is unique over groups.
+    Only ids and lengths are shuffled.
     """
     most = max(capacities)
     n = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0).cast("long"))
     items = docs.select(F.col(id_column).cast("long").alias("doc_id"), n.alias("n"))
     cut = items.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest((F.col("n") - 1).cast("long"), F.lit(0).cast("long")), F.lit(most).cast("long"))).alias("start"))
     cut = cut.select("doc_id", (F.col("start") / most).cast("int").alias("piece"), "start", F.least(F.lit(most).cast("long"), F.col("n") - F.col("start")).alias("length"))
-    rows = docs.count()
-    groups = max(1, -(-rows // group_rows))
-    # a row's own number spreads rows of one id as well
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    total = items.agg(F.coalesce(F.sum(F.greatest("n", F.lit(1))), F.lit(0))).head()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
+        for group, chunk, t in _by_group(batches):
             length = t["length"].to_numpy()
             some = length > 0
             b, offset, capacity = pack(length[some], capacities)
-            group = int(t["g"][0].as_py())
-            full = lambda x: pa.array(_spread(x, some), pa.int64(), mask=~some)
-            return pa.RecordBatch.from_arrays(
-                [t[c].combine_chunks() for c in ("doc_id", "piece", "start", "length")] + [full((group << 32) + b), full(offset), full(capacity)],
+            full = lambda x: pa.array(_spread(x, some), pa.int64(), mask=~some)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [t[c].combine_chunks() for c in ("doc_id", "piece", "start", "length")] + [full(_bin_ids(group, chunk, b)), full(offset), full(capacity)],
                 names=["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity"],
             )
 
-        for batch in batches:
-            g = batch.column("g").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if z <= a:
-                    continue
-                if held and held[0].column("g")[0].as_py() != int(g[a]):
-                    yield out()
-                    held = []
-                held.append(batch.slice(a, z - a))
-        if held:
-            yield out()
-
-    spread = dealt.repartition(max(1, min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "g")
-    spread = spread.sortWithinPartitions("g", F.desc("length"), "doc_id", "start")
+    spread = _groups(cut, total, group_tokens, ["doc_id", "start", "length"])
     return spread.mapInArrow(run, "doc_id long, piece int, start long, length long, bin_id long, bin_offset long, capacity long")
 
 
@@ -138,3 +152,89 @@ def _spread(values: np.ndarray, where: np.ndarray) -> np.ndarray:
     out = np.zeros(len(where), np.int64)
     out[where] = values
     return out
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, most: int, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, start, length and ids of each document's pieces of at most most ids. ids are little-endian, of 16 bits if
+    the vocabulary has no more, else of 32."""
+    small_batches(docs.sparkSession)
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    kinds = "doc_id long, start long, length long, ids binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(spec.value, LibraryEncoder)
+        kind = id_kind(bpe.library.get_vocab_size(with_added_tokens=True), end_id)
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                doc, start, length, data = [], [], [], []
+                for i, x in zip(batch.column("id").to_pylist(), bpe.encode_batch(batch.column("text").to_pylist()), strict=True):
+                    ids = np.append(np.frombuffer(x, "<u4"), end_id).astype(kind)
+                    for a in range(0, len(ids), most):
+                        part = ids[a : a + most]
+                        doc.append(i)
+                        start.append(a)
+                        length.append(len(part))
+                        data.append(part.tobytes())
+                for a in range(0, len(doc), 1024):
+                    b = a + 1024
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[a:b], pa.int64()), pa.array(start[a:b], pa.int64()), pa.array(length[a:b], pa.int64()), pa.array(data[a:b], pa.binary())], names=["doc_id", "start", "length", "ids"])
+        release()
+
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, kinds)
+
+
+def id_kind(vocabulary: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+
+
+def pack_sequences(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...] = CAPACITIES, path: str | None = None, group_bytes: int = GROUP_BYTES, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Encodes documents, packs them, writes the sequences as Parquet to path (else to the shared folder) and reads them.
+
+    A row is a sequence: bin_id, capacity (its permitted length), n_tokens, ids (binary: the pieces' ids end to end;
+    see token_pieces), and of each piece doc_ids, starts (in its document) and lengths. An empty or null text has the end
+    id alone. Repeated rows and null ids are packed as rows. Other columns are ignored; an empty table gives
+    no sequence. A document of any length is cut into pieces of the largest capacity and a rest. The same rows in any
+    order give the same sequences.
+    """
+    spark = docs.sparkSession
+    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_column), F.lit(0)) + 1), F.lit(0))).head()[0]
+    dealt = _groups(token_pieces(docs, tokenizer_path, max(capacities), end_id, id_column, text_column), total, group_bytes, ["doc_id", "start", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, chunk, t in _by_group(batches):
+            length, ids = t["length"].to_numpy(), t["ids"].to_pylist()
+            doc, start = t["doc_id"].to_pylist(), t["start"].to_numpy()
+            b, offset, capacity = pack(length, capacities)
+            order = np.lexsort((offset, b))
+            cuts = np.flatnonzero(np.diff(b[order], prepend=-1)).tolist()
+            members = [order[x:y].tolist() for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+            size = np.bincount(b, weights=length).astype(np.int64)
+            for x in range(0, len(members), 256):
+                some = members[x : x + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(_bin_ids(group, chunk, np.arange(x, x + len(some))), pa.int64()),
+                        pa.array([int(capacity[m[0]]) for m in some], pa.int64()),
+                        pa.array(size[x : x + len(some)], pa.int64()),
+                        pa.array([[doc[i] for i in m] for m in some], pa.list_(pa.int64())),
+                        pa.array([start[m] for m in some], pa.list_(pa.int64())),
+                        pa.array([length[m] for m in some], pa.list_(pa.int64())),
+                        pa.array([b"".join([ids[i] for i in m]) for m in some], pa.binary()),
+                    ],
+                    names=["bin_id", "capacity", "n_tokens", "doc_ids", "starts", "lengths", "ids"],
+                )
+
+    kinds = "bin_id long, capacity long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, ids binary"
+    path = path or work_path(spark, "sequences")
+    dealt.mapInArrow(run, kinds).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(kinds).parquet(path)
+
+
+def spans(sequences: DataFrame) -> DataFrame:
+    """A row for each piece of written sequences: doc_id, start, length, bin_id, bin_offset, capacity, and ids_crc32 of its ids
+    as they are stored."""
+    each = sequences.select("bin_id", "capacity", "lengths", "ids", (F.octet_length("ids") / F.col("n_tokens")).cast("int").alias("width"), F.posexplode(F.arrays_zip("doc_ids", "starts", "lengths")).alias("k", "p"))
+    at = F.aggregate(F.slice("lengths", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x)
+    each = each.select("bin_id", "capacity", "ids", "width", at.alias("bin_offset"), F.col("p.doc_ids").alias("doc_id"), F.col("p.starts").alias("start"), F.col("p.lengths").alias("length"))
+    own = F.substring("ids", (F.col("bin_offset") * F.col("width") + 1).cast("int"), (F.col("length") * F.col("width")).cast("int"))
+    return each.select("doc_id", "start", "length", "bin_id", "bin_offset", "capacity", F.crc32(own).alias("ids_crc32"))

@@ -25,9 +25,9 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rillmark.llm.packing import best_fit, word_tokens
+    from rillmark.llm.packing import pack_sequences, spans
 
-    return best_fit(table(spark, sf_dir, "documents"), word_tokens(F.col("text")))
+    return spans(pack_sequences(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

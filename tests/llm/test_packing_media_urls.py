@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -6,9 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rillmark.llm import packing, telephony, urlfilter
-from rillmark.llm.queries import op2_best_fit_packing, op3_url_filter, op5_telephony_media
+from rillmark.llm.queries import op2_best_fit_packing, op3_url_filter, op5_telephony_media, tokenizer_path
 
 from .conftest import ODD, SF
 
@@ -28,26 +31,96 @@ def test_pack(lengths):
         assert [o for o, _ in ends] == [0, *np.cumsum([n for _, n in ends])[:-1].tolist()]
 
 
-def test_packing_keeps_every_token(spark, docs, odd, none):
+def cheapest(lengths, sizes, overhead):
+    """The least cost of any packing, over all ways to share pieces among bins."""
+    best = [math.inf]
+
+    def go(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in sizes if c >= b) + overhead for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(sizes):
+                go(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=7))
+def test_pack_against_the_optimum(lengths):
+    """Never beyond 3/2 of the optimum on small inputs."""
+    b, _, capacity = packing.pack(np.array(lengths, np.int64), (16, 32, 64), 2)
+    cost = sum(int(capacity[b == k][0]) + 2 for k in set(b.tolist()))
+    assert cost <= 1.5 * cheapest(lengths, (16, 32, 64), 2)
+
+
+def fill(rows):
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin_id, []).append((r.bin_offset, r.length, r.capacity))
+    for held in bins.values():
+        held.sort()
+        assert [o for o, _, _ in held] == [0, *np.cumsum([n for _, n, _ in held])[:-1].tolist()]
+        assert sum(n for _, n, _ in held) <= held[0][2]
+    return sum(r.length for r in rows) / sum(v[0][2] for v in bins.values())
+
+
+def test_packing_by_length(spark, docs, odd, none):
+    tokens = F.coalesce(F.size(F.split("text", " ")), F.lit(0)) + 1
     for df in (docs, odd):
-        rows = packing.best_fit(df, packing.word_tokens(F.col("text")), (64, 256, 1024), 50).collect()
-        want = df.select("doc_id", packing.word_tokens(F.col("text")).alias("n")).collect()
+        rows = packing.best_fit(df, tokens, (64, 256, 1024), 5000).collect()
+        want = df.select("doc_id", tokens.alias("n")).collect()
         assert sum(r.length for r in rows) == sum(r.n for r in want)
         assert {r.doc_id for r in rows} == {r.doc_id for r in want}
-        bins = {}
-        for r in rows:
-            bins.setdefault(r.bin_id, []).append((r.bin_offset, r.length, r.capacity))
-        for held in bins.values():
-            held.sort()
-            assert [o for o, _, _ in held] == [0, *np.cumsum([n for _, n, _ in held])[:-1].tolist()]
-            assert sum(n for _, n, _ in held) <= held[0][2]
-        used = sum(r.length for r in rows) / sum(v[0][2] for v in bins.values())
-        assert used > 0.8
+        assert fill(rows) > 0.8
     assert packing.best_fit(none, F.lit(3)).count() == 0
     null = packing.best_fit(odd, F.lit(None)).collect()
     assert len(null) == odd.count()
     assert all(r.length == 0 and r.bin_id is None for r in null)
-    assert op2_best_fit_packing(spark, SF).select("doc_id").distinct().count() == docs.count()
+
+
+def test_a_long_document_is_many_groups(spark):
+    df = spark.createDataFrame([(1, 3_000_000), (2, 5)], "doc_id long, n long")
+    dealt = packing.best_fit(df, F.col("n"))
+    groups = dealt.where("bin_id is not null").select((F.col("bin_id") / (1 << 28)).cast("long").alias("g")).groupBy("g").count().collect()
+    assert len(groups) > 8
+    assert max(r["count"] for r in groups) * 4096 < 4 * packing.GROUP_TOKENS
+
+
+def test_sequences_hold_all_ids(spark, docs, odd, none):
+    library = Tokenizer.from_file(tokenizer_path())
+    for df in (docs, odd.withColumns({"starts": F.lit(1), "lengths": F.lit(2), "g": F.lit(3)})):
+        sequences = packing.pack_sequences(df, tokenizer_path(), (64, 256, 1024), group_bytes=40_000)
+        found = collections.defaultdict(list)
+        for r in sequences.collect():
+            ids = np.frombuffer(r.ids, "<u2")
+            assert len(ids) == r.n_tokens == sum(r.lengths) and r.capacity == min(c for c in (64, 256, 1024) if c >= r.n_tokens)
+            at = 0
+            for i, start, n in zip(r.doc_ids, r.starts, r.lengths, strict=True):
+                found[i, start].append(tuple(ids[at : at + n].tolist()))
+                at += n
+        want = collections.defaultdict(list)
+        for r in df.select("doc_id", "text").collect():
+            ids = [*library.encode(r.text or "", add_special_tokens=False).ids, packing.END_ID]
+            for a in range(0, len(ids), 1024):
+                want[r.doc_id, a].append(tuple(ids[a : a + 1024]))
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+        rows = packing.spans(sequences).collect()
+        assert fill(rows) > 0.9
+        for r in rows:
+            crc = {zlib.crc32(np.array(x, "<u2").tobytes()) for x in want[r.doc_id, r.start]}
+            assert r.ids_crc32 in crc
+    assert packing.pack_sequences(none, tokenizer_path()).count() == 0
+
+
+def test_sequences_do_not_depend_on_the_split(spark, docs):
+    one = packing.spans(packing.pack_sequences(docs, tokenizer_path())).collect()
+    other = packing.spans(packing.pack_sequences(docs.repartition(7, "n_chars"), tokenizer_path())).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other))
+    assert sorted(map(tuple, op2_best_fit_packing(spark, SF).collect())) == sorted(map(tuple, one))
 
 
 def test_tables():
