@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rillmark.llm import langid, neardup, packing, quality
 from rillmark.llm.common import stored, table
+from rillmark.llm.queries import tokenizer_path
 
 #: A language prediction below this is no language that was learnt.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -41,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
-    return packing.best_fit(docs, packing.word_tokens(F.col("text")))
+    """Writes the training sequences of token ids; where each piece of each document lies in them."""
+    return packing.spans(packing.pack_sequences(docs, tokenizer_path()))
 
 
 STAGES = [
