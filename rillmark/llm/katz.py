@@ -1,14 +1,19 @@
 """Language-model scoring by Katz backoff.
 
 Counts come from all training documents. Seen n-grams are discounted by Good-Turing, unseen ones get
-the lower order's probability times the history's backoff weight, which is normalised exactly.
-
-Layout. Documents become blocks of packed tokens, written once: per block the sorted 64-bit hashes of
-its distinct words and, in text order, the place of each token's word there. A block counts its own
-n-grams first, so the exchange to the tables carries each n-gram once a block however often it occurs.
-The tables are partitioned by hash; a frequent history is spread over SALTS partitions by its next word.
-Each partition answers the blocks that asked with one array; the blocks score their documents with the
-answers. Nothing is broadcast but the count-of-counts.
+the lower order's probability times the history's backoff weight, which is normalised exactly; the lower order
+backs off in the same way, down to words.
+
+Layout. Documents become blocks of packed tokens, written once. Order by order, each block counts its own
+distinct n-grams and asks for them at tables that are partitioned by the hash of the history, so the exchange
+carries an n-gram once a block however often it occurs. A table's part adds the counts up, and answers each
+block with the counts of what it asked for and with what a backoff weight needs of each history: how many next
+words have which count, and which count of the lower order. All of that are whole numbers: sums are exact, and an
+n-gram that has been seen has a shorter form that has been seen, so the weights need nothing else. Then each
+block scores its documents. Nothing is broadcast but the counts of counts.
+
+Bounds. There are as many parts as the tokens need, BUCKET_TOKENS each, and a history that has been seen very
+often is spread over parts by its next word, one for HOT of its tokens; a block asks all of them for their sums.
 """
 
 from __future__ import annotations
@@ -24,29 +29,49 @@ from pyspark.sql import functions as F
 
 from rillmark.llm.common import flat, mixed, pieces, release, small_batches, stored, stored_by, words
 
-#: Text bytes of a block.
-BLOCK_BYTES = 6 << 20
+ORDER = 3
+#: Text bytes of a block, tokens that a part of a table stands for, and tokens of a history from which it is spread.
+BLOCK_BYTES, BUCKET_TOKENS, HOT = 4 << 20, 1 << 20, 1 << 18
 #: Counts above this are not discounted.
 UNDISCOUNTED = 5
-SALTS = 16
 #: The hash of the end of a text, which no word has but by chance.
 END = np.uint64(0xE2D0_0000_0000_0003)
-#: Words get dense numbers from the unigram table, below this one, which is the start of a text.
-START_ID = np.uint64(2**32 - 1)
+_ODD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: What is told of a history: next words of count 1 .. UNDISCOUNTED and tokens of greater counts; then the same by the
+#: count of the lower order, of those next words that have been seen.
+_SUMS = 2 * (UNDISCOUNTED + 1)
 
-_BLOCK = "block long, ids binary, held_out binary, sizes binary, vocabulary binary, tokens binary"
+_BLOCK = "block long, n_tokens long, ids binary, held_out binary, sizes binary, vocabulary binary, tokens binary"
+_ZSTD: dict[str, object] = {}
 
 
-def _press(a: np.ndarray) -> bytes:
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as zstd of their bytes, the lowest bytes of all first; bytes that all have 0 are left out."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    values = np.ascontiguousarray(values.ravel(), "<u8")
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    planes = values.view(np.uint8).reshape(-1, 8).T[:width]
+    return bytes([width]) + _ZSTD.setdefault("c", zstandard.ZstdCompressor(level=1)).compress(planes.tobytes())
 
 
-def _unpress(data: bytes, kind: str) -> np.ndarray:
+def unpacked(data: bytes) -> np.ndarray:
+    """The numbers as unsigned 64-bit."""
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(_ZSTD.setdefault("d", zstandard.ZstdDecompressor()).decompress(data[1:]), np.uint8)
+    width = data[0]
+    if not width:
+        return np.zeros(0, np.uint64)
+    out = np.zeros((planes.size // width, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _filled(data: bytes, n: int) -> np.ndarray:
+    """unpacked() of n numbers, which may all be 0."""
+    got = unpacked(data).astype(np.int64)
+    return got if len(got) else np.zeros(n, np.int64)
 
 
 def is_held_out(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
@@ -68,10 +93,10 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
             ids = np.concatenate([h[0] for h in held])
             count = np.concatenate([h[1] for h in held])
             vocabulary, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-            row = (part << 32 | number, ids.astype("<i8").tobytes(), is_held_out(ids, modulus, remainder).tobytes(), count.astype("<i8").tobytes(), vocabulary.tobytes(), _press(tokens.astype("<u4")))
+            row = (part << 32 | number, len(tokens), ids.astype("<i8").tobytes(), is_held_out(ids, modulus, remainder).tobytes(), count.astype("<i8").tobytes(), vocabulary.tobytes(), packed(tokens))
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip(row, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["block", "ids", "held_out", "sizes", "vocabulary", "tokens"]
+                [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["block", "n_tokens", "ids", "held_out", "sizes", "vocabulary", "tokens"]
             )
 
         for whole in batches:
@@ -93,64 +118,237 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
 
 
 class _Block:
-    """A block unpacked: tokens and their histories as places in the vocabulary, and who trains."""
+    """A block unpacked: tokens as places in the vocabulary, and who trains."""
 
     def __init__(self, row: dict) -> None:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.held_out = np.frombuffer(row["held_out"], bool)
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.tokens = _unpress(row["tokens"], "<u4").astype(np.int32)
+        self.tokens = _filled(row["tokens"], row["n_tokens"])
         self.first = np.cumsum(self.sizes) - self.sizes
         self.trains = np.repeat(~self.held_out, self.sizes)
-        # the history of a text's first token is the start, a place after the vocabulary
-        self.history = np.concatenate((np.zeros(1, np.int32), self.tokens[:-1]))
-        self.history[self.first] = len(self.vocabulary)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (history, token) codes of all documents, each token's place among them, and training counts."""
-        code = self.history.astype(np.int64) * (len(self.vocabulary) + 1)
-        code += self.tokens
-        distinct, at = np.unique(code, return_inverse=True)
-        return distinct, at, np.bincount(at[self.trains], minlength=len(distinct))
+
+class _Order:
+    """The distinct n-grams of a block of one order. Histories are the n-grams of the order below, and one more: the
+    start of a text. at is each token's n-gram; hist, word and lower are each n-gram's history, last word and shorter form."""
+
+    def __init__(self, b: _Block, at: np.ndarray, below: int) -> None:
+        histories = np.concatenate((np.zeros(1, np.int64), at[:-1]))
+        histories[b.first] = below
+        size = len(b.vocabulary)
+        distinct, self.at = np.unique(histories * size + b.tokens, return_inverse=True)
+        self.hist, self.word = np.divmod(distinct, size)
+        self.lower = np.empty(len(distinct), np.int64)
+        self.lower[self.at] = at
+        self.own = np.bincount(self.at[b.trains], minlength=len(distinct))
+
+
+class _Units:
+    """Where an order's n-grams are asked for: a unit is a history in one part, of several if it is hot. Everything is in
+    order of part and unit's key, so that answers find their places again."""
+
+    def __init__(self, o: _Order, keys: np.ndarray, counts: np.ndarray, numbers: np.ndarray, n: int) -> None:
+        used = np.zeros(len(keys), bool)
+        used[o.hist] = True
+        spread = np.where(used, 1 + counts // HOT, 0)
+        self.base = np.cumsum(spread) - spread
+        self.of = np.repeat(np.arange(len(keys)), spread)
+        salt = np.arange(len(self.of)) - self.base[self.of]
+        mark = mixed(keys[self.of] + (salt + 1).astype(np.uint64) * _SALT)
+        part, key = (mixed(mark) % np.uint64(n)).astype(np.int64), mark >> np.uint64(16)
+        self.order = np.lexsort((key, part))
+        self.key = key[self.order]
+        self.cuts = np.searchsorted(part[self.order], np.arange(n + 1))
+        rank = np.empty(len(self.order), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        number = mixed(numbers[o.word])
+        unit = rank[self.base[o.hist] + (number % np.maximum(spread[o.hist], 1).astype(np.uint64)).astype(np.int64)]
+        self.grams = np.argsort(unit, kind="stable")
+        self.runs = np.bincount(unit, minlength=len(self.order))
+        self.ends = np.concatenate(([0], np.cumsum(self.runs)))
+
+    def part(self, k: int) -> tuple[slice, np.ndarray]:
+        """The units and the n-grams of part k."""
+        a, b = self.cuts[k], self.cuts[k + 1]
+        return slice(a, b), self.grams[self.ends[a] : self.ends[b]]
+
+
+class _Known:
+    """What a block knows after some answers: of words and of each order, counts and histories' sums."""
+
+    def __init__(self, row: dict, n: int, orders: int) -> None:
+        self.b = b = _Block(row)
+        self.n = n
+        of = _by_part(row["answers1"])
+        order, cuts = _split(mixed(b.vocabulary), n)
+        self.count, self.number = np.zeros(len(b.vocabulary), np.int64), np.zeros(len(b.vocabulary), np.uint64)
+        for k, a in of.items():
+            some = order[cuts[k] : cuts[k + 1]]
+            self.count[some] = _filled(a["counts"], len(some))
+            self.number[some] = _filled(a["sums"], len(some)) * n + k
+        self.texts = int(self.count[np.searchsorted(b.vocabulary, END)]) if len(b.vocabulary) else 0
+        self.words, self.keys, self.counts, self.at = mixed(b.vocabulary), mixed(b.vocabulary), self.count, b.tokens
+        self.orders: list[tuple[_Order, np.ndarray, np.ndarray]] = []
+        for k in range(2, orders + 1):
+            o, units = self.next()
+            count, sums = np.zeros(len(o.word), np.int64), np.zeros((_SUMS, len(units.order)), np.int64)
+            for part, a in _by_part(row[f"answers{k}"]).items():
+                some, grams = units.part(part)
+                count[grams] = _filled(a["counts"], len(grams))
+                sums[:, units.order[some]] = _filled(a["sums"], _SUMS * (some.stop - some.start)).reshape(_SUMS, -1)
+            whole = np.zeros((_SUMS, len(units.base)), np.int64)
+            for j in range(_SUMS):
+                whole[j] = np.bincount(units.of, weights=sums[j], minlength=len(units.base))
+            self.orders.append((o, count, whole))
+            self.keys = mixed(self._history_keys()[o.hist] * _ODD + self.words[o.word])
+            self.counts, self.at = count, o.at
+
+    def _history_keys(self) -> np.ndarray:
+        return np.append(self.keys, END + np.uint64(len(self.orders) + 1))
+
+    def next(self) -> tuple[_Order, _Units]:
+        """The order after those that are known."""
+        o = _Order(self.b, self.at, len(self.counts))
+        return o, _Units(o, self._history_keys(), np.append(self.counts, self.texts), self.number, self.n)
+
+
+def _by_part(answers: list[dict] | None) -> dict[int, dict]:
+    return {a["bucket"]: a for a in answers or []}
 
 
 def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, cuts): keys by partition, stable."""
+    """(order, cuts): keys by part, stable."""
     part = (key % np.uint64(n)).astype(np.int64)
     return np.argsort(part, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(part, minlength=n))))
 
 
-def _exchange(asked: DataFrame, n: int, answer, schema: str) -> DataFrame:
-    """Deals rows (bucket, block, ...) by bucket and gives answer() each bucket's rows in order of block."""
-    return asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_by_bucket(answer), schema)
+_ASK = "bucket int, block long, keys binary, runs binary, words binary, own binary, lower binary"
+_TELL = "bucket int, block long, counts binary, sums binary, facts binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+
 
+def _in_parts(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), 256):
+        yield _batch(schema, rows[a : a + 256])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+            release()
+
+
+def _exchange(asked: DataFrame, n: int, answer, what: str) -> DataFrame:
+    """Deals rows by bucket, gives answer() each bucket's rows in order of block, and writes what it tells."""
 
-def _by_bucket(answer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if rows and rows[0]["bucket"] != row["bucket"]:
-                    yield from answer(rows)
+                    yield from _in_parts(answer(rows), _TELL)
                     rows = []
+                    release()
                 rows.append(row)
         if rows:
-            yield from answer(rows)
+            yield from _in_parts(answer(rows), _TELL)
         release()
 
-    return run
+    told = stored(asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _TELL), what, "uncompressed")
+    free_shuffles(asked.sparkSession)
+    return told
 
 
-def _record(kinds: dict[str, pa.DataType], **values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values[k], t) for k, t in kinds.items()], names=list(kinds))
+def free_shuffles(spark) -> None:
+    """Lets the driver's collector see plans that are done with, so that Spark removes their shuffle files."""
+    spark.sparkContext._jvm.System.gc()
 
 
-def _combined(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys of all arrays, the sums of their values, and each array's places among them."""
+def ask_words(blocks: DataFrame, n: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            b = _Block(row)
+            own = np.bincount(b.tokens[b.trains], minlength=len(b.vocabulary))
+            order, cuts = _split(mixed(b.vocabulary), n)
+            rows = []
+            for k in range(n):
+                some = order[cuts[k] : cuts[k + 1]]
+                if len(some):
+                    rows.append((k, row["block"], b.vocabulary[some].tobytes(), b"", b"", packed(own[some]), b""))
+            yield from _in_parts(rows, _ASK)
+
+    return blocks.mapInArrow(run, _ASK)
+
+
+def answer_words(rows: list[dict]) -> list[tuple]:
+    """counts are the words' training counts, and sums their places in the part, which number them."""
+    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(values), minlength=len(distinct)).astype(np.int64)
-    return distinct, total, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, at, np.concatenate([_filled(r["own"], len(k)) for r, k in zip(rows, keys, strict=True)]))
+    facts = _counts_of_counts(total).astype("<i8").tobytes()
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return [(r["bucket"], r["block"], packed(total[p]), packed(p), None if i else facts) for i, (r, p) in enumerate(zip(rows, np.split(at, cuts), strict=True))]
+
+
+def ask_order(known: DataFrame, k: int, n: int) -> DataFrame:
+    """Each block's n-grams of order k, by part: keys are the units', in order and as differences; runs how many n-grams each
+    has; then of each n-gram its last word's number, its own count, and the count of its shorter form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            known = _Known(row, n, k - 1)
+            o, units = known.next()
+            rows = []
+            for part in range(n):
+                some, grams = units.part(part)
+                if some.start == some.stop:
+                    continue
+                steps = np.diff(units.key[some], prepend=np.uint64(0))
+                rows.append((part, row["block"], packed(steps), packed(units.runs[some]), packed(known.number[o.word[grams]]), packed(o.own[grams]), packed(known.counts[o.lower[grams]])))
+            yield from _in_parts(rows, _ASK)
+            del known, o, units, rows
+
+    return known.mapInArrow(run, _ASK)
+
+
+def answer_order(rows: list[dict]) -> list[tuple]:
+    keys, grams, own, lower = [], [], [], []
+    for r in rows:
+        runs = unpacked(r["runs"]).astype(np.int64)
+        key = np.cumsum(unpacked(r["keys"]), dtype=np.uint64)
+        if not len(runs):  # units without n-grams alone
+            runs = np.zeros(len(key), np.int64)
+        m = int(runs.sum())
+        word = unpacked(r["words"])
+        word = word if len(word) else np.zeros(m, np.uint64)
+        keys.append(key)
+        grams.append(mixed(np.repeat(key, runs) * _ODD + mixed(word)))
+        own.append(_filled(r["own"], m))
+        lower.append(_filled(r["lower"], m))
+        r["runs"] = runs
+    histories, unit = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, at, np.concatenate(own))
+    low, hist = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    low[at] = np.concatenate(lower)
+    hist[at] = np.repeat(unit, np.concatenate([r["runs"] for r in rows]))
+    seen = np.flatnonzero(total)
+    sums = np.zeros((_SUMS, len(histories)), np.int64)
+    for half, count in enumerate((total[seen], low[seen])):
+        np.add.at(sums, (half * (UNDISCOUNTED + 1) + np.minimum(count, UNDISCOUNTED + 1) - 1, hist[seen]), np.where(count > UNDISCOUNTED, count, 1))
+    facts = _counts_of_counts(total).astype("<i8").tobytes()
+    each, units = np.split(at, np.cumsum([len(g) for g in grams])[:-1]), np.split(unit, np.cumsum([len(k) for k in keys])[:-1])
+    return [(r["bucket"], r["block"], packed(total[p]), packed(sums[:, u]), None if i else facts) for i, (r, p, u) in enumerate(zip(rows, each, units, strict=True))]
 
 
 def _counts_of_counts(total: np.ndarray) -> np.ndarray:
@@ -207,172 +405,75 @@ class Unigrams:
         return np.where(count > 0, _discounted(count, self.d) / max(self.n, 1) * self.scale, self.unseen)
 
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, partitions: int | None = None) -> DataFrame:
-    """Scores all documents by a Katz bigram model learnt from those with crc32(doc_id) mod modulus other than
-    remainder.
+def order_weights(sums: np.ndarray, d: np.ndarray, seen_low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens after each history, backoff weight): what the seen next words leave, over what they leave of the
+    lower order. A history that leaves nothing sets one token aside, and its seen words shrink to make room."""
+    few = np.arange(1, UNDISCOUNTED + 1)[:, None]
+    tokens = (sums[:UNDISCOUNTED] * few).sum(axis=0) + sums[UNDISCOUNTED]
+    kept = (sums[:UNDISCOUNTED] * few * d[1 : UNDISCOUNTED + 1, None]).sum(axis=0) + sums[UNDISCOUNTED]
+    left = 1 - kept / np.maximum(tokens, 1)
+    none = left <= 1e-12
+    return np.where(none, tokens + 1, tokens), np.where(none, 1 / (tokens + 1), left) / np.maximum(1 - seen_low, 1e-12)
+
+
+def probabilities(known: _Known, unigrams: Unigrams, d: list[np.ndarray]) -> np.ndarray:
+    """The probability of each token of a block, by recursion from words to the highest order."""
+    p, total = unigrams.probability(known.count), None
+    for k, (o, count, sums) in enumerate(known.orders):
+        few = np.arange(1, UNDISCOUNTED + 1)
+        by_low = sums[UNDISCOUNTED + 1 :]
+        if k == 0:
+            weight, over = unigrams.probability(few), unigrams.n / unigrams.scale if unigrams.n else 1.0
+        else:
+            # the shorter history of each history; that of the start is the start
+            below = known.orders[k - 1][0]
+            weight, over = few * d[k - 1][1 : UNDISCOUNTED + 1], np.maximum(total[np.append(below.lower, len(total) - 1)], 1)
+        low = (by_low[:UNDISCOUNTED] * weight[:, None]).sum(axis=0)
+        seen_low = low + by_low[UNDISCOUNTED] / over if k == 0 else (low + by_low[UNDISCOUNTED]) / over
+        total, alpha = order_weights(sums, d[k], seen_low)
+        p = np.where(count > 0, _discounted(count, d[k]) / np.maximum(total[o.hist], 1), alpha[o.hist] * p[o.lower])
+    return p[known.at]
+
+
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, parts: int | None = None) -> DataFrame:
+    """Scores all documents by a Katz model of n-grams up to order, learnt from those with crc32(doc_id) mod modulus
+    other than remainder.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). Tokens are
-    words with A-Z lower-cased and an end for each text; a text's first token has the start as history.
-    A null or empty text has the end alone. Rows with null doc_id have no training half and are left out.
+    words with A-Z lower-cased and an end for each text; histories reach back to the start of a text. A null or empty
+    text has the end alone. Rows with null doc_id have no training half and are left out.
     With no training token at all every token has the unseen word's probability 1. Repeated rows count
-    each. Other columns are ignored.
+    each. Texts of any length are scored whole; other columns are ignored; an empty table gives an empty result.
+    Words and histories are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     blocks = token_blocks(docs, modulus, remainder)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24)
-
-    # unigrams: each block asks once for each of its words
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                b = _Block(row)
-                own = np.bincount(b.tokens[b.trains], minlength=len(b.vocabulary))
-                order, cuts = _split(mixed(b.vocabulary), n)
-                for k in range(n):
-                    some = order[cuts[k] : cuts[k + 1]]
-                    if len(some):
-                        yield _record(kinds, bucket=[k], block=[row["block"]], keys=[b.vocabulary[some].tobytes()], counts=[_press(own[some].astype("<u4"))])
-
-    def answer_words(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), "counts": pa.binary(), "facts": pa.binary()}
-        keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
-        distinct, total, places = _combined(keys, [_unpress(r["counts"], "<u4") for r in rows])
-        if len(distinct) * n >= START_ID:
-            raise ValueError(f"more than {START_ID} distinct words")
-        facts = _counts_of_counts(total).astype("<i8").tobytes()
-        for k, (r, at) in enumerate(zip(rows, places, strict=True)):
-            yield _record(kinds, bucket=[r["bucket"]], block=[r["block"]], counts=[_press(np.array([total[at], at * n + r["bucket"]], "<i8"))], facts=[None if k else facts])
-
-    asked = blocks.mapInArrow(ask_words, "bucket int, block long, keys binary, counts binary")
-    known = stored(_exchange(asked, n, answer_words, "bucket int, block long, counts binary, facts binary"), "unigrams", "uncompressed")
-    unigrams = Unigrams(_sum_facts(known))
-
-    # bigrams: each block asks once for each of its pairs, and tells the count of the token for backoff
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), "left": pa.binary(), "facts": pa.binary()}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                b = _Block(row)
-                count, number = _word_facts(b.vocabulary, row["answers"], n)
-                distinct, _, own = b.pairs()
-                left, right = np.divmod(distinct, len(b.vocabulary) + 1)
-                lefts, rights = np.append(number, START_ID)[left], number[right]
-                order, cuts = _split(_pair_bucket(lefts, rights), n)
-                for k in range(n):
-                    some = order[cuts[k] : cuts[k + 1]]
-                    if not len(some):
-                        continue
-                    # in order of history: a history is sent once with its number of pairs
-                    begin = np.flatnonzero(np.diff(left[some], prepend=-1))
-                    run = np.diff(np.append(begin, len(some)))
-                    facts = np.concatenate((rights[some], own[some], np.minimum(count[right[some]], 2**32 - 1)))
-                    yield _record(kinds, bucket=[k], block=[row["block"]], left=[_press(np.concatenate((lefts[some[begin]], run)).astype("<u4"))], facts=[_press(facts.astype("<u4"))])
-                release()
-
-    def answer_pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), "counts": pa.binary(), "facts": pa.binary(), "histories": pa.binary()}
-        facts = [_unpress(r["facts"], "<u4").reshape(3, -1) for r in rows]
-        keys = []
-        for r, f in zip(rows, facts, strict=True):
-            left, run = _unpress(r["left"], "<u4").reshape(2, -1)
-            keys.append(np.repeat(left.astype(np.uint64), run) << np.uint64(32) | f[0].astype(np.uint64))
-        distinct, total, places = _combined(keys, [f[1] for f in facts])
-        histories = _history_sums([f[2] for f in facts], distinct, total, places, unigrams)
-        for k, (r, at) in enumerate(zip(rows, places, strict=True)):
-            yield _record(
-                kinds, bucket=[r["bucket"]], block=[r["block"]], counts=[_press(np.minimum(total[at], 2**32 - 1).astype("<u4"))],
-                facts=[None if k else _counts_of_counts(total).astype("<i8").tobytes()], histories=[None if k else histories],
-            )
-
-    with_words = blocks.join(_gathered(known, "counts"), "block", "left")
-    asked = with_words.mapInArrow(ask_pairs, "bucket int, block long, left binary, facts binary")
-    answered = stored(_exchange(asked, n, answer_pairs, "bucket int, block long, counts binary, facts binary, histories binary"), "bigrams", "uncompressed")
-    pair_discounts = discounts(_sum_facts(answered)[2:])
-
-    # histories: sums of the salted parts, then each history's total and backoff weight
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "sums": pa.binary()}
-        for batch in batches:
-            for row in batch.to_pylist():
-                m = _unpress(row["histories"], "<f8").reshape(UNDISCOUNTED + 3, -1)
-                key = m[0].astype(np.uint64)
-                order, cuts = _split(mixed(key), n)
-                for k in range(n):
-                    some = order[cuts[k] : cuts[k + 1]]
-                    if len(some):
-                        yield _record(kinds, bucket=[k], block=[-1 - row["bucket"]], keys=[key[some].tobytes()], sums=[_press(m[1:, some])])
-
-    def ask_histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "sums": pa.binary()}
-        for batch in batches:
-            for row in batch.to_pylist():
-                every = np.append(_word_facts(np.frombuffer(row["vocabulary"], "<u8"), row["answers"], n)[1], START_ID)
-                order, cuts = _split(mixed(every), n)
-                for k in range(n):
-                    some = order[cuts[k] : cuts[k + 1]]
-                    if len(some):
-                        yield _record(kinds, bucket=[k], block=[row["block"]], keys=[every[some].tobytes()], sums=[None])
-
-    def answer_histories(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), "weights": pa.binary()}
-        told = [r for r in rows if r["sums"] is not None]
-        total = np.zeros((UNDISCOUNTED + 2, 0))
-        distinct = np.zeros(0, np.uint64)
-        if told:
-            distinct, at = np.unique(np.concatenate([np.frombuffer(r["keys"], "<u8") for r in told]), return_inverse=True)
-            sums = np.concatenate([_unpress(r["sums"], "<f8").reshape(UNDISCOUNTED + 2, -1) for r in told], axis=1)
-            total = np.array([np.bincount(at, weights=s, minlength=len(distinct)) for s in sums])
-        weights = _backoff(total, pair_discounts)
-        for r in rows:
-            if r["sums"] is None:
-                key = np.frombuffer(r["keys"], "<u8")
-                at = np.minimum(np.searchsorted(distinct, key), max(len(distinct) - 1, 0))
-                has = distinct[at] == key if len(distinct) else np.zeros(len(key), bool)
-                got = np.where(has, weights[:, at], np.array([[0.0], [1.0]])) if len(distinct) else np.tile([[0.0], [1.0]], len(key))
-                yield _record(kinds, bucket=[r["bucket"]], block=[r["block"]], weights=[_press(got)])
-
-    told = answered.where("histories is not null").select("bucket", "histories").mapInArrow(parts, "bucket int, block long, keys binary, sums binary")
-    asking = with_words.select("block", "vocabulary", "answers").mapInArrow(ask_histories, "bucket int, block long, keys binary, sums binary")
-    weights = _exchange(told.union(asking), n, answer_histories, "bucket int, block long, weights binary")
+    tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24, -(-tokens // BUCKET_TOKENS))
+    answers = [_exchange(ask_words(blocks, n), n, answer_words, "words")]
+    known = blocks.join(_gathered(answers[0], 1), "block", "left")
+    for k in range(2, order + 1):
+        answers.append(_exchange(ask_order(known, k, n), n, answer_order, f"order{k}"))
+        known = known.join(_gathered(answers[-1], k), "block", "left")
+    facts = [_sum_facts(a) for a in answers]
+    unigrams, d = Unigrams(facts[0]), [discounts(f[2:]) for f in facts[1:]]
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                b = _Block(row)
-                count, number = _word_facts(b.vocabulary, row["answers"], n)
-                distinct, at, _ = b.pairs()
-                left, right = np.divmod(distinct, len(b.vocabulary) + 1)
-                number = np.append(number, START_ID)
-                pair = _placed(_pair_bucket(number[left], number[right]), row["pairs"], n, "<u4")[0].astype(np.int64)
-                total, alpha = _placed(mixed(number), row["weights"], n, "<f8", 2)
-                low = unigrams.probability(count)
-                seen = pair > 0
-                p = np.where(seen, _discounted(pair, pair_discounts) / np.maximum(total[left], 1), alpha[left] * low[right])
-                base = np.log10((count + 1) / (unigrams.n + unigrams.types + 1))
-                sums = lambda x: np.add.reduceat(x, b.first)  # noqa: B023, E731  every text has a token
-                yield _record(
-                    kinds, doc_id=b.ids, held_out=b.held_out, n_tokens=b.sizes, n_known=sums((count > 0)[b.tokens].astype(np.int64)), train_tokens=np.full(len(b.ids), unigrams.n),
-                    base_score=sums(base[b.tokens]), score=sums(np.log10(p)[at]),
-                )
-                del b, distinct, at, left, right, pair, p
-                release()
-
-    ready = with_words.join(_gathered(answered, "counts", "pairs"), "block", "left").join(_gathered(weights, "weights", "weights"), "block", "left")
-    return ready.mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _pair_bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mixed(left + mixed(right) % np.uint64(SALTS))
-
-
-def _gathered(answers: DataFrame, column: str, name: str = "answers") -> DataFrame:
-    """All answers to a block as one array: as many as there are partitions at most, each of a bounded block's size."""
-    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", F.col(column).alias("data"))).alias(name))
+        for row in _each(batches):
+            known = _Known(row, n, order)
+            b, log = known.b, np.log10(probabilities(known, unigrams, d))
+            base = np.log10((known.count + 1) / (unigrams.n + unigrams.types + 1))
+            sums = lambda x: np.add.reduceat(x, b.first)  # noqa: B023, E731  every text has a token
+            values = {"doc_id": b.ids, "held_out": b.held_out, "n_tokens": b.sizes, "n_known": sums((known.count > 0)[b.tokens].astype(np.int64)), "train_tokens": np.full(len(b.ids), unigrams.n)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (values | {"base_score": sums(base[b.tokens]), "score": sums(log)}).items()})
+            del known, b, log
+
+    return known.mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _gathered(answers: DataFrame, k: int) -> DataFrame:
+    """All answers to a block as one array: as many as there are parts at most, each of a bounded block's size."""
+    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "sums")).alias(f"answers{k}"))
 
 
 def _sum_facts(answers: DataFrame) -> np.ndarray:
@@ -390,48 +491,3 @@ def _sum_facts(answers: DataFrame) -> np.ndarray:
     for r in rows:
         total[r["k"]] = r["v"]
     return total
-
-
-def _placed(key: np.ndarray, answers: list[dict] | None, n: int, kind: str, width: int = 1) -> np.ndarray:
-    """Puts the partitions' answers back to the order of the keys that were asked."""
-    order, cuts = _split(key, n)
-    out = np.zeros((width, len(key)), kind)
-    for a in answers or []:
-        some = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
-        out[:, some] = _unpress(a["data"], kind).reshape(width, -1)
-    return out
-
-
-def _word_facts(vocabulary: np.ndarray, answers: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts of a block's words, and their numbers."""
-    count, number = _placed(mixed(vocabulary), answers, n, "<i8", 2)
-    return count, number.astype(np.uint64)
-
-
-def _history_sums(counts: list[np.ndarray], distinct: np.ndarray, total: np.ndarray, places: list[np.ndarray], unigrams: Unigrams) -> bytes:
-    """Per history of a partition: its number, pairs of count 1 .. UNDISCOUNTED, tokens of greater counts, and the
-    lower order's probability of its seen next words; as doubles. counts are those of the pairs' second words."""
-    low = np.zeros(len(distinct))
-    for f, at in zip(counts, places, strict=True):
-        low[at] = unigrams.probability(f.astype(np.int64))
-    seen = total > 0
-    key, at = np.unique(distinct[seen] >> np.uint64(32), return_inverse=True)
-    count = total[seen]
-    sums = [np.bincount(at, weights=count == c, minlength=len(key)) for c in range(1, UNDISCOUNTED + 1)]
-    sums.append(np.bincount(at, weights=np.where(count > UNDISCOUNTED, count, 0), minlength=len(key)))
-    sums.append(np.bincount(at, weights=low[seen], minlength=len(key)))
-    return _press(np.array([key.astype(float), *sums]))
-
-
-def _backoff(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """(tokens after each history, backoff weight): what the seen next words leave, over what they leave of the
-    lower order. A history that leaves nothing keeps a floor of one token's share, its seen words being whole."""
-    few = np.arange(1, UNDISCOUNTED + 1)[:, None]
-    tokens = (sums[:UNDISCOUNTED] * few).sum(axis=0) + sums[UNDISCOUNTED]
-    kept = (sums[:UNDISCOUNTED] * few * d[1 : UNDISCOUNTED + 1, None]).sum(axis=0) + sums[UNDISCOUNTED]
-    left = 1 - kept / np.maximum(tokens, 1)
-    # counts all beyond the discounted ones: one token is set aside, and the seen words shrink to make room
-    none = left <= 1e-12
-    total = np.where(none, tokens + 1, tokens)
-    left = np.where(none, 1 / (tokens + 1), left)
-    return np.array([total, left / np.maximum(1 - sums[UNDISCOUNTED + 1], 1e-12)])

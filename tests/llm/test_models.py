@@ -19,40 +19,65 @@ def tokens(text):
     return [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(LOWER)), None]
 
 
-def brute_katz(rows, modulus=7, remainder=2):
-    """{doc_id: (held_out, n_tokens, n_known, base, score)}, and the model's P(w | h) and vocabulary."""
+def good_turing(counter, k=5):
+    """Katz's factors of counts 1 .. k by the textbook, with the module's rule where they aren't usable."""
+    n = collections.Counter(counter.values())
+    n1, n2 = n[1], n[2]
+    absolute = {r: (r - min(n1 / (n1 + 2 * n2), 0.99)) / r if n1 else 1.0 for r in range(1, k + 1)}
+    if any(not n[r] for r in range(1, k + 2)):
+        return absolute
+    out, tail = {}, (k + 1) * n[k + 1] / n1
+    for r in range(1, k + 1):
+        adjusted = (r + 1) * n[r + 1] / n[r]
+        out[r] = (adjusted / r - tail) / (1 - tail) if tail < 1 else -1
+    return out if all(0 < x <= 1 for x in out.values()) else absolute
+
+
+def brute_katz(rows, modulus=7, remainder=2, order=3):
+    """{doc_id: (held_out, n_tokens, n_known, N, base, score)}, P(w | history), and words and next words by history."""
     held = {i: zlib.crc32(str(i).encode()) % modulus == remainder for i, _ in rows}
-    one, two = collections.Counter(), collections.Counter()
+    pad = [("start",)] * (order - 1)
+    counts = [collections.Counter() for _ in range(order)]
     for i, text in rows:
         if not held[i]:
-            t = tokens(text)
-            one.update(t)
-            two.update(zip([0, *t[:-1]], t, strict=True))
-    facts = lambda c: np.array([sum(c.values()), len(c), *(sum(v == k for v in c.values()) for k in range(1, katz.UNDISCOUNTED + 2))])
-    uni, d = katz.Unigrams(facts(one)), katz.discounts(facts(two)[2:])
-    low = lambda w: float(uni.probability(np.array([one[w]]))[0])
+            t = [*pad, *tokens(text)]
+            for k in range(order):
+                counts[k].update(tuple(t[j - k : j + 1]) for j in range(len(pad), len(t)))
+    factor = [good_turing(c) for c in counts]
+    n, v = sum(counts[0].values()), len(counts[0])
     after = collections.defaultdict(dict)
-    for (h, w), c in two.items():
-        after[h][w] = c
+    for c in counts[1:]:
+        for gram, x in c.items():
+            after[gram[:-1]][gram[-1]] = x
+    freed = sum(x * (1 - factor[0].get(x, 1.0)) for x in counts[0].values()) / n if n else 0
+    weights = {}
 
     def p(w, h):
-        seen = after.get(h)
+        if not h:
+            c = counts[0][(w,)]
+            if not freed:
+                return c / (n + 1) if c else 1 / (n + 1)
+            return c * factor[0].get(c, 1.0) / n if c else freed
+        seen, d = after.get(h), factor[len(h)]
         if not seen:
-            return low(w)
-        total = sum(seen.values())
-        kept = sum(c * d[min(c, katz.UNDISCOUNTED + 1)] for c in seen.values()) / total
-        if 1 - kept <= 1e-12:
-            kept, total = total / (total + 1), total + 1
-        if w in seen:
-            return seen[w] * d[min(seen[w], katz.UNDISCOUNTED + 1)] / total
-        return (1 - kept) / (1 - sum(map(low, seen))) * low(w)
-
-    n, v, out = sum(one.values()), len(one), {}
+            return p(w, h[1:])
+        if h not in weights:
+            total = sum(seen.values())
+            left = 1 - sum(c * d.get(c, 1.0) for c in seen.values()) / total
+            if left <= 1e-12:
+                total, left = total + 1, 1 / (total + 1)
+            weights[h] = total, left / (1 - sum(p(x, h[1:]) for x in seen))
+        total, alpha = weights[h]
+        return seen[w] * d.get(seen[w], 1.0) / total if w in seen else alpha * p(w, h[1:])
+
+    out = {}
     for i, text in rows:
         t = tokens(text)
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        out[i] = held[i], len(t), sum(one[w] > 0 for w in t), n, base, sum(math.log10(p(w, h)) for h, w in zip([0, *t[:-1]], t, strict=True))
-    return out, p, one, after
+        full = [*pad, *t]
+        base = sum(math.log10((counts[0][(w,)] + 1) / (n + v + 1)) for w in t)
+        score = sum(math.log10(p(full[j], tuple(full[j - order + 1 : j]))) for j in range(len(pad), len(full)))
+        out[i] = held[i], len(t), sum(counts[0][(w,)] > 0 for w in t), n, base, score
+    return out, p, counts[0], after
 
 
 def same(got, want):
@@ -63,23 +88,46 @@ def same(got, want):
         assert r.score == pytest.approx(want[i][5], abs=1e-6)
 
 
-def test_katz_against_brute_force(spark, docs, odd, none, monkeypatch):
+@pytest.mark.parametrize(("order", "hot"), [(2, 20), (3, 20), (3, 1 << 18), (4, 50)])
+def test_katz_against_brute_force(spark, docs, monkeypatch, order, hot):
     rows = [(r.doc_id, r.text) for r in docs.collect()][:60]
-    want, p, one, after = brute_katz(rows)
+    want, p, one, after = brute_katz(rows, order=order)
     small = docs.where(F.col("doc_id").isin([i for i, _ in rows]))
     monkeypatch.setattr(katz, "BLOCK_BYTES", 1 << 14)
-    same({r.doc_id: r for r in katz.score(small, partitions=5).collect()}, want)
+    monkeypatch.setattr(katz, "HOT", hot)  # some histories lie in several parts
+    same({r.doc_id: r for r in katz.score(small, order=order, parts=5).collect()}, want)
     # each history's probabilities add up to one, the unseen word's included
-    for h in [0, *list(after)[:20], b"never seen"]:
-        assert sum(p(w, h) for w in one) + p(b"never seen", h) == pytest.approx(1, abs=1e-9)
+    histories = [h for h in after if len(h) == order - 1]
+    for h in [*histories[:3], *histories[-12:], (b"never seen",) * (order - 1), (b"never seen",) * (order - 2) + (b"the",)]:
+        assert sum(p(w, h) for (w,) in one) + p(b"never seen", h) == pytest.approx(1, abs=1e-9)
+
+
+def test_katz_odd(spark, odd, none):
     rows = {(r.doc_id, r.text) for r in odd.where("doc_id is not null and doc_id <> 6").collect()}
-    same({r.doc_id: r for r in katz.score(odd.where("doc_id is not null and doc_id <> 6"), partitions=3).collect()}, brute_katz(sorted(rows, key=str))[0])
+    same({r.doc_id: r for r in katz.score(odd.where("doc_id is not null and doc_id <> 6"), parts=3).collect()}, brute_katz(sorted(rows, key=str))[0])
     assert katz.score(odd).count() == len(ODD) + 1
     assert katz.score(none).count() == 0
     nobody = katz.score(odd.where("doc_id = 1"), 1, 0).collect()
     assert [(r.train_tokens, r.n_tokens, r.score) for r in nobody] == [(0, 1, 0.0)]
 
 
+def test_katz_counts_beyond_32_bits():
+    """Two blocks ask for one bigram that each has met 2**33 times: everything stays whole and exact."""
+    big = np.array([2**33, 1])
+    ask = {"bucket": 0, "keys": katz.packed(np.array([7])), "runs": katz.packed(np.array([2])), "words": katz.packed(np.array([3, 9])), "own": katz.packed(big), "lower": katz.packed(np.array([2**35, 2]))}
+    told = katz.answer_order([ask | {"block": 1}, ask | {"block": 2}])
+    assert [katz.unpacked(t[2]).tolist() for t in told] == [[2**34, 2]] * 2
+    sums = katz.unpacked(told[0][3]).reshape(katz._SUMS, 1)[:, 0].tolist()
+    assert sums == [0, 1, 0, 0, 0, 2**34, 0, 1, 0, 0, 0, 2**35]
+    assert np.frombuffer(told[0][4], "<i8")[:2].tolist() == [2**34 + 2, 2]
+
+
+def test_packed_numbers():
+    for x in ([], [0, 0], [0, 255, 256, 2**40, 2**64 - 1], [5]):
+        got = katz.unpacked(katz.packed(np.array(x, np.uint64)))
+        assert got.tolist() == (x if any(x) else [])
+
+
 def test_katz_beats_the_base(spark):
     held = op10_katz_scores(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert held[0] > held[1]
