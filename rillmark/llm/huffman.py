@@ -6,10 +6,10 @@
    tokenizers library; the counts of ids of the whole corpus come out on the way.
 3. Package-merge gives code lengths (at most 16 bits), hence canonical codes. Blocks turn their words into ids and
    ids into bits, a document beginning at a whole byte.
-4. Coded documents are dealt by ranges of their id and written in ascending order, in blocks that hold, for every
-   STRIDE-th id of a document, the bit offset where it begins.
+4. Coded documents are dealt by ranges of their id and written in ascending order, file after file, in blocks that
+   hold, for every STRIDE-th id of a document, the bit offset where it begins. The code lengths are a file of the set.
 
-Decoding looks up 16 bits at a time in one table, all checkpoints of a block side by side; blocks are
+Decoding needs the files alone. It looks up 16 bits at a time in one table, all checkpoints of a block side by side; blocks are
 independent.
 """
 
@@ -21,16 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm.bpe import LibraryEncoder, encoder, read_spec
-from rillmark.llm.common import flat, mixed, pieces, release, small_batches, stored, stored_by, word_spans
+from rillmark.llm.common import flat, mixed, pieces, release, small_batches, stored, stored_by, word_spans, work_path
 
 LONGEST = 16
-#: Ids of a file's block, ids between checkpoints, and text bytes of a block of words.
-BLOCK_IDS, STRIDE, BLOCK_BYTES = 1 << 17, 128, 5 << 20
+#: Ids of a file's block, ids between checkpoints, text bytes of a block of words, and words that a partition stands for.
+BLOCK_IDS, STRIDE, BLOCK_BYTES, BUCKET_WORDS = 1 << 17, 128, 5 << 20, 2 << 20
 END_ID = 1
+#: Of the files' layout; decode() refuses others.
+VERSION = 1
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -167,7 +169,7 @@ _LT, _BAR = np.uint8(60), np.uint8(124)
 
 #: ids and sizes (words of each text) are 64-bit, texts the distinct words in order of hash with a space between
 #: (zstd), tokens 32-bit places among them (zstd). Hashes are made again from the texts: they don't compress.
-_WORDS = "block long, n_docs long, ids binary, sizes binary, texts binary, tokens binary"
+_WORDS = "block long, n_docs long, n_words long, ids binary, sizes binary, texts binary, tokens binary"
 
 
 def _by_case(data: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -204,10 +206,10 @@ def word_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             _, first, tokens = np.unique(_by_case(data, hashes, begin, end), return_index=True, return_inverse=True)
             texts = b" ".join([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
             ids, count = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            row = (part << 32 | number, len(ids), ids.tobytes(), count.tobytes(), _press(texts), _press(tokens.astype("<u4").tobytes()))
+            row = (part << 32 | number, len(ids), len(tokens), ids.tobytes(), count.tobytes(), _press(texts), _press(tokens.astype("<u4").tobytes()))
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[c.split(" ")[0] for c in _WORDS.split(", ")]
+                [pa.array([x], k) for x, k in zip(row, (*[pa.int64()] * 3, *[pa.binary()] * 4), strict=True)], names=[c.split(" ")[0] for c in _WORDS.split(", ")]
             )
 
         for whole in batches:
@@ -314,10 +316,17 @@ def global_counts(words: DataFrame, vocabulary: int, documents: int, end_id: int
 
 
 def coded_documents(blocks: DataFrame, words: DataFrame, lengths: np.ndarray, bounds: list[int], end_id: int, n: int) -> DataFrame:
-    """Each document's bits: part, doc_id, n_ids, bits, checkpoints. part is the place of doc_id among the bounds."""
+    """Each document's bits: part, doc_id, n_ids, bits, checkpoints. part is the place of doc_id among the bounds, which may
+    repeat."""
     table = blocks.sparkSession.sparkContext.broadcast(lengths.tobytes())
     limits = np.array(bounds, np.int64)
 
+    def part_of(doc: np.ndarray, block: int) -> np.ndarray:
+        # an id that bounds name may end the part before them, fill those between and begin the one after; its rows share them
+        low, high = np.searchsorted(limits, doc, "left"), np.searchsorted(limits, doc, "right")
+        spread = mixed(np.arange(len(doc), dtype=np.uint64) + np.uint64(block)) % (high - low + 1).astype(np.uint64)
+        return low + spread.astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size_of = np.frombuffer(table.value, np.uint8)
         codes = canonical(size_of)
@@ -346,7 +355,7 @@ def coded_documents(blocks: DataFrame, words: DataFrame, lengths: np.ndarray, bo
                 doc = np.frombuffer(row["ids"], "<i8")
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "part": pa.array(np.searchsorted(limits, doc, "right"), pa.int32()),
+                        "part": pa.array(part_of(doc, row["block"]), pa.int32()),
                         "doc_id": pa.array(doc, pa.int64(), mask=doc == _NO_ID),
                         "n_ids": pa.array(n_ids, pa.int64()),
                         "bits": pa.array([b for b, _ in made], pa.binary()),
@@ -365,9 +374,9 @@ def coded_documents(blocks: DataFrame, words: DataFrame, lengths: np.ndarray, bo
 BLOCK = "part int, block int, n_ids long, doc_ids binary, pieces binary, bits binary, checkpoints binary"
 
 
-def write_files(coded: DataFrame, parts: int) -> DataFrame:
-    """Writes coded documents in ascending doc_id, null ids first, to files in the shared folder, and returns the table
-    that reads them. A row is a block of about BLOCK_IDS ids; a document lies in one block."""
+def write_files(coded: DataFrame, parts: int, path: str) -> None:
+    """Writes coded documents in ascending doc_id, null ids first, also over the files in order of name. A row is a block of
+    about BLOCK_IDS ids; a document lies in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held, size = None, 0, [], 0
@@ -393,14 +402,28 @@ def write_files(coded: DataFrame, parts: int) -> DataFrame:
             yield out()
         release()
 
-    dealt = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id")
-    return stored(dealt.mapInArrow(run, BLOCK), "huffman", "uncompressed")
+    dealt = coded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id")
+    dealt.mapInArrow(run, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+
+
+def write_codes(spark: SparkSession, path: str, lengths: np.ndarray) -> None:
+    row = (VERSION, LONGEST, STRIDE, bytearray(lengths.astype(np.uint8).tobytes()))
+    spark.createDataFrame([row], "version int, longest int, stride int, lengths binary").coalesce(1).write.parquet(f"{path}/codes")
+
 
+def read_files(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    """(the blocks' table, the code lengths) of a set of files; the lengths are as many as the vocabulary's ids."""
+    codes = spark.read.parquet(f"{path}/codes").head()
+    if (codes.version, codes.longest, codes.stride) != (VERSION, LONGEST, STRIDE):
+        raise ValueError(f"{path}: version {codes.version}, codes of {codes.longest} bits, a checkpoint every {codes.stride} ids")
+    return spark.read.schema(BLOCK).parquet(f"{path}/blocks"), bytes(codes.lengths)
 
-def decode(files: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Reads files back: a row (part, block, doc_id, before, n_ids, ids) for each document. before counts the block's
-    ids ahead of it; ids are little-endian unsigned 32-bit integers."""
-    table = files.sparkSession.sparkContext.broadcast(lengths.tobytes())
+
+def decode(spark: SparkSession, path: str) -> DataFrame:
+    """Reads files back, by themselves: a row (part, block, doc_id, before, n_ids, ids) for each document. before counts the
+    block's ids ahead of it; ids are little-endian unsigned 32-bit integers."""
+    files, lengths = read_files(spark, path)
+    table = spark.sparkContext.broadcast(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = decode_table(np.frombuffer(table.value, np.uint8))
@@ -429,22 +452,31 @@ def _documents(row: dict, lookup: tuple[np.ndarray, np.ndarray], digest: bool) -
     )
 
 
-def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Encodes and writes a corpus: (the files' table, code lengths). Null texts are empty; end_id follows each
-    document. Documents of one id stand side by side."""
+def write_corpus(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> str:
+    """Encodes and writes a corpus to path, else to the shared folder; returns where. decode() reads it.
+
+    Null and empty texts have the end id alone, which follows each document. Repeated rows have a place each, side by
+    side. Null ids come first. Texts of any length are written whole, other columns are ignored, and an empty
+    table gives files without blocks. Rows of one id that are many are shared among parts.
+    """
     import json
 
     spark = docs.sparkSession
+    path = path or work_path(spark, "huffman")
     spec = json.loads(read_spec(tokenizer_path))
     vocabulary = 1 + max(*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"]), end_id)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     blocks = word_blocks(docs, id_column, text_column)
-    words = encoded_words(blocks, tokenizer_path, parts)
-    documents = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).head()[0]
-    lengths = code_lengths(global_counts(words, vocabulary, documents, end_id))
+    sizes = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).head()
+    buckets = max(parts, -(-sizes.words // BUCKET_WORDS))
+    words = encoded_words(blocks, tokenizer_path, buckets)
+    lengths = code_lengths(global_counts(words, vocabulary, sizes.docs, end_id))
+    write_codes(spark, path, lengths)
     # limits of the parts: quantiles of the ids, as many as there are partitions
-    bounds = docs.agg(F.percentile_approx(F.col(id_column).cast("long"), [k / parts for k in range(1, parts)], 20 * parts)).head()[0] or []
-    return write_files(coded_documents(blocks, words, lengths, sorted(set(bounds)), end_id, parts), parts), lengths
+    ids = F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID))
+    bounds = docs.agg(F.percentile_approx(ids, [k / parts for k in range(1, parts)], 20 * parts)).head()[0] or []
+    write_files(coded_documents(blocks, words, lengths, bounds, end_id, buckets), parts, path)
+    return path
 
 
 def roundtrip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -452,10 +484,11 @@ def roundtrip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
 
     start is the number of ids of all documents before it in ascending doc_id; n_tokens counts the end id. The
     sums run over blocks within a part by a window, and over all parts, of which there are as many as
-    partitions, by another. Repeated rows of an id have a row each; null ids come first.
+    partitions, by another. For nulls, repeated rows, long texts and empty tables see write_corpus().
     """
-    files, lengths = write_corpus(docs, tokenizer_path, end_id)
-    table = files.sparkSession.sparkContext.broadcast(lengths.tobytes())
+    spark = docs.sparkSession
+    files, lengths = read_files(spark, write_corpus(docs, tokenizer_path, None, end_id))
+    table = spark.sparkContext.broadcast(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = decode_table(np.frombuffer(table.value, np.uint8))

@@ -107,15 +107,47 @@ def test_files(spark, docs, odd, none):
     assert sum(r.n_tokens for r in rows) == sum(len(reference(r.text)) // 4 + 1 for r in odd.collect())
 
 
-def test_small_blocks(spark, monkeypatch):
+def test_small_blocks(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(huffman, "BLOCK_IDS", 50)
     monkeypatch.setattr(huffman, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(huffman, "BUCKET_WORDS", 10)
     text = lambda i: "word the Of <|endoftext|> <|ENDOFTEXT|> a<|endoftext|>b a\xa0b " * i
     df = spark.createDataFrame([(i * 7 % 13, text(i * 7 % 13)) for i in range(13)], "doc_id long, text string").repartition(5)
-    files, lengths = huffman.write_corpus(df, tokenizer_path())
-    assert files.count() > 5
-    rows = sorted(huffman.decode(files, lengths).collect(), key=lambda r: r.doc_id)
+    path = huffman.write_corpus(df, tokenizer_path(), f"file://{tmp_path}/set")
+    # another session knows nothing but the path
+    other = spark.newSession()
+    assert other.read.parquet(f"{path}/blocks").count() > 5
+    rows = sorted(huffman.decode(other, path).collect(), key=lambda r: r.doc_id)
     assert [r.doc_id for r in rows] == list(range(13))
     assert [(r.part, r.block, r.before) for r in rows] == sorted((r.part, r.block, r.before) for r in rows)
     for r in rows:
         assert bytes(r.ids) == reference(text(r.doc_id)) + np.array([1], "<u4").tobytes()
+    monkeypatch.setattr(huffman, "VERSION", 2)
+    with pytest.raises(ValueError, match="version 1"):
+        huffman.decode(other, path)
+
+
+def test_files_are_in_order_of_id(spark, tmp_path):
+    """Over the files' names as well; an id with a third of all rows, and null ids, are shared among parts."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(7000 if i % 3 == 0 else (None if i % 5 == 0 else i * 7919 % 20011), f"words of text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = f"{tmp_path}/set"
+    huffman.write_corpus(df, tokenizer_path(), f"file://{path}")
+    ids, where = [], {}
+    for name in sorted(glob.glob(f"{path}/blocks/part-*")):
+        own = sorted(pq.read_table(name).to_pylist(), key=lambda b: (b["part"], b["block"]))
+        for b in own:
+            found = np.frombuffer(b["doc_ids"], "<i8").tolist()
+            ids += found
+            for i in set(found):
+                where.setdefault(i, set()).add(name)
+    assert ids == sorted(ids) and len(ids) == 3000
+    assert len(where[7000]) > 2 and len(where[-(2**63)]) > 1
+    got = sorted(huffman.roundtrip(df, tokenizer_path()).collect(), key=lambda r: r.start)
+    assert np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() == [r.start for r in got]
+    order = [-(2**63) if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
