@@ -1,8 +1,8 @@
 """Media columns: telephony audio (mu-law, A-law, IMA ADPCM) in WAV files held in a binary column.
 
 Mu-law and A-law samples expand by lookup tables of 256 entries, made from their rule. ADPCM blocks
-are decoded by numpy across blocks: step k of all blocks at once, since blocks are independent.
-Decoded audio is resampled by a windowed-sinc polyphase filter and stored as 16-bit PCM.
+are decoded by numpy across blocks, of all files of a batch: step k of all blocks at once, since blocks are
+independent. Decoded audio is resampled by a windowed-sinc polyphase filter and stored as 16-bit PCM.
 """
 
 from __future__ import annotations
@@ -109,14 +109,31 @@ def read_wav(data: bytes) -> dict:
     return {"kind": kind, "rate": rate, "block": block, "data": found[b"data"], "note": found.get(b"note", b"")}
 
 
-def samples_of(file: dict) -> np.ndarray:
-    """16-bit samples of what read_wav returned."""
-    kind, data = file["kind"], file["data"]
-    if kind == PCM:
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2")
-    if kind == IMA:
-        return decode_ima(data, file["block"])
-    return _TABLES[kind][np.frombuffer(data, np.uint8)]
+#: Blocks that are decoded at once, and samples that are looked at at once.
+SLAB, CHUNK = 1 << 14, 1 << 18
+
+
+def samples_of(files: list[dict]) -> list[np.ndarray]:
+    """16-bit samples of what read_wav returned, file by file. ADPCM blocks of equal size are decoded together."""
+    out: list[np.ndarray] = [None] * len(files)
+    whole: dict[int, list[int]] = {}
+    for i, file in enumerate(files):
+        kind, data = file["kind"], file["data"]
+        if kind == PCM:
+            out[i] = np.frombuffer(data[: len(data) // 2 * 2], "<i2")
+        elif kind != IMA:
+            out[i] = _TABLES[kind][np.frombuffer(data, np.uint8)]
+        elif len(data) % file["block"] or not data:
+            out[i] = decode_ima(data, file["block"])
+        else:
+            whole.setdefault(file["block"], []).append(i)
+    for block, some in whole.items():
+        every = np.frombuffer(b"".join([files[i]["data"] for i in some]), np.uint8).reshape(-1, block)
+        decoded = np.concatenate([_decode_blocks(every[a : a + SLAB]) for a in range(0, len(every), SLAB)])
+        cuts = np.cumsum([len(files[i]["data"]) // block for i in some])[:-1]
+        for i, own in zip(some, np.split(decoded, cuts), strict=True):
+            out[i] = own.ravel()
+    return out
 
 
 _filters: dict[tuple[int, int], np.ndarray] = {}
@@ -148,21 +165,25 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     out = np.empty(-(-len(pcm) * up // down), np.int16)
     seen = np.lib.stride_tricks.sliding_window_view(x, taps)
     for first in range(min(up, len(out))):
-        place = np.arange(first, len(out), up)
-        start = first * down // up
-        y = seen[start : start + down * (len(place) - 1) + 1 : down] @ h[first * down % up]
-        out[first::up] = np.clip(np.rint(y), -32768, 32767)
+        start, place = first * down // up, out[first::up]
+        # each phase's windows are taken in chunks: numpy would copy those of a long sound all at once
+        for a in range(0, len(place), CHUNK):
+            b = min(a + CHUNK, len(place))
+            y = seen[start + down * a : start + down * (b - 1) + 1 : down] @ h[first * down % up]
+            place[a:b] = np.clip(np.rint(y), -32768, 32767)
     return out
 
 
 def feature(pcm: np.ndarray) -> str:
     """Length, root mean square, peak, zero crossings and CRC-32 of 16-bit samples."""
-    wide = pcm.astype(np.int64)
-    power = int(np.dot(wide, wide))
+    power = peak = 0
+    for a in range(0, len(pcm), CHUNK):
+        wide = pcm[a : a + CHUNK].astype(np.int64)
+        power += int(np.dot(wide, wide))
+        peak = max(peak, int(np.abs(wide).max()))
     rms = int(np.sqrt(power // max(1, len(pcm))))
-    peak = int(np.abs(wide).max(initial=0))
     turns = int(np.count_nonzero(np.diff(pcm >= 0)))
-    return f"n={len(pcm)};rms={rms};peak={peak};turns={turns};crc={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+    return f"n={len(pcm)};rms={rms};peak={peak};turns={turns};crc={zlib.crc32(np.ascontiguousarray(pcm, '<i2')):08x}"
 
 
 def decode_column(media: DataFrame, id_column: str, media_column: str = "media", to: int = 16000) -> DataFrame:
@@ -178,14 +199,19 @@ def decode_column(media: DataFrame, id_column: str, media_column: str = "media",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "media", 1 << 20):
-                rows = []
+                rows, files = [], []
                 for data in batch.column("media").to_pylist():
                     try:
-                        file = read_wav(data or b"")
-                        pcm = resample(samples_of(file), file["rate"], to)
-                        rows.append((file["kind"], file["rate"], len(pcm), pcm.astype("<i2").tobytes(), feature(pcm), None))
+                        files.append(read_wav(data or b""))
+                        rows.append(None)
                     except ValueError as e:
                         rows.append((None, None, None, None, None, str(e)))
+                made = iter(zip(files, samples_of(files), strict=True))
+                for i, row in enumerate(rows):
+                    if row is None:
+                        file, pcm = next(made)
+                        pcm = resample(pcm, file["rate"], to)
+                        rows[i] = (file["kind"], file["rate"], len(pcm), pcm.astype("<i2").tobytes(), feature(pcm), None)
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -197,11 +223,37 @@ def decode_column(media: DataFrame, id_column: str, media_column: str = "media",
     return media.select(F.col(id_column).alias("id"), F.col(media_column).alias("media")).mapInArrow(run, schema)
 
 
+#: Bytes of payload in an ADPCM block, and the header that each begins with: first sample 0, step index 16.
+BODY, HEADER = 64, bytes([0, 0, 16, 0])
+
+
+def payload_file(raw: bytes) -> bytes:
+    """A sound file that holds raw without loss, padded with zero bytes to a positive multiple of 64; the file notes the
+    unpadded length. The payload's CRC-32 says whether it is mu-law or A-law samples, or the codes of ADPCM blocks."""
+    payload = raw + bytes(-len(raw) % 64 if raw else 64)
+    note = struct.pack("<Q", len(raw))
+    kind = (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
+    if kind != IMA:
+        return wav(payload, kind, note=note)
+    blocks = np.empty((len(payload) // BODY, len(HEADER) + BODY), np.uint8)
+    blocks[:, : len(HEADER)] = np.frombuffer(HEADER, np.uint8)
+    blocks[:, len(HEADER) :] = np.frombuffer(payload, np.uint8).reshape(-1, BODY)
+    return wav(blocks.tobytes(), IMA, block=blocks.shape[1], note=note)
+
+
+def payload_of(file: dict) -> tuple[bytes, int]:
+    """(payload, its unpadded length) of what read_wav returned for a payload_file()."""
+    data = file["data"]
+    if file["kind"] == IMA:
+        data = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, file["block"])[:, len(HEADER) :]).tobytes()
+    return data, struct.unpack("<Q", file["note"])[0]
+
+
 def store_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each text's UTF-8 bytes as the 8-bit mu-law samples of a WAV file, written to the shared folder.
+    """Each text's UTF-8 bytes as a sound file (see payload_file), written to the shared folder.
 
-    The payload is padded with zero bytes to a positive multiple of 64; the file notes the unpadded
-    length. A null text is empty. Returns id_column and media, read from what was written.
+    A null text is empty. Returns id_column and media, read from what was written. Repeated rows give a row each and
+    equal texts equal files; other columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_column].dataType.simpleString()
@@ -209,35 +261,34 @@ def store_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                files = []
-                for text in batch.column("text").to_pylist():
-                    raw = (text or "").encode()
-                    payload = raw + bytes(-len(raw) % 64 if raw else 64)
-                    files.append(wav(payload, note=struct.pack("<Q", len(raw))))
+                files = [payload_file((text or "").encode()) for text in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(files, pa.binary())], names=[id_column, "media"])
 
     made = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"{id_column} {id_type}, media binary")
     return stored(made, "media")
 
 
-def describe_bytes(media: DataFrame, id_column: str = "doc_id", to: int = 16000) -> DataFrame:
-    """Digests of stored files, read back: n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 64
-    payload bytes), media_bytes, media_sha256, and feature of the decoded audio at rate to."""
+def describe_bytes(media: DataFrame, id_column: str = "doc_id", to: int = 4000) -> DataFrame:
+    """Of stored files, read back: n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 64 payload bytes),
+    media_bytes, media_sha256, codec (mulaw, alaw or ima), pcm (the decoded audio as 16-bit samples at rate to) and feature, of
+    pcm. Rows as in store_bytes(); a null media fails, as store_bytes() makes none."""
     small_batches(media.sparkSession)
     id_type = media.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"{id_column} {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split(" ")[0] for f in schema.split(", ")]
         for whole in batches:
             for batch in pieces(whole, "media", 1 << 20):
                 rows = []
-                for i, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                    file = read_wav(data)
-                    payload = file["data"]
-                    rows.append(
-                        (i, struct.unpack("<Q", file["note"])[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(resample(samples_of(file), file["rate"], to)))
-                    )
-                names = [f.split(" ")[0] for f in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, list(zip(*rows, strict=True))[1:])], names=names)
+                every = batch.column("media").to_pylist()
+                files = [read_wav(data) for data in every]
+                for data, file, pcm in zip(every, files, samples_of(files), strict=True):
+                    payload, n = payload_of(file)
+                    pcm = resample(pcm, file["rate"], to)
+                    sha = hashlib.sha256
+                    codec = {MULAW: "mulaw", ALAW: "alaw", IMA: "ima"}[file["kind"]]
+                    rows.append((n, len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), sha(data).hexdigest(), feature(pcm), codec, pcm.astype("<i2").tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, zip(*rows, strict=True))], names=names)
 
     return media.select(F.col(id_column).alias("id"), "media").mapInArrow(run, schema)

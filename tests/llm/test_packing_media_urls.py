@@ -189,8 +189,68 @@ def test_media_column(spark, odd, none):
     assert telephony.describe_bytes(telephony.store_bytes(none)).count() == 0
 
 
+def plain_samples(payload, codec):
+    """Samples by the standards' formulas, one after another."""
+    out = []
+    if codec == "ima":
+        for a in range(0, len(payload), 64):
+            value, index = 0, 16
+            out.append(value)
+            for byte in payload[a : a + 64]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(telephony.IMA_STEP[index])
+                    d = sum(step >> shift for shift, bit in ((0, 4), (1, 2), (2, 1)) if code & bit) + (step >> 3)
+                    value = max(-32768, min(32767, value - d if code & 8 else value + d))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                    out.append(value)
+        return out
+    for byte in payload:
+        if codec == "mulaw":
+            u = byte ^ 0xFF
+            size = (((u & 15) * 2 + 33) << (u >> 4 & 7)) - 33
+            out.append((-size if u & 128 else size) * 4)
+        else:
+            u = byte ^ 0x55
+            size = (u & 15) * 2 + 1 if not u >> 4 & 7 else ((u & 15) * 2 + 33) << ((u >> 4 & 7) - 1)
+            out.append((size if u & 128 else -size) * 8)
+    return out
+
+
+def halved(x):
+    """Every second output of a windowed sinc of half the band, from the definition."""
+    h = [0.5 * np.sinc(0.5 * k) * (0.5 + 0.5 * math.cos(2 * math.pi * k / 16)) for k in range(-7, 9)]
+    h = np.array(h) / sum(h)
+    padded = np.concatenate((np.zeros(7), x, np.zeros(9)))
+    return [float(padded[2 * i : 2 * i + 16] @ h) for i in range(-(-len(x) // 2))]
+
+
 def test_media_query(spark, docs):
-    assert op5_telephony_media(spark, SF).count() == docs.count()
+    """Every document's stored sound against formulas: digests, codec and resampled PCM."""
+    rows = {r.doc_id: r for r in op5_telephony_media(spark, SF).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert set(rows) == set(texts)
+    assert {r.codec for r in rows.values()} == {"mulaw", "alaw", "ima"}
+    for i, raw in texts.items():
+        r, payload = rows[i], raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.codec == ("mulaw", "alaw", "ima")[zlib.crc32(payload) % 3]
+        if len(payload) > 6000:
+            continue
+        pcm = np.frombuffer(r.pcm, "<i2").astype(int)
+        want = np.clip(halved(plain_samples(payload, r.codec)), -32768, 32767)
+        assert len(pcm) == len(want) and np.abs(pcm - want).max() <= 1
+        n, rms, peak, turns, crc = (x.split("=")[1] for x in r.feature.split(";"))
+        assert (int(n), int(peak), crc) == (len(pcm), np.abs(pcm).max(), f"{zlib.crc32(r.pcm):08x}")
+        assert int(rms) == int(math.sqrt(int((pcm**2).sum()) // len(pcm))) and int(turns) == np.count_nonzero((pcm[1:] >= 0) != (pcm[:-1] >= 0))
+
+
+def test_long_sounds_in_chunks(monkeypatch):
+    x = np.random.default_rng(2).integers(-32768, 32767, 5000).astype(np.int16)
+    want = [(telephony.resample(x, 8000, to), telephony.feature(x)) for to in (4000, 11025)]
+    monkeypatch.setattr(telephony, "CHUNK", 64)
+    for (y, f), to in zip(want, (4000, 11025), strict=True):
+        assert telephony.resample(x, 8000, to).tolist() == y.tolist()
+        assert telephony.feature(x) == f
 
 
 URLS = [
