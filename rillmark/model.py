@@ -59,7 +59,9 @@ class Repository(Protocol):
 class OffsetLedger(Protocol):
     def get(self, partition: int) -> RangeState: ...
 
-    def put(self, partition: int, state: RangeState, epoch: int | None = None) -> None: ...
+    def put(self, partition: int, state: RangeState, epoch: int | None = None) -> int: ...
+
+    def claim(self, partition: int) -> int: ...
 
 
 class Lease(Protocol):
@@ -82,10 +84,10 @@ def with_offsets(df: DataFrame, partition: str, order: str, chunk: int = 1 << 16
     return numbered.join(bases, [partition, "_chunk"]).withColumn("offset", (F.col("_base") + F.col("_row") - 1).cast("long")).drop("_chunk", "_base", "_row")
 
 
-def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a partitioned transaction stream; offsets are contiguous from 0 in each partition."""
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as transactions without offsets: one scan, for what doesn't ask where a message lies."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
-    rows = events.select(
+    return events.select(
         "event_id",
         F.concat(F.lit("tx-"), F.col("event_id").cast("string")).alias("transaction_id"),
         F.col("user_id").cast("string").alias("user_id"),
@@ -94,4 +96,8 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("date").alias("date"),
         (F.col("event_id") % 3).cast("bigint").alias("partition_id"),
     )
-    return with_offsets(rows, "partition_id", "event_id").select(*TRANSACTION_COLUMNS)
+
+
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a partitioned transaction stream; offsets are contiguous from 0 in each partition."""
+    return with_offsets(events(spark, sf_dir), "partition_id", "event_id").select(*TRANSACTION_COLUMNS)

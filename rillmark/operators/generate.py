@@ -47,6 +47,33 @@ def distribution(spark: SparkSession, total: int, most: int, users: list[str] =
     return kept.union(rest).select(F.lit(day).alias("date"), _id(seed).alias("transaction_id"), _pick(users, seed + 1).alias("user_id"), _pick(products, seed + 2).alias("product_id"), F.col("amount").cast("bigint").alias("amount"))
 
 
+def history(spark: SparkSession, first: date, last: date, total: int, per_pass: int = 1_000_000, most: int = 500, seed: int = 1) -> DataFrame:
+    """Passes over the days from first up to, not including, last, each of per_pass a day, until total is reached; the last
+    one takes what is left. Adds pass, from 0; transaction_id is distinct over all passes.
+
+    Passes are drawn at once: each has a running sum of its own, so nothing waits for the pass before.
+    """
+    each = days(spark, first, last)
+    n = max(0, (last - first).days)
+    if total <= 0 or per_pass <= 0 or most <= 0 or not n:
+        return distribution(spark, 0, 1).withColumn("pass", F.lit(0).cast("bigint"))
+    share = F.least(F.lit(per_pass), F.lit(total) - F.col("slot") * per_pass)
+    slots = spark.range(-(-total // per_pass)).select(F.col("id").alias("slot")).withColumn("share", share.cast("bigint"))
+    numbered = each.select("date", F.datediff("date", F.lit(first)).cast("bigint").alias("day"))
+    slots = slots.withColumn("day", F.col("slot") % n).join(F.broadcast(numbered), "day")
+    # as many draws as make the share all but certain; a share that the draws don't reach is topped up by their last
+    need = int(per_pass / most * 2 * 1.1) + 200
+    drawn = slots.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(need - 1)))).withColumn("a", F.floor(F.rand(seed) * (most + 1)).cast("bigint"))
+    run = Window.partitionBy("slot").orderBy("k")
+    drawn = drawn.withColumn("before", F.sum("a").over(run) - F.col("a"))
+    kept = drawn.where(F.col("before") < F.col("share")).withColumn("last", F.col("k") == need - 1)
+    left = F.col("share") - F.col("before")
+    rows = kept.withColumn("amounts", F.when(F.col("last") & (left > most), F.transform(F.sequence(F.lit(0).cast("bigint"), F.ceil(left / most) - 1), lambda j: F.least(F.lit(most).cast("bigint"), left - j * most))).otherwise(F.array(F.least("a", left))))
+    rows = rows.select("date", "slot", "k", F.posexplode("amounts").alias("j", "amount"))
+    name = F.sha2(F.concat_ws("-", F.lit(seed), "slot", "k", "j"), 256).substr(1, 32)
+    return rows.select("date", name.alias("transaction_id"), _pick(USERS, seed + 1).alias("user_id"), _pick(PRODUCTS, seed + 2).alias("product_id"), F.col("amount").cast("bigint").alias("amount"), F.floor(F.col("slot") / n).alias("pass"))
+
+
 def days(spark: SparkSession, first: date, last: date) -> DataFrame:
     """The days from first up to, not including, last."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day"))).alias("date")).where(F.col("date") < F.lit(last))

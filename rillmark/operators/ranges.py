@@ -78,7 +78,7 @@ def validate_new(ranges: DataFrame, ledger: DataFrame) -> DataFrame:
 def merge_pending(pending: DataFrame, incoming: DataFrame) -> DataFrame:
     """Records of both, one for each partition and offset; a pending one goes before an incoming one.
 
-    Rows come in no order; sort by offset where one is needed.
+    Rows come in no order; see in_order().
     """
     both = pending.withColumn("_source", F.lit(0)).unionByName(incoming.withColumn("_source", F.lit(1)))
     keep = [c for c in both.columns if c not in ("partition_id", "offset", "_source")]
@@ -89,6 +89,11 @@ def merge_pending(pending: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.select("partition_id", "offset", *[F.col(f"_r.{c}").alias(c) for c in keep]).select(*pending.columns)
 
 
+def in_order(records: DataFrame) -> DataFrame:
+    """The records by partition and offset: ranges of them, each sorted, over as many tasks as a shuffle has partitions."""
+    return records.orderBy("partition_id", "offset")
+
+
 def covers_full_range(ranges: DataFrame, ledger: DataFrame) -> DataFrame:
     """Adds covers: whether the records are each offset of the stored range, once."""
     whole = (F.col("min_offset") == F.col("stored_min")) & (F.col("max_offset") == F.col("stored_max")) & _contiguous()

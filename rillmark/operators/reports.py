@@ -9,10 +9,8 @@ from rillmark.model import REPORT_KEY
 
 
 def _sums(df: DataFrame, *keys: str) -> DataFrame:
-    aggregates = [F.sum("amount").alias("amount"), F.max("offset").alias("offset")]
-    if "write_time" in df.columns:
-        aggregates.append(F.max("write_time").alias("write_time"))
-    return df.groupBy(*keys).agg(*aggregates)
+    latest = [F.max(c).alias(c) for c in ("offset", "write_time") if c in df.columns]
+    return df.groupBy(*keys).agg(F.sum("amount").alias("amount"), *latest)
 
 
 def partials(transactions: DataFrame, *more_keys: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +92,27 @@ def field_diff(produced: DataFrame, stored: DataFrame) -> DataFrame:
 def examples(df: DataFrame, n: int = 10) -> DataFrame:
     """The first few ids, in order: a report's sample."""
     return df.select("transaction_id").orderBy("transaction_id").limit(n)
+
+
+def scalar(make: Callable[[], DataFrame], tries: int = 5, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+    """The one value of make()'s one row; a query that fails is made and run again."""
+    for attempt in range(1, tries + 1):
+        try:
+            return make().head()[0]
+        except Exception:
+            if attempt == tries:
+                raise
+            sleep(pause)
+
+
+def wait_for_distinct(stored: Callable[[], DataFrame], want: int, timeout: float = 360.0, pause: float = 2.0, settle: float = 2.0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> int:
+    """Waits until what is stored has want distinct ids or more, and a little longer, so that writes beyond it show. Returns
+    how many there are then."""
+    until = clock() + timeout
+    count = lambda: scalar(lambda: stored().agg(F.count_distinct("transaction_id")), sleep=sleep)
+    while (have := count()) < want:
+        if clock() > until:
+            raise TimeoutError(f"{have} of {want} transactions after {timeout} s")
+        sleep(pause)
+    sleep(settle)
+    return count()

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import state as S
 from rillmark.functions import wire
-from rillmark.model import BATCH_SIZE, RANGES, State, canonical
+from rillmark.model import BATCH_SIZE, RANGES, State, canonical, events, state_name
 from rillmark.operators import generate, reports, verify
 from rillmark.operators import ranges as R
 from rillmark.sources import topic
-from rillmark.sources.tables import all_transactions
+from rillmark.sources.tables import all_transactions, run_sql
 from rillmark.streaming.ingest import Ingest
 from rillmark.streaming.ledger import FileLedger
 from rillmark.streaming.sink import TokenSink
@@ -78,32 +78,32 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query('SELECT transaction_id, user_id, product_id, amount, "date" FROM tx')
 def full_row_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_transactions(canonical(spark, sf_dir))
+    return all_transactions(events(spark, sf_dir))
 
 
 @_query("SELECT count(*) AS row_count FROM tx")
 def raw_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical(spark, sf_dir).agg(F.count(F.lit(1)).alias("row_count"))
+    return events(spark, sf_dir).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @_query("SELECT count(DISTINCT transaction_id) AS distinct_ids FROM tx")
 def distinct_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical(spark, sf_dir).agg(F.count_distinct("transaction_id").alias("distinct_ids"))
+    return events(spark, sf_dir).agg(F.count_distinct("transaction_id").alias("distinct_ids"))
 
 
 @_query("SELECT CAST(sum(amount) AS BIGINT) AS total FROM tx")
 def raw_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical(spark, sf_dir).agg(F.sum("amount").alias("total"))
+    return events(spark, sf_dir).agg(F.sum("amount").alias("total"))
 
 
 @_query("SELECT CAST(sum(amount) AS BIGINT) AS total FROM (SELECT sum(amount) AS amount FROM tx GROUP BY \"date\", user_id, product_id) r")
 def reports_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.merged(reports.partials(canonical(spark, sf_dir))).agg(F.sum("amount").alias("total"))
+    return reports.merged(reports.partials(events(spark, sf_dir))).agg(F.sum("amount").alias("total"))
 
 
 @_query("SELECT count(*) AS row_count, CAST(sum(amount) AS BIGINT) AS total FROM tx")
 def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.totals(canonical(spark, sf_dir))
+    return verify.totals(events(spark, sf_dir))
 
 
 # reports
@@ -119,23 +119,28 @@ def reports_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.merged(reports.partials(canonical(spark, sf_dir)))
 
 
+def _by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report without offsets, which no period asks for."""
+    return reports.merged(reports.partials(events(spark, sf_dir)))
+
+
 def _rollup_sql(unit: str) -> str:
     return f'SELECT CAST(date_trunc(\'{unit}\', "date") AS DATE) AS period, CAST(sum(amount) AS BIGINT) AS amount, count(*) AS "rows" FROM (SELECT "date", sum(amount) AS amount FROM tx GROUP BY "date", user_id, product_id) r GROUP BY 1'
 
 
 @_query(_rollup_sql("day"))
 def reports_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rollup(reports_merged(spark, sf_dir), "day")
+    return reports.rollup(_by_key(spark, sf_dir), "day")
 
 
 @_query(_rollup_sql("week"))
 def reports_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rollup(reports_merged(spark, sf_dir), "week")
+    return reports.rollup(_by_key(spark, sf_dir), "week")
 
 
 @_query(_rollup_sql("month"))
 def reports_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rollup(reports_merged(spark, sf_dir), "month")
+    return reports.rollup(_by_key(spark, sf_dir), "month")
 
 
 # wire and records
@@ -158,10 +163,34 @@ def state_codec_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("partition_id", "batch", F.hex("r").alias("record"), back["min_offset"].alias("min_offset"), back["max_offset"].alias("max_offset"), back["state"].cast("int").alias("state"))
 
 
-@_query()
+@_query('SELECT partition_id, count(*) AS "rows", CAST(1 AS BIGINT) AS shards, true AS within FROM tx GROUP BY 1')
 def shard_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = canonical(spark, sf_dir).select("partition_id", S.shard(F.col("partition_id")).alias("shard"))
-    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("partition_id").alias("partitions"))
+    """What holds whatever the hash is: each partition lies whole in one of the shards."""
+    rows = events(spark, sf_dir).select("partition_id", S.shard(F.col("partition_id")).alias("shard"))
+    return rows.groupBy("partition_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shard").alias("shards"), F.min("shard").between(0, 1).alias("within"))
+
+
+@_query("""SELECT 'tx-' || CAST(event_id AS VARCHAR) AS transaction_id, CAST(ts AS DATE) = CAST(ts + INTERVAL 6 HOUR AS DATE) AS same FROM events""")
+def same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a message's day is still the same six hours later."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    return rows.select(F.concat(F.lit("tx-"), F.col("event_id").cast("string")).alias("transaction_id"), S.same_day(F.col("ts"), F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("same"))
+
+
+@_query("SELECT partition_id, batch, CASE WHEN partition_id = 0 THEN 'UNKNOWN' WHEN partition_id = 1 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS name FROM ranges")
+def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batches(spark, sf_dir).select("partition_id", "batch", state_name(F.col("partition_id").cast("tinyint")).alias("name"))
+
+
+@_query("SELECT product_id, CAST(sum(amount) AS BIGINT) AS total, true AS named FROM tx GROUP BY 1")
+def sql_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of statements: a comment, a view, and a query over it that tells whether the database has a name."""
+    events(spark, sf_dir).createOrReplaceTempView("tx_of_file")
+    text = """-- totals; by product
+        CREATE OR REPLACE TEMP VIEW totals_of_file AS SELECT product_id, sum(amount) AS total FROM tx_of_file GROUP BY product_id;
+        SELECT product_id, total, length(current_database()) > 0 AS named FROM totals_of_file;
+    """
+    return run_sql(spark, text)[-1]
 
 
 # offset ranges
@@ -199,20 +228,8 @@ def validate_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.validate_new(_batches(spark, sf_dir), _ledger(spark)).select("partition_id", "batch", "error")
 
 
-@_query(
-    """SELECT partition_id, "offset", amount FROM tx WHERE "offset" < 1500
-       UNION ALL SELECT partition_id, "offset", amount + 1 FROM tx WHERE "offset" BETWEEN 1500 AND 2499"""
-)
+@_query("""SELECT partition_id, "offset", CASE WHEN "offset" % 1000 < 600 THEN amount ELSE amount + 1 END AS amount FROM tx""")
 def merge_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = canonical(spark, sf_dir).select("partition_id", "offset", "amount")
-    later = rows.where(F.col("offset").between(1000, 2499)).withColumn("amount", F.col("amount") + 1)
-    return R.merge_pending(rows.where(F.col("offset") < 1500), later)
-
-
-@_query(
-    """SELECT partition_id, "offset", CASE WHEN "offset" % 1000 < 600 THEN amount ELSE amount + 1 END AS amount FROM tx"""
-)
-def merge_pending_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream: of each batch the first 600 offsets are pending, and those from 400 on incoming."""
     rows = canonical(spark, sf_dir).select("partition_id", "offset", "amount")
     place = F.col("offset") % BATCH_SIZE
@@ -220,6 +237,19 @@ def merge_pending_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_pending(rows.where(place < 600), later)
 
 
+@_query("""SELECT partition_id, step, step = 2 AS covers FROM (SELECT partition_id, unnest([0, 1, 2]) AS step FROM tx GROUP BY 1) q""")
+def accumulate_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each partition's whole range is in progress and comes again in three parts, which overlap: whole only after the last."""
+    rows = canonical(spark, sf_dir).select("partition_id", "offset", "amount")
+    stored = R.range_state(rows).select("partition_id", "min_offset", "max_offset", "state")
+    held, place, seen = rows.limit(0), F.col("offset") % BATCH_SIZE, None
+    for step, part in enumerate((place < 500, place.between(300, 900), place >= 800)):
+        held, now = R.accumulate(held, rows.where(part), stored)
+        now = now.select("partition_id", F.lit(step).alias("step"), "covers")
+        seen = now if seen is None else seen.unionByName(now)
+    return seen
+
+
 @_query(
     """SELECT ranges.partition_id, batch, coalesce(min_offset = stored_min AND max_offset = stored_max AND n = max_offset - min_offset + 1 AND n_distinct = n, false) AS covers
        FROM ranges LEFT JOIN ledger ON ranges.partition_id = ledger.partition_id"""
@@ -242,22 +272,12 @@ def ledger_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.latest(_batches(spark, sf_dir), "batch").withColumn("state", F.col("state").cast("int"))
 
 
-@_query(
-    """SELECT a.partition_id, a.min_offset, a.max_offset, l.stored_min AS written_min, l.stored_max AS written_max
-       FROM (SELECT partition_id, batch, min_offset + 250 AS min_offset, max_offset + 250 AS max_offset FROM ranges WHERE batch % 2 = 0) a
-       JOIN ledger l ON a.partition_id = l.partition_id AND l.stored_min <= a.max_offset AND l.stored_max >= a.min_offset"""
-)
-def range_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = _batches(spark, sf_dir).where("batch % 2 = 0").withColumns({"min_offset": F.col("min_offset") + 250, "max_offset": F.col("max_offset") + 250})
-    return R.overlaps(moved, _ledger(spark))
-
-
 @_query(
     """SELECT a.partition_id, a.min_offset, a.max_offset, min(w.min_offset) AS written_min, min(w.max_offset) AS written_max
        FROM (SELECT partition_id, min_offset + 250 AS min_offset, max_offset + 250 AS max_offset FROM ranges) a
        JOIN ranges w ON a.partition_id = w.partition_id AND w.min_offset <= a.max_offset AND w.max_offset >= a.min_offset GROUP BY 1, 2, 3"""
 )
-def range_overlaps_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def range_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranges of all batches, moved, against those of all batches as written."""
     written = _batches(spark, sf_dir)
     return R.overlaps(written.withColumns({"min_offset": F.col("min_offset") + 250, "max_offset": F.col("max_offset") + 250}), written)
@@ -366,6 +386,18 @@ def replay_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.reports().drop("write_time")
 
 
+@_query(_BY_PARTITION)
+def ingest_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole stream as one batch of messages, and the same batch again after it is COMPLETED; then an empty one."""
+    root = new_path(spark, "ingest")
+    sink = TokenSink(spark, f"{root}/tables")
+    job = Ingest(spark, FileLedger(spark, f"{root}/ledger"), sink)
+    messages = wire.encode(canonical(spark, sf_dir))
+    for part in (messages, messages, messages.limit(0)):
+        job.batch(part)
+    return _by_partition(sink.transactions())
+
+
 class _Crash(RuntimeError):
     pass
 
@@ -385,7 +417,7 @@ def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise _Crash(step)
 
     job = Ingest(spark, ledger, sink, crash)
-    most = 1 << 20
+    most = 1 << 14  # several batches
     try:
         job.catch_up(log, f"{root}/checkpoint", most)
     except Exception as e:  # Spark wraps what the batch raised
@@ -404,6 +436,13 @@ def generator_exact_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.agg(F.sum("amount").cast("int").alias("total"), (F.min("amount").between(0, 500) & F.max("amount").between(0, 500)).alias("within"))
 
 
+@_query("SELECT CAST(p AS BIGINT) AS pass, CAST(d AS DATE) AS \"date\", CAST(CASE WHEN p = 2 AND d = DATE '2025-03-02' THEN 7 ELSE 20000 END AS BIGINT) AS total, true AS within FROM (SELECT unnest([0, 0, 1, 1, 2, 2]) AS p, unnest([DATE '2025-03-01', DATE '2025-03-02', DATE '2025-03-01', DATE '2025-03-02', DATE '2025-03-01', DATE '2025-03-02']) AS d) q")
+def generator_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes over two days until the total is reached."""
+    made = generate.history(spark, date(2025, 3, 1), date(2025, 3, 3), 100_007, 20_000, 500)
+    return made.groupBy("pass", "date").agg(F.sum("amount").alias("total"), (F.min("amount").between(0, 500) & F.max("amount").between(0, 500)).alias("within"))
+
+
 @_query("SELECT 1000 AS rows_made, 1000 AS ids, true AS within")
 def generator_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = generate.dataset(spark, 1000)

@@ -1,7 +1,9 @@
 """A partitioned topic log in files, and its batch and streaming readers.
 
-Layout: <root>/partition=<p>/<first offset, 20 digits>.jsonl, a message a line. A segment is written beside
-its place and renamed, so that readers see whole segments. Offsets count lines from 0 in each partition.
+Layout: <root>/partition=<p>/<first offset, 20 digits>-<messages>.jsonl, a message a line. A segment is written
+beside its place and renamed, so that readers see whole segments. Offsets count lines from 0 in each partition. A
+segment holds SEGMENT messages at most, so that the names say where a partition ends, and a reader finds an offset by
+skipping lines of one segment.
 
 root is a path that the driver and all executors have mounted: readers run in Python, without Hadoop's file systems.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from rillmark.model import BATCH_SIZE, TOPIC
 
+#: Messages of a segment at most.
+SEGMENT = 1 << 14
+
 
 def local(path: str) -> str:
     """A file: url as a path; other file systems are refused."""
@@ -28,11 +34,23 @@ def local(path: str) -> str:
     return plain
 
 
-def _segments(root: str, partition: int) -> list[tuple[int, str]]:
+def _segments(root: str, partition: int) -> list[tuple[int, int, str]]:
+    """(first offset, messages, path), in order."""
     folder = f"{root}/partition={partition}"
     if not os.path.isdir(folder):
         return []
-    return sorted((int(n[:-6]), f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".jsonl"))
+    return sorted((*map(int, n[:-6].split("-")), f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".jsonl"))
+
+
+def _write_segment(root: str, partition: int, first: int, messages: list[str]) -> None:
+    folder = f"{root}/partition={partition}"
+    os.makedirs(folder, exist_ok=True)
+    beside = f"{folder}/.{uuid.uuid4().hex}"
+    with open(beside, "w", encoding="utf-8") as f:
+        f.writelines(m.replace("\n", " ") + "\n" for m in messages)
+        f.flush()
+        os.fsync(f.fileno())
+    os.rename(beside, f"{folder}/{first:020d}-{len(messages)}.jsonl")
 
 
 def partitions(root: str) -> list[int]:
@@ -42,65 +60,63 @@ def partitions(root: str) -> list[int]:
 def end_offset(root: str, partition: int) -> int:
     """The offset that the next message will get."""
     found = _segments(root, partition)
-    if not found:
-        return 0
-    first, path = found[-1]
-    with open(path, "rb") as f:
-        return first + sum(1 for _ in f)
+    return found[-1][0] + found[-1][1] if found else 0
 
 
 def append(root: str, partition: int, messages: list[str]) -> tuple[int, int]:
-    """Appends messages as a segment and returns their range. One producer a partition."""
+    """Appends messages as segments and returns their range. One producer a partition."""
     first = end_offset(root, partition)
-    if not messages:
-        return first, first - 1
-    folder = f"{root}/partition={partition}"
-    os.makedirs(folder, exist_ok=True)
-    beside = f"{folder}/.{uuid.uuid4().hex}"
-    with open(beside, "w", encoding="utf-8") as f:
-        f.writelines(m.replace("\n", " ") + "\n" for m in messages)
-        f.flush()
-        os.fsync(f.fileno())
-    os.rename(beside, f"{folder}/{first:020d}.jsonl")
+    for a in range(0, len(messages), SEGMENT):
+        _write_segment(root, partition, first + a, messages[a : a + SEGMENT])
     return first, first + len(messages) - 1
 
 
+def recreate(root: str) -> None:
+    """Drops the log with all its segments; the next message of each partition gets offset 0."""
+    shutil.rmtree(root, ignore_errors=True)
+    if os.path.exists(root):
+        raise OSError(f"{root} is still there")
+    os.makedirs(root)
+
+
 def produce(topic: DataFrame, root: str) -> None:
     """Writes topic rows (partition_id, offset, value) as the log's first segments, on the executors.
 
-    root is a folder that they share. Offsets have to be contiguous from 0 in each partition. A partition is
-    written by one task, as a topic's partition has one writer.
+    root is a folder that they share. Offsets have to be contiguous from 0 in each partition. A segment is written by
+    one task, a partition by as many as it has segments. A task that runs again writes the same names.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        out, now, first = None, None, None
+        held: list[str] = []
+        key = begin = None
+
+        def out() -> None:
+            if held:
+                _write_segment(root, key[0], begin, held)
+
         for batch in batches:
             for p, o, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if p != now:
-                    if out:
-                        out.close()
-                        os.rename(beside, f"{folder}/{first:020d}.jsonl")
-                    now, first, expected = p, o, o
-                    folder = f"{root}/partition={p}"
-                    os.makedirs(folder, exist_ok=True)
-                    beside = f"{folder}/.{uuid.uuid4().hex}"
-                    out = open(beside, "w", encoding="utf-8")  # noqa: SIM115
-                if o != expected:
-                    raise ValueError(f"offset {o} of partition {p} where {expected} was due")
-                out.write(v.replace("\n", " ") + "\n")
-                expected += 1
-        if out:
-            out.close()
-            os.rename(beside, f"{folder}/{first:020d}.jsonl")
+                if (p, o // SEGMENT) != key:
+                    out()
+                    held, key, begin = [], (p, o // SEGMENT), o
+                    if o % SEGMENT:
+                        raise ValueError(f"offset {o} of partition {p} where {o // SEGMENT * SEGMENT} was due")
+                if o != begin + len(held):
+                    raise ValueError(f"offset {o} of partition {p} where {begin + len(held)} was due")
+                held.append(v)
+        out()
         yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
 
-    topic.select("partition_id", "offset", "value").repartition("partition_id").sortWithinPartitions("partition_id", "offset").mapInArrow(run, "done int").count()
+    rows = topic.select("partition_id", "offset", "value").withColumn("segment", F.floor(F.col("offset") / SEGMENT))
+    rows.repartition("partition_id", "segment").sortWithinPartitions("partition_id", "offset").mapInArrow(run, "done int").count()
 
 
 def _lines(root: str, partition: int, start: int, end: int) -> Iterator[tuple[int, int, str]]:
-    for first, path in _segments(root, partition):
+    for first, count, path in _segments(root, partition):
+        if first + count <= start:
+            continue
         if first >= end:
             return
         with open(path, encoding="utf-8") as f:
@@ -180,11 +196,11 @@ def stream(spark: SparkSession, root: str, start: dict[int, int] | None = None,
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All messages of the log as a batch: the segment's first offset plus the line's place."""
+    """All messages of the log as a batch: the segment's first offset plus the line's place. A segment is a row meanwhile."""
     lines = spark.read.text(f"{root}/partition=*/*.jsonl", wholetext=True).select(F.input_file_name().alias("f"), "value")
     parts = lines.select(
         F.regexp_extract("f", r"partition=(\d+)", 1).cast("bigint").alias("partition_id"),
-        F.regexp_extract("f", r"(\d{20})\.jsonl", 1).cast("bigint").alias("first"),
+        F.regexp_extract("f", r"(\d{20})-\d+\.jsonl", 1).cast("bigint").alias("first"),
         F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")),
     )
     return parts.select("partition_id", (F.col("first") + F.col("pos")).alias("offset"), F.col("col").alias("value"))

@@ -46,6 +46,10 @@ class FileLease:
         if last["owner"] == self.owner:
             self._next(partition, number, 0.0)
 
+    def clear(self) -> None:
+        """Drops the leases of all partitions."""
+        self.files.delete(self.root)
+
     def holder(self, partition: int) -> str | None:
         _, last = self._last(partition)
         return last["owner"] if last["until"] > self.clock() else None

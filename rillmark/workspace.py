@@ -67,6 +67,20 @@ class Files:
             out.close()
         return True
 
+    def create_whole(self, path: str, data: bytes) -> bool:
+        """As create(), but readers never see a part of it: it is written beside its place and renamed, which fails if
+        the place is taken."""
+        beside = f"{path}.{uuid.uuid4().hex}.tmp"
+        self.create(beside, data)
+        try:
+            self._rename(beside, path, "NONE")
+        except Exception as e:
+            self.delete(beside)
+            if "already exists" in str(e) or "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
     def replace(self, path: str, data: bytes) -> None:
         """Writes beside path and renames over it: readers see the old bytes or the new ones."""
         beside = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -74,10 +88,18 @@ class Files:
         self.rename_over(beside, path)
 
     def rename_over(self, source: str, target: str) -> None:
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.jvm.org.apache.hadoop.fs.Path(target).toUri(), self.conf)
+        self._rename(source, target, "OVERWRITE")
+
+    def _rename(self, source: str, target: str, how: str) -> None:
+        path = self.jvm.org.apache.hadoop.fs.Path
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(target).toUri(), self.conf)
         options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self.jvm.org.apache.hadoop.fs.Path(source), self.jvm.org.apache.hadoop.fs.Path(target), options)
+        options[0] = getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, how)
+        context.rename(path(source), path(target), options)
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
 
     def delete(self, path: str) -> None:
         fs, p = self._fs(path)

@@ -41,14 +41,14 @@ def test_merge_covers_the_stream(spark):
     sf = "/root/testdata/sf0.01"
     offsets = catalog.queries()["raw_transactions"](spark, sf).select("partition_id", "offset")
     assert offsets.where("offset >= 2500").count() > 0
-    merged = catalog.queries()["merge_pending_stream"](spark, sf).select("partition_id", "offset")
+    merged = catalog.queries()["merge_pending"](spark, sf).select("partition_id", "offset")
     assert offsets.exceptAll(merged).count() == merged.exceptAll(offsets).count() == 0
 
 
 def test_overlaps_cover_the_stream(spark):
     sf = "/root/testdata/sf0.01"
     starts = {(r.partition_id, r.min_offset) for r in catalog.queries()["range_state"](spark, sf).collect()}
-    got = catalog.queries()["range_overlaps_stream"](spark, sf).collect()
+    got = catalog.queries()["range_overlaps"](spark, sf).collect()
     assert {(r.partition_id, r.min_offset - 250) for r in got} == starts == {(r.partition_id, r.written_min) for r in got}
     assert any(m // 1000 % 2 for _, m in starts)
 
@@ -58,3 +58,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["raw_sum", "raw_row_count", "distinct_transactions", "full_row_fetch", "dataset_totals", "reports_sum", "reports_daily", "shard_route"])
+def test_one_scan_without_offsets(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    assert "Join" not in plan and "Window" not in plan
