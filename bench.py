@@ -12,7 +12,7 @@ from rillmark.plans import catalog
 
 HEADLINE = [
     "raw_sum", "distinct_transactions", "reports_mv", "reports_merged", "reports_monthly", "json_decode", "range_state", "range_classify",
-    "merge_pending", "invariants", "reconcile_summary", "replay_idempotent", "replay_reports",
+    "merge_pending", "invariants", "reconcile_summary", "replay_idempotent", "replay_reports", "ingest_replayed", "stream_exactly_once",
 ]
 
 
