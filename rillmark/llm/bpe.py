@@ -44,6 +44,26 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def understood(spec: str) -> dict:
+    """The file's contents; ValueError unless it is of the kind that this module reproduces: byte-level words with the suffix
+    </w>, lower-cased after composition and the collapse of white space, special tokens that hold <|, and no decoder."""
+    file = json.loads(spec)
+    model, lacks = file["model"], []
+    steps = [x.get("type") for x in ((file.get("normalizer") or {}).get("normalizers") or [])]
+    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+    if model.get("type") != "BPE" or any(model.get(k) != v for k, v in plain.items()) or model.get("byte_fallback") or model.get("ignore_merges"):
+        lacks.append("a BPE model of words that end in </w>")
+    if steps != ["NFC", "Replace", "Lowercase"]:
+        lacks.append("the normalisers NFC, Replace and Lowercase")
+    if file.get("decoder") is not None or file.get("post_processor") is not None:
+        lacks.append("no decoder and no post-processor")
+    if any("<|" not in x["content"] or x.get("normalized") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in file["added_tokens"]):
+        lacks.append("special tokens with <| that are matched as they are")
+    if lacks:
+        raise ValueError(f"the tokenizer file needs {'; '.join(lacks)}")
+    return file
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer file of words with a word-end suffix.
 
@@ -53,7 +73,7 @@ class WordBpe:
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
-        file = json.loads(spec)
+        file = understood(spec)
         model = file["model"]
         vocab: dict[str, int] = model["vocab"]
         self.library = Tokenizer.from_str(spec)
@@ -62,7 +82,7 @@ class WordBpe:
         for text, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = text
         self._specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        end = model["end_of_word_suffix"] or ""
+        end = model["end_of_word_suffix"]
         names = byte_alphabet()
         self._inner = np.array([vocab[c] for c in names], np.int64)
         self._final = np.array([vocab[c + end] for c in names], np.int64)
@@ -280,8 +300,8 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.special = {x["content"]: x["id"] for x in json.loads(spec)["added_tokens"]}
-        self._specials = re.compile("|".join(map(re.escape, self.special)))
+        self.special = {x["content"]: x["id"] for x in understood(spec)["added_tokens"]}
+        self._specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self._known: dict[str, bytes] = {}
 
         ends = [t for t in self.library.get_vocab(with_added_tokens=False).items() if t[0].endswith("</w>")]
@@ -348,7 +368,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id
     Returns id_column, ids (little-endian unsigned 32-bit integers, binary), decoded (string), n_tokens,
     ids_sha256 and decoded_sha256 (lower-case hex). keep=False leaves ids and decoded out, so that they
     never leave the worker. A null text is an empty one: no ids, empty decoded text. Other columns are
-    ignored; a null id is kept; repeated rows give a row each.
+    ignored; a null id is kept; repeated rows give a row each; texts of any length are encoded whole; an empty table gives an
+    empty result. A tokenizer file of another kind is refused (see understood).
     """
     small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))

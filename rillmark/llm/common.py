@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -27,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by bytes, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
+    """Bounds the Arrow batches of this session by bytes, so that long texts don't pile up in a worker. Plans read these
+    settings when they run, so they stay; smaller ones that the caller has made are kept."""
+    for name, most in (("maxBytesPerBatch", ARROW_BATCH_BYTES), ("maxRecordsPerBatch", ARROW_BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        have = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
 
 
 def work_path(spark: SparkSession, what: str) -> str:
@@ -73,6 +78,14 @@ def _drop(spark: SparkSession, name: str) -> None:
         return
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are done with: it does when the driver's collector finds nothing that
+    refers to them, and the last plan that was run is still referred to until another has been."""
+    gc.collect()
+    spark.range(1).collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system: workers live on, and blocks of several MB would
     otherwise leave their size behind in each allocator."""
@@ -120,10 +133,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts, A-Z lower-cased, and the n + 1 offsets of each text's words.
 
@@ -186,7 +195,3 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, size: int = 5) -> tuple[np.
             total[starts[has]] = count[has].astype(np.uint64) * odd[size - 1]
         total[starts[has]] += mixed(hashes[starts[has] + k] + odd[k])
     return mixed(total[keep[:-1]]), np.concatenate(([0], np.cumsum(made)))
-
-
-def column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)

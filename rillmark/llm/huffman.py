@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm.bpe import LibraryEncoder, encoder, read_spec
-from rillmark.llm.common import flat, mixed, pieces, release, small_batches, stored, stored_by, word_spans, work_path
+from rillmark.llm.common import flat, free_shuffles, mixed, pieces, release, small_batches, stored, stored_by, word_spans, work_path
 
 LONGEST = 16
 #: Ids of a file's block, ids between checkpoints, text bytes of a block of words, and words that a partition stands for.
@@ -296,7 +296,9 @@ def encoded_words(blocks: DataFrame, tokenizer_path: str, n: int) -> DataFrame:
 
     asked = blocks.select("block", "texts", "tokens").mapInArrow(ask, "bucket int, block long, texts binary, counts binary")
     told = asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "bucket int, block long, sizes binary, ids binary, counts binary")
-    return stored(told, "word-ids", "uncompressed")
+    made = stored(told, "word-ids", "uncompressed")
+    free_shuffles(blocks.sparkSession)
+    return made
 
 
 def global_counts(words: DataFrame, vocabulary: int, documents: int, end_id: int) -> np.ndarray:

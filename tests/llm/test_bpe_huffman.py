@@ -35,6 +35,14 @@ def test_special_and_odd(text):
     assert OWN.encode_batch([text]) == WORDS.encode_batch([text]) == [reference(text)]
 
 
+def test_other_files_are_refused():
+    import json
+
+    for change in ({"decoder": {"type": "BPEDecoder"}}, {"normalizer": None}, {"added_tokens": [{"id": 1, "content": "[X]"}]}, {"model": {"type": "WordPiece"}}):
+        with pytest.raises(ValueError, match="tokenizer file needs"):
+            WordBpe(json.dumps(json.loads(SPEC) | change))
+
+
 def test_both_trees_agree():
     r = random.Random(5)
     words = ["".join(r.choice("abcdeth ing").strip() or "e" for _ in range(r.randrange(1, 70))).encode() for _ in range(300)]
