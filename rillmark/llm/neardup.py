@@ -253,8 +253,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Words have A-Z lower-cased and are split at ASCII white space. A document's set is its distinct runs of
     five words; with fewer words the whole sequence; without any (also null text) it is empty and linked with
     nothing. Documents are linked if 100 * intersection >= 75 * union. component_id is the least doc_id that
-    links reach; kept says that it is the document's own. Rows of one doc_id are one document, and each has
-    its row. A null doc_id takes no part: component_id null, kept. Other columns are ignored.
+    links reach; kept says that it is the document's own. Rows of one doc_id are one document, linked with all that any
+    of its texts is, and have a row each, with their own n_shingles and one component_id. A null doc_id takes no part:
+    component_id null, kept. Texts of any length are compared whole; other columns are ignored; an empty table gives an empty
+    result.
     """
     marks = stored(sketches(docs, id_column, text_column), "sketches")
     classes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("sequence").agg(F.min("doc_id").alias("head"))
@@ -262,8 +264,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     member = marks.select("doc_id", "n_shingles", "sequence").join(classes, "sequence", "left")
     first = marks.join(classes, "sequence").where("doc_id = head").select("doc_id", "n_shingles", "signature", "bands")
     heads = stored(first.dropDuplicates(["doc_id", "signature"]), "heads")
-    family = components(candidate_edges(heads))
-    links = components(confirmed_edges(docs, heads, family, id_column, text_column)).select(F.col("node").alias("head"), "component")
+    # a document of several texts is in several classes: all of its rows go by one of them, and the classes are one
+    ranged = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("head").alias("m"), F.max("head").alias("most"), F.count(F.lit(1)).alias("n"), F.count("head").alias("texts"))
+    several = stored(ranged.where("m < most or (texts > 0 and texts < n)").select("doc_id", "m"), "several")
+    same = member.join(several, "doc_id").where("head is not null and head <> m").select(F.col("head").alias("a"), F.col("m").alias("b")).distinct()
+    edges = confirmed_edges(docs, heads, components(candidate_edges(heads)), id_column, text_column)
+    links = components(edges.union(same)).select(F.col("node").alias("head"), "component")
+    member = member.join(several, "doc_id", "left").withColumn("head", F.coalesce("m", "head")).drop("m")
     head_of = member.join(links, "head", "left")
     component = F.coalesce("component", "head", "doc_id")
     return head_of.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

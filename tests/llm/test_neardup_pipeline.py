@@ -75,6 +75,29 @@ def test_large_group_of_near_copies(spark, monkeypatch, block):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_a_chain_in_a_large_family(spark, monkeypatch):
+    """Many near copies over several blocks, and a chain of texts of which each is linked with the next alone."""
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 32)
+    monkeypatch.setattr(neardup, "FAMILY_BLOCK", 16)
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[int(r.integers(200))] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[i * 10 : i * 10 + 110])) for i in range(9)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_one_document_of_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (7, a + " more"), (8, c), (8, ""), (2, c), (9, None), (9, ""), (1, "x y")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 3, False), (3, 3, True), (7, 3, False), (8, 2, False), (2, 2, True), (9, 9, True), (1, 1, True)}
+    assert len(got) == len(rows)
+
+
 def test_boundary(spark):
     # 12 and 16 shingles, 12 in common: exactly 0.75; and one less
     w = [f"t{i}" for i in range(20)]
@@ -122,6 +145,20 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in seen["near_dedup"].collect()}
 
 
+def test_pipeline_keeps_one_row_of_a_document(spark, docs):
+    """Whatever the order of the rows: the least one."""
+    text = docs.where("length(text) > 400").limit(3).collect()
+    rows = [(70, r.text, r.lang, r.source, r.n_chars) for r in text] + [(71, text[0].text, "en", "s", 5)] * 2 + [(None, "a b c", "en", "s", 1)] * 2
+    df = spark.createDataFrame(rows, docs.schema)
+    want = None
+    for order in (rows, rows[::-1]):
+        got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, spark.createDataFrame(order, docs.schema).repartition(3), SF).collect()), key=str)
+        assert want is None or got == want
+        want = got
+    assert [r[0] for r in want].count(70) == 1 and [r[0] for r in want].count(None) == 2
+    assert df.count() == 7
+
+
 def test_pipeline_bears_odd_rows(spark, odd, none):
     for df in (odd, none):
         now = df
