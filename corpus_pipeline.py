@@ -34,11 +34,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least doc_id. Of rows of one doc_id one stays; rows
-    without doc_id all stay."""
-    keep = stored(neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicates: the least doc_id. Of rows of one doc_id the least one stays, by all
+    columns in order; rows without doc_id all stay."""
+    keep = stored(neardup.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    once = docs.join(keep.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.join(keep.where("n > 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_r"))
+    least = rows.groupBy("_id").agg(F.min("_r").alias("_r")).select("_r.*")
+    return once.unionByName(least).unionByName(docs.where("doc_id is null"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents.
+
+    Nulls, empty and very long texts, and ties are what each stage says. Rows without doc_id aren't learnt from nor linked, and
+    stay if language and quality do; of several rows of a document one stays. An empty table gives an empty result. Columns
+    beyond those of documents are carried to the last stage, which has its own.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
