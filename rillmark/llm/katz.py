@@ -12,6 +12,10 @@ words have which count, and which count of the lower order. All of that are whol
 n-gram that has been seen has a shorter form that has been seen, so the weights need nothing else. Then each
 block scores its documents. Nothing is broadcast but the counts of counts.
 
+A block that holds all texts in which a history occurs doesn't ask for it: its own counts are the whole. So with an
+n-gram whose shorter form occurs nowhere else; of these the table is told the history's sums alone. For that, all
+occurrences are counted beside those in training.
+
 Bounds. There are as many parts as the tokens need, BUCKET_TOKENS each, and a history that has been seen very
 often is spread over parts by its next word, one for HOT of its tokens; a block asks all of them for their sums.
 """
@@ -27,15 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import flat, mixed, pieces, release, small_batches, stored, stored_by, words
+from rillmark.llm.common import flat, free_shuffles, mixed, pieces, release, small_batches, stored, stored_by, words
 
 ORDER = 3
 #: Text bytes of a block, tokens that a part of a table stands for, and tokens of a history from which it is spread.
-BLOCK_BYTES, BUCKET_TOKENS, HOT = 4 << 20, 1 << 20, 1 << 18
+BLOCK_BYTES, BUCKET_TOKENS, HOT = 3 << 20, 2 << 20, 1 << 18
 #: Counts above this are not discounted.
 UNDISCOUNTED = 5
 #: The hash of the end of a text, which no word has but by chance.
 END = np.uint64(0xE2D0_0000_0000_0003)
+#: The start of a text, as a number beside those of words: salts lie above it.
+_START, _LOW48 = np.uint64(2**40 - 1), np.uint64(2**48 - 1)
 _ODD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: What is told of a history: next words of count 1 .. UNDISCOUNTED and tokens of greater counts; then the same by the
 #: count of the lower order, of those next words that have been seen.
@@ -52,7 +58,7 @@ def packed(values: np.ndarray) -> bytes:
     values = np.ascontiguousarray(values.ravel(), "<u8")
     width = (int(values.max(initial=0)).bit_length() + 7) // 8
     planes = values.view(np.uint8).reshape(-1, 8).T[:width]
-    return bytes([width]) + _ZSTD.setdefault("c", zstandard.ZstdCompressor(level=1)).compress(planes.tobytes())
+    return bytes([width]) + _ZSTD.setdefault("c", zstandard.ZstdCompressor(level=3)).compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -93,6 +99,11 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
             ids = np.concatenate([h[0] for h in held])
             count = np.concatenate([h[1] for h in held])
             vocabulary, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+            # frequent words get small places, which take less room
+            order = np.argsort(-np.bincount(tokens), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            vocabulary, tokens = vocabulary[order], place[tokens]
             row = (part << 32 | number, len(tokens), ids.astype("<i8").tobytes(), is_held_out(ids, modulus, remainder).tobytes(), count.astype("<i8").tobytes(), vocabulary.tobytes(), packed(tokens))
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays(
@@ -132,7 +143,8 @@ class _Block:
 
 class _Order:
     """The distinct n-grams of a block of one order. Histories are the n-grams of the order below, and one more: the
-    start of a text. at is each token's n-gram; hist, word and lower are each n-gram's history, last word and shorter form."""
+    start of a text. at is each token's n-gram; hist, word and lower are each n-gram's history, last word and shorter form;
+    own and every count it in training and at all."""
 
     def __init__(self, b: _Block, at: np.ndarray, below: int) -> None:
         histories = np.concatenate((np.zeros(1, np.int64), at[:-1]))
@@ -142,32 +154,55 @@ class _Order:
         self.hist, self.word = np.divmod(distinct, size)
         self.lower = np.empty(len(distinct), np.int64)
         self.lower[self.at] = at
+        self.every = np.bincount(self.at, minlength=len(distinct))
         self.own = np.bincount(self.at[b.trains], minlength=len(distinct))
 
 
-class _Units:
-    """Where an order's n-grams are asked for: a unit is a history in one part, of several if it is hot. Everything is in
-    order of part and unit's key, so that answers find their places again."""
+def _sums(hist: np.ndarray, count: np.ndarray, low: np.ndarray, size: int) -> np.ndarray:
+    """What is told of histories (see _SUMS), from their n-grams that have been seen."""
+    seen = np.flatnonzero(count)
+    out = np.zeros((_SUMS, size), np.int64)
+    for half, c in enumerate((count[seen], low[seen])):
+        np.add.at(out.reshape(-1), (half * (UNDISCOUNTED + 1) + np.minimum(c, UNDISCOUNTED + 1) - 1) * size + hist[seen], np.where(c > UNDISCOUNTED, c, 1))
+    return out
+
+
+def _tokens(sums: np.ndarray) -> np.ndarray:
+    """The tokens after each history, from its sums."""
+    return (sums[:UNDISCOUNTED] * np.arange(1, UNDISCOUNTED + 1)[:, None]).sum(axis=0) + sums[UNDISCOUNTED]
 
-    def __init__(self, o: _Order, keys: np.ndarray, counts: np.ndarray, numbers: np.ndarray, n: int) -> None:
-        used = np.zeros(len(keys), bool)
-        used[o.hist] = True
-        spread = np.where(used, 1 + counts // HOT, 0)
+
+class _Units:
+    """What an order's n-grams are asked for by: a unit is a history in one part, of several if it is hot. Everything is in
+    order of part and unit's key, so that answers find their places again. closed histories and local n-grams are known."""
+
+    def __init__(self, o: _Order, keys: np.ndarray, counts: np.ndarray, everywhere: np.ndarray, numbers: np.ndarray, n: int, named: np.ndarray | None) -> None:
+        here = np.bincount(o.hist, weights=o.every, minlength=len(keys)).astype(np.int64)
+        self.closed = here == everywhere
+        self.local = self.closed[o.hist] | (o.every == everywhere[o.lower])
+        spread = np.where((here > 0) & ~self.closed, 1 + counts // HOT, 0)
         self.base = np.cumsum(spread) - spread
         self.of = np.repeat(np.arange(len(keys)), spread)
         salt = np.arange(len(self.of)) - self.base[self.of]
         mark = mixed(keys[self.of] + (salt + 1).astype(np.uint64) * _SALT)
-        part, key = (mixed(mark) % np.uint64(n)).astype(np.int64), mark >> np.uint64(16)
-        self.order = np.lexsort((key, part))
+        part = (mixed(mark) % np.uint64(n)).astype(np.int64)
+        # a word as history is known by its number, which takes less room than a hash
+        key = mark >> np.uint64(16) if named is None else named[self.of] + (salt.astype(np.uint64) << np.uint64(40))
+        self.order = np.lexsort((key, part)) if n > 1 << 16 else np.argsort(part.astype(np.uint64) << np.uint64(48) | key & _LOW48, kind="stable")
         self.key = key[self.order]
         self.cuts = np.searchsorted(part[self.order], np.arange(n + 1))
         rank = np.empty(len(self.order), np.int64)
         rank[self.order] = np.arange(len(self.order))
-        number = mixed(numbers[o.word])
-        unit = rank[self.base[o.hist] + (number % np.maximum(spread[o.hist], 1).astype(np.uint64)).astype(np.int64)]
-        self.grams = np.argsort(unit, kind="stable")
+        asked = np.flatnonzero(~self.local)
+        hist = o.hist[asked]
+        unit = rank[self.base[hist] + (mixed(numbers[o.word[asked]]) % spread[hist].astype(np.uint64)).astype(np.int64)]
+        # in order of unit, then of n-gram: values that are sorted, not places, as these sort much faster
+        self.grams = asked[np.sort(unit << 32 | np.arange(len(unit))) & 0xFFFFFFFF]
         self.runs = np.bincount(unit, minlength=len(self.order))
         self.ends = np.concatenate(([0], np.cumsum(self.runs)))
+        # a history's local n-grams are told with its first unit
+        tell = np.flatnonzero(self.local & ~self.closed[o.hist])
+        self.told = _sums(rank[self.base[o.hist[tell]]], o.own[tell], counts[o.lower[tell]], len(self.order))
 
     def part(self, k: int) -> tuple[slice, np.ndarray]:
         """The units and the n-grams of part k."""
@@ -181,29 +216,39 @@ class _Known:
     def __init__(self, row: dict, n: int, orders: int) -> None:
         self.b = b = _Block(row)
         self.n = n
-        of = _by_part(row["answers1"])
         order, cuts = _split(mixed(b.vocabulary), n)
-        self.count, self.number = np.zeros(len(b.vocabulary), np.int64), np.zeros(len(b.vocabulary), np.uint64)
-        for k, a in of.items():
+        self.count, self.number, everywhere = np.zeros(len(b.vocabulary), np.int64), np.zeros(len(b.vocabulary), np.uint64), np.zeros(len(b.vocabulary), np.int64)
+        for k, a in _by_part(row["answers1"]).items():
             some = order[cuts[k] : cuts[k + 1]]
             self.count[some] = _filled(a["counts"], len(some))
+            everywhere[some] = self.count[some] + _filled(a["held"], len(some))
             self.number[some] = _filled(a["sums"], len(some)) * n + k
-        self.texts = int(self.count[np.searchsorted(b.vocabulary, END)]) if len(b.vocabulary) else 0
-        self.words, self.keys, self.counts, self.at = mixed(b.vocabulary), mixed(b.vocabulary), self.count, b.tokens
+        end = int(np.flatnonzero(b.vocabulary == END)[0])
+        self.texts, self.all_texts = int(self.count[end]), int(everywhere[end])
+        self.words, self.keys, self.counts, self.everywhere, self.at = mixed(b.vocabulary), mixed(b.vocabulary), self.count, everywhere, b.tokens
         self.orders: list[tuple[_Order, np.ndarray, np.ndarray]] = []
         for k in range(2, orders + 1):
             o, units = self.next()
-            count, sums = np.zeros(len(o.word), np.int64), np.zeros((_SUMS, len(units.order)), np.int64)
+            count, everywhere, sums, lacks = o.own.copy(), o.every.copy(), np.zeros((_SUMS, len(units.order)), np.int64), np.zeros(len(units.order), bool)
             for part, a in _by_part(row[f"answers{k}"]).items():
                 some, grams = units.part(part)
                 count[grams] = _filled(a["counts"], len(grams))
-                sums[:, units.order[some]] = _filled(a["sums"], _SUMS * (some.stop - some.start)).reshape(_SUMS, -1)
-            whole = np.zeros((_SUMS, len(units.base)), np.int64)
+                everywhere[grams] = count[grams] + _filled(a["held"], len(grams))
+                lacks[some] = _filled(a["lacks"], some.stop - some.start)
+                sums[:, some.start + np.flatnonzero(lacks[some])] = _filled(a["sums"], _SUMS * int(lacks[some].sum())).reshape(_SUMS, -1)
+            # a unit without sums: those of its n-grams and of what it was told
+            unit = np.repeat(np.arange(len(units.order)), units.runs)
+            by_self = np.flatnonzero(~lacks[unit])
+            mine = units.grams[by_self]
+            sums += _sums(unit[by_self], count[mine], self.counts[o.lower[mine]], len(units.order))
+            sums += np.where(lacks, 0, units.told)
+            near = np.flatnonzero(units.closed[o.hist])
+            whole = _sums(o.hist[near], o.own[near], self.counts[o.lower[near]], len(units.base))
             for j in range(_SUMS):
-                whole[j] = np.bincount(units.of, weights=sums[j], minlength=len(units.base))
+                np.add.at(whole[j], units.of[units.order], sums[j])
             self.orders.append((o, count, whole))
             self.keys = mixed(self._history_keys()[o.hist] * _ODD + self.words[o.word])
-            self.counts, self.at = count, o.at
+            self.counts, self.everywhere, self.at = count, everywhere, o.at
 
     def _history_keys(self) -> np.ndarray:
         return np.append(self.keys, END + np.uint64(len(self.orders) + 1))
@@ -211,7 +256,7 @@ class _Known:
     def next(self) -> tuple[_Order, _Units]:
         """The order after those that are known."""
         o = _Order(self.b, self.at, len(self.counts))
-        return o, _Units(o, self._history_keys(), np.append(self.counts, self.texts), self.number, self.n)
+        return o, _Units(o, self._history_keys(), np.append(self.counts, self.texts), np.append(self.everywhere, self.all_texts), self.number, self.n, None if self.orders else np.append(self.number, _START))
 
 
 def _by_part(answers: list[dict] | None) -> dict[int, dict]:
@@ -224,8 +269,9 @@ def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(part, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(part, minlength=n))))
 
 
-_ASK = "bucket int, block long, keys binary, runs binary, words binary, own binary, lower binary"
-_TELL = "bucket int, block long, counts binary, sums binary, facts binary"
+_ASK = "bucket int, block long, keys binary, runs binary, words binary, own binary, held binary, lower binary, told binary, facts binary"
+#: lacks says which units have sums; the others' follow from the counts.
+_TELL = "bucket int, block long, counts binary, held binary, lacks binary, sums binary, facts binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -246,8 +292,8 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             release()
 
 
-def _exchange(asked: DataFrame, n: int, answer, what: str) -> DataFrame:
-    """Deals rows by bucket, gives answer() each bucket's rows in order of block, and writes what it tells."""
+def _exchange(asked: DataFrame, n: int, answer) -> DataFrame:
+    """Deals rows by bucket and gives answer() each bucket's rows in order of block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -262,14 +308,12 @@ def _exchange(asked: DataFrame, n: int, answer, what: str) -> DataFrame:
             yield from _in_parts(answer(rows), _TELL)
         release()
 
-    told = stored(asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _TELL), what, "uncompressed")
-    free_shuffles(asked.sparkSession)
-    return told
+    return asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _TELL)
 
 
-def free_shuffles(spark) -> None:
-    """Lets the driver's collector see plans that are done with, so that Spark removes their shuffle files."""
-    spark.sparkContext._jvm.System.gc()
+def _gathered(answers: DataFrame, k: int) -> DataFrame:
+    """All answers to a block as one array: as many as there are parts at most, each of a bounded block's size."""
+    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "held", "lacks", "sums", "facts")).alias(f"answers{k}"))
 
 
 def ask_words(blocks: DataFrame, n: int) -> DataFrame:
@@ -277,43 +321,53 @@ def ask_words(blocks: DataFrame, n: int) -> DataFrame:
         for row in _each(batches):
             b = _Block(row)
             own = np.bincount(b.tokens[b.trains], minlength=len(b.vocabulary))
+            held = np.bincount(b.tokens, minlength=len(b.vocabulary)) - own
             order, cuts = _split(mixed(b.vocabulary), n)
             rows = []
             for k in range(n):
                 some = order[cuts[k] : cuts[k + 1]]
                 if len(some):
-                    rows.append((k, row["block"], b.vocabulary[some].tobytes(), b"", b"", packed(own[some]), b""))
+                    rows.append((k, row["block"], b.vocabulary[some].tobytes(), b"", b"", packed(own[some]), packed(held[some]), b"", b"", b""))
             yield from _in_parts(rows, _ASK)
 
     return blocks.mapInArrow(run, _ASK)
 
 
 def answer_words(rows: list[dict]) -> list[tuple]:
-    """counts are the words' training counts, and sums their places in the part, which number them."""
+    """counts are the words' training counts, held all others, and sums their places in the part in order of frequency, which
+    number them: frequent words have small numbers."""
     keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
+    total, held = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     np.add.at(total, at, np.concatenate([_filled(r["own"], len(k)) for r, k in zip(rows, keys, strict=True)]))
+    np.add.at(held, at, np.concatenate([_filled(r["held"], len(k)) for r, k in zip(rows, keys, strict=True)]))
+    place = np.empty(len(distinct), np.int64)
+    place[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
     facts = _counts_of_counts(total).astype("<i8").tobytes()
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return [(r["bucket"], r["block"], packed(total[p]), packed(p), None if i else facts) for i, (r, p) in enumerate(zip(rows, np.split(at, cuts), strict=True))]
+    each = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+    return [(r["bucket"], r["block"], packed(total[p]), packed(held[p]), b"", packed(place[p]), None if i else facts) for i, (r, p) in enumerate(zip(rows, each, strict=True))]
 
 
 def ask_order(known: DataFrame, k: int, n: int) -> DataFrame:
-    """Each block's n-grams of order k, by part: keys are the units', in order and as differences; runs how many n-grams each
-    has; then of each n-gram its last word's number, its own count, and the count of its shorter form."""
+    """Each block's n-grams of order k that it can't know, by part: keys are the units', in order and as differences; runs how
+    many n-grams each has; then of each n-gram its last word's number, its own count in training and beside it, and the
+    count of its shorter form; and told, the units' sums of local n-grams. facts are the counts of counts of what isn't asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             known = _Known(row, n, k - 1)
             o, units = known.next()
+            facts = _counts_of_counts(o.own[units.local]).astype("<i8").tobytes()
+            # the block's facts go to some part, with or without units there
+            home = row["block"] % n
             rows = []
             for part in range(n):
                 some, grams = units.part(part)
-                if some.start == some.stop:
+                if some.start == some.stop and part != home:
                     continue
                 steps = np.diff(units.key[some], prepend=np.uint64(0))
-                rows.append((part, row["block"], packed(steps), packed(units.runs[some]), packed(known.number[o.word[grams]]), packed(o.own[grams]), packed(known.counts[o.lower[grams]])))
+                numbers = (known.number[o.word[grams]], o.own[grams], o.every[grams] - o.own[grams], known.counts[o.lower[grams]], units.told[:, some])
+                rows.append((part, row["block"], packed(steps), packed(units.runs[some]), *map(packed, numbers), facts if part == home else None))
             yield from _in_parts(rows, _ASK)
             del known, o, units, rows
 
@@ -321,34 +375,45 @@ def ask_order(known: DataFrame, k: int, n: int) -> DataFrame:
 
 
 def answer_order(rows: list[dict]) -> list[tuple]:
-    keys, grams, own, lower = [], [], [], []
+    keys, grams, own, held, lower, every_run, told = [], [], [], [], [], [], []
     for r in rows:
-        runs = unpacked(r["runs"]).astype(np.int64)
         key = np.cumsum(unpacked(r["keys"]), dtype=np.uint64)
-        if not len(runs):  # units without n-grams alone
-            runs = np.zeros(len(key), np.int64)
+        runs = _filled(r["runs"], len(key))
         m = int(runs.sum())
         word = unpacked(r["words"])
         word = word if len(word) else np.zeros(m, np.uint64)
         keys.append(key)
+        every_run.append(runs)
         grams.append(mixed(np.repeat(key, runs) * _ODD + mixed(word)))
         own.append(_filled(r["own"], m))
+        held.append(_filled(r["held"], m))
         lower.append(_filled(r["lower"], m))
-        r["runs"] = runs
+        told.append(_filled(r["told"], _SUMS * len(key)).reshape(_SUMS, -1))
     histories, unit = np.unique(np.concatenate(keys), return_inverse=True)
     distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
+    total, beside = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     np.add.at(total, at, np.concatenate(own))
+    np.add.at(beside, at, np.concatenate(held))
     low, hist = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     low[at] = np.concatenate(lower)
-    hist[at] = np.repeat(unit, np.concatenate([r["runs"] for r in rows]))
-    seen = np.flatnonzero(total)
-    sums = np.zeros((_SUMS, len(histories)), np.int64)
-    for half, count in enumerate((total[seen], low[seen])):
-        np.add.at(sums, (half * (UNDISCOUNTED + 1) + np.minimum(count, UNDISCOUNTED + 1) - 1, hist[seen]), np.where(count > UNDISCOUNTED, count, 1))
-    facts = _counts_of_counts(total).astype("<i8").tobytes()
+    hist[at] = np.repeat(unit, np.concatenate(every_run))
+    sums = _sums(hist, total, low, len(histories))
+    for j, row in enumerate(np.concatenate(told, axis=1)):
+        np.add.at(sums[j], unit, row)
+    facts = _counts_of_counts(total)
+    for r in rows:
+        if r["facts"] is not None:
+            facts = facts + np.frombuffer(r["facts"], "<i8")
+    facts = facts.astype("<i8").tobytes()
     each, units = np.split(at, np.cumsum([len(g) for g in grams])[:-1]), np.split(unit, np.cumsum([len(k) for k in keys])[:-1])
-    return [(r["bucket"], r["block"], packed(total[p]), packed(sums[:, u]), None if i else facts) for i, (r, p, u) in enumerate(zip(rows, each, units, strict=True))]
+    tokens, out = _tokens(sums), []
+    for i, (r, p, u, runs, t) in enumerate(zip(rows, each, units, every_run, told, strict=True)):
+        # a block that has met all that follows a unit adds it up by itself
+        own_tokens = np.zeros(len(u), np.int64)
+        np.add.at(own_tokens, np.repeat(np.arange(len(u)), runs), total[p])
+        lacks = own_tokens + _tokens(t) != tokens[u]
+        out.append((r["bucket"], r["block"], packed(total[p]), packed(beside[p]), packed(lacks), packed(sums[:, u[lacks]]), None if i else facts))
+    return out
 
 
 def _counts_of_counts(total: np.ndarray) -> np.ndarray:
@@ -450,12 +515,19 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     blocks = token_blocks(docs, modulus, remainder)
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24, -(-tokens // BUCKET_TOKENS))
-    answers = [_exchange(ask_words(blocks, n), n, answer_words, "words")]
-    known = blocks.join(_gathered(answers[0], 1), "block", "left")
-    for k in range(2, order + 1):
-        answers.append(_exchange(ask_order(known, k, n), n, answer_order, f"order{k}"))
-        known = known.join(_gathered(answers[-1], k), "block", "left")
-    facts = [_sum_facts(a) for a in answers]
+    known, facts = blocks, []
+    for k in range(1, order + 1):
+        told = _exchange(ask_words(blocks, n) if k == 1 else ask_order(known, k, n), n, answer_words if k == 1 else answer_order)
+        if k < order:
+            # in buckets by block, as the blocks are: what comes later joins them without moving either
+            told = stored_by(_gathered(told, k), f"answers{k}", "block")
+            facts.append(_sum_facts(told.select(F.explode(f"answers{k}.facts").alias("facts"))))
+        else:
+            told = stored(told, f"answers{k}", "uncompressed")
+            facts.append(_sum_facts(told))
+            told = _gathered(told, k)
+        free_shuffles(spark)
+        known = known.join(told, "block", "left")
     unigrams, d = Unigrams(facts[0]), [discounts(f[2:]) for f in facts[1:]]
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,11 +543,6 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     return known.mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _gathered(answers: DataFrame, k: int) -> DataFrame:
-    """All answers to a block as one array: as many as there are parts at most, each of a bounded block's size."""
-    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "sums")).alias(f"answers{k}"))
-
-
 def _sum_facts(answers: DataFrame) -> np.ndarray:
     """Sums the partitions' counts of counts: one short row a partition."""
 

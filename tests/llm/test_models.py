@@ -114,12 +114,18 @@ def test_katz_odd(spark, odd, none):
 def test_katz_counts_beyond_32_bits():
     """Two blocks ask for one bigram that each has met 2**33 times: everything stays whole and exact."""
     big = np.array([2**33, 1])
-    ask = {"bucket": 0, "keys": katz.packed(np.array([7])), "runs": katz.packed(np.array([2])), "words": katz.packed(np.array([3, 9])), "own": katz.packed(big), "lower": katz.packed(np.array([2**35, 2]))}
+    one = {"bucket": 0, "keys": [7], "runs": [2], "words": [3, 9], "own": big, "held": [5, 0], "lower": [2**35, 2], "told": [1, *[0] * 11]}
+    ask = {k: v if k == "bucket" else katz.packed(np.array(v)) for k, v in one.items()} | {"facts": None}
     told = katz.answer_order([ask | {"block": 1}, ask | {"block": 2}])
     assert [katz.unpacked(t[2]).tolist() for t in told] == [[2**34, 2]] * 2
-    sums = katz.unpacked(told[0][3]).reshape(katz._SUMS, 1)[:, 0].tolist()
-    assert sums == [0, 1, 0, 0, 0, 2**34, 0, 1, 0, 0, 0, 2**35]
-    assert np.frombuffer(told[0][4], "<i8")[:2].tolist() == [2**34 + 2, 2]
+    assert [katz.unpacked(t[3]).tolist() for t in told] == [[10, 0]] * 2
+    # neither block knows the n-gram that the other one told of
+    assert [katz.unpacked(t[4]).tolist() for t in told] == [[1]] * 2
+    sums = katz.unpacked(told[0][5]).reshape(katz._SUMS, 1)[:, 0].tolist()
+    assert sums == [2, 1, 0, 0, 0, 2**34, 0, 1, 0, 0, 0, 2**35]
+    assert np.frombuffer(told[0][6], "<i8")[:2].tolist() == [2**34 + 2, 2]
+    # a block that has met all of a unit needs no sums
+    assert [katz.unpacked(t[4]).tolist() for t in katz.answer_order([ask | {"block": 1}])] == [[]]
 
 
 def test_packed_numbers():
