@@ -79,6 +79,12 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), 7, 2)
 
 
+def op11_parsed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.parsing import edit_probe
+
+    return edit_probe(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
