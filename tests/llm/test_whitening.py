@@ -1,0 +1,118 @@
+"""Whitening against plain numpy over all rows at once."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rillmark.llm import whitening
+from rillmark.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(rows, most=32):
+    """{(vec_id, component): (deviation, |whitened|, explained)} and n, for distinct ids."""
+    kept = [(i, v) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    d = max((len(v) for _, v in kept), default=0)
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] + [1_000_000] * (d - len(v)) for _, v in kept], object).reshape(-1, d)
+    n, s = len(x), x.sum(axis=0)
+    centred = np.array([[float(n * int(c) - int(t)) / n for c, t in zip(r, s)] for r in x]).reshape(-1, d)
+    cov = np.cov(centred.T, bias=True).reshape(d, d)
+    e, q = np.linalg.eigh(cov)
+    e, q = e[::-1], q[:, ::-1]
+    out = {}
+    for (i, _), r, c in zip(kept, x, centred):
+        deviation = sum((n * int(a) - int(b)) ** 2 for a, b in zip(r, s))
+        for k in range(min(most, d)):
+            if e[k] > 1e-9 * e[0]:
+                out[i, k + 1] = deviation, abs(float(c @ q[:, k])) / math.sqrt(e[k]), e[k] / e.sum()
+    return out, n
+
+
+def holds(df, rows):
+    want, n = plain(rows)
+    got = df.collect()
+    assert {(r.vec_id, r.component) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        deviation, w, share = want[r.vec_id, r.component]
+        assert (r.n, r.deviation) == (n, deviation)
+        assert abs(r.whitened) == pytest.approx(w, abs=1e-6)
+        assert r.explained == pytest.approx(share, rel=1e-6)
+        assert r.identity_error <= 1e-4
+    return got
+
+
+def test_query(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = holds(queries()["op12_embedding_whitening"](spark, SF), rows)
+    w = np.zeros((len(rows), 32))
+    place = {i: k for k, (i, _) in enumerate(rows)}
+    for r in got:
+        w[place[r.vec_id], r.component - 1] = r.whitened
+    error = np.abs(w.T @ w / len(w) - np.outer(w.mean(0), w.mean(0)) - np.eye(32)).max()
+    assert error == pytest.approx(got[0].identity_error, abs=1e-9) and error < 1e-9
+
+
+def table(spark, rows, parts=3):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    r = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(size=5)]) for i in range(40)]
+    rows += [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0]), (102, [nan] * 5), (103, [inf, 0.0, 0.0, 0.0, 0.0]), (104, []), (105, [0.5]), (106, [0.0] * 5), (107, [-0.0] * 5)]
+    rows += [(200 + i, [3.0, 1.0, 2.0, 0.0, 1.0]) for i in range(30)]  # copies
+    extra = table(spark, rows).withColumns({"v": F.lit(1), "n": F.lit("x"), "whitened": F.lit(2), "component": F.lit(3), "pos": F.lit(4)})
+    holds(whitening.whiten(extra), rows)
+    twice = whitening.whiten(table(spark, [*rows, (None, [1.0] * 5), (None, [1.0] * 5), rows[0], rows[0]])).collect()
+    assert sum(x.vec_id is None for x in twice) == 10 and sum(x.vec_id == 0 for x in twice) == 15
+
+
+def test_rank_and_empty(spark):
+    # the third dimension is the sum of two others, the fourth is constant
+    r = np.random.default_rng(2)
+    rows = [(i, [float(a), float(b), float(a + b), 7.0]) for i, (a, b) in enumerate(r.integers(-9, 9, (50, 2)))]
+    assert {x.component for x in holds(whitening.whiten(table(spark, rows)), rows)} == {1, 2}
+    for few in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0]), (2, [1.0])], [(1, [])]):
+        assert whitening.whiten(table(spark, few)).collect() == []
+    assert whitening.whiten(table(spark, rows).limit(0)).collect() == []
+
+
+def test_large_entries(spark):
+    rows = [(1, [1e30, 2.0]), (2, [-1e30, 1.0]), (3, [5.0, 0.0]), (4, [1.0, 9.0])]
+    got = whitening.whiten(table(spark, rows)).collect()
+    assert {x.vec_id for x in got} == {1, 2, 3, 4} and {x.deviation for x in got if x.vec_id == 1} == {None}
+    assert all(math.isfinite(x.whitened) for x in got)
+    assert whitening.deviations(np.array([[3, 4]]), 10**9, (10**9, 10**9)) == [None]
+    assert whitening.deviations(np.array([[1, 3]]), 10**9, (10**9, 10**9)) == [4 * 10**18]
+
+
+@pytest.mark.parametrize("cuts", [[0, 50], [0, 1, 2, 50], [0, 0, 17, 33, 33, 50]])
+def test_merging(cuts):
+    x = np.random.default_rng(3).integers(-1000, 1000, (50, 4)) + 10**6
+    parts = [whitening.Moments.of(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.merged(p)
+    whole = whitening.Moments.of(x)
+    assert (out.n, out.sums) == (whole.n, whole.sums)
+    assert np.allclose(out.scatter, (x - x.mean(0)).T @ (x - x.mean(0)), rtol=1e-12)
+    assert np.allclose(out.scatter, whole.scatter, rtol=1e-12)
+
+
+def test_far_from_zero():
+    """A large mean doesn't cost the scatter its digits, as sums of squares would."""
+    x = np.array([[10**9 + 1], [10**9 + 2], [10**9 + 3], [10**9 + 4]])
+    assert whitening.Moments.of(x[:1]).merged(whitening.Moments.of(x[1:])).scatter[0, 0] == pytest.approx(5.0, rel=1e-12)
+
+
+def test_general_interface(spark):
+    r = np.random.default_rng(4)
+    df = table(spark, [(i, [float(x) for x in r.normal(size=6) * [1, 2, 3, 4, 5, 6]]) for i in range(300)])
+    model = whitening.fit(df, components=3)
+    assert model.components.shape == (3, 6) and np.allclose(model.components @ model.components.T, np.eye(3))
+    assert (np.diff(model.values) <= 0).all() and model.identity_error < 1e-9
+    assert {len(x.whitened) for x in whitening.apply(df, model).collect()} == {3}
