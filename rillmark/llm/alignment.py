@@ -13,10 +13,11 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,26 +25,37 @@ from pyspark.sql import types as T
 from rillmark.llm.bpe import byte_alphabet, read_spec
 from rillmark.llm.common import pieces, release, small_batches, stored
 
-#: Bytes of text that are tokenised at once; words and their tokens that a worker remembers.
-PIECE, WORDS, TOKENS = 1 << 20, 200_000, 4_000_000
+#: Bytes of text that are tokenised at once; words, and tokens of theirs, that a worker remembers; words that are tokenised as one text.
+PIECE, WORDS, TOKENS, TOGETHER = 2 << 20, 400_000, 4_000_000, 512
 #: Id pairs whose counts are broadcast at most (some 40 bytes each).
 BROADCAST_PAIRS = 1 << 20
 
-_SPACES = re.compile(r"\s\s|^\s|\s$")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 _INDEX = (1 << 31) - 1
 
 
-def words(text: str) -> list[str]:
-    """The text cut at single spaces that have other characters than white space on both sides."""
-    return _BETWEEN_WORDS.split(text) if _SPACES.search(text) else text.split(" ")
-
-
 def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... size[0] of them, then those of begin[1], ..."""
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+class _Pool:
+    """Numbers that are appended to, in an array that doubles."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate((self.held[: self.n], np.zeros(max(len(self.held), len(values)), self.held.dtype)))
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Tokenizers:
     """Both tokenizers, and what they made of the words seen so far."""
 
@@ -61,76 +73,117 @@ class Tokenizers:
         vocabulary = self.a.get_vocab()
         if not set(byte) <= set(vocabulary):
             raise ValueError("the first tokenizer isn't a byte-level one")
-        self.bytes_a: list[bytes] = [b""] * (1 + max(vocabulary.values()))
+        bytes_a: list[bytes] = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
-            self.bytes_a[i] = b"".join(byte[c] for c in token) if set(token) <= set(byte) else token.encode()
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        probe = "ﬁ ½  Å x"
-        if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())) or b"".join(self.bytes_b[i] for i in self.b.encode(probe)) != b" " + probe.encode():
+            bytes_a[i] = b"".join(byte[c] for c in token) if set(token) <= set(byte) else token.encode()
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        probe = "ﬁ ½  Å x"
+        if any("▁" in p.lstrip("▁") for p in names) or b"".join(bytes_b[i] for i in self.b.encode(probe)) != b" " + probe.encode():
             raise ValueError("the second tokenizer normalises its input, or has pieces that go over spaces")
-        self.size_a, self.size_b = (np.array([len(t) for t in part], np.int32) for part in (self.bytes_a, self.bytes_b))
+        # each vocabulary: all bytes, and where each token's begin
+        self.vocabularies = [(np.frombuffer(b"".join(v), np.uint8), np.cumsum([0, *map(len, v)]).astype(np.int64)) for v in (bytes_a, bytes_b)]
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.counts, self.ids, self.width, self.fine = [np.zeros((0, 2), np.int32)], [[np.zeros(0, np.int32)] for _ in "ab"], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
-
-    def whole(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids by A, ids by B, and whether the bytes of both are those of the text with a space before it."""
-        spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        raw = [t.encode() for t in spaced]
-        fine = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(a, b, raw, strict=True)]
-        return a, b, fine
+        self.width, self.fine = _Pool(np.int32), _Pool(bool)
+        # of each tokenizer: tokens of a word, where they begin, ids, and ends within the word
+        self.made = [(_Pool(np.int32), _Pool(np.int64), _Pool(np.int32), _Pool(np.int32)) for _ in self.vocabularies]
+
+    def _add(self, new: list[str]) -> bool:
+        """Tokenises new words. Many go as one text, as words are independent; ends tell where the next one begins. False, and
+        nothing added, if the bytes of either tokenizer's tokens aren't those of the words."""
+        lone = [w for w in new if w != w.strip()]
+        if lone:
+            alone = set(lone)
+            new = [*lone, *(w for w in new if w not in alone)]
+        texts = [*lone, *(" ".join(new[a : a + TOGETHER]) for a in range(len(lone), len(new), TOGETHER))]
+        raw = np.frombuffer("".join(f" {t}" for t in texts).encode(), np.uint8)
+        width = np.array([1 + len(w.encode()) for w in new], np.int64)
+        until, found = np.cumsum(width), []
+        by_a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        for (every, begin), per_text in zip(self.vocabularies, (by_a, self.b.encode(texts, num_threads=1)), strict=True):
+            ids = np.fromiter(chain.from_iterable(per_text), np.int64)
+            size = begin[ids + 1] - begin[ids]
+            if not np.array_equal(every[_ragged(begin[ids], size)], raw):
+                return False
+            found.append((ids, np.cumsum(size)))
+        for (ids, ends), (counts, starts, held, within) in zip(found, self.made, strict=True):
+            last = np.searchsorted(ends, until) + 1
+            count = np.diff(last, prepend=0)
+            starts.add(held.n + last - count)
+            counts.add(count)
+            held.add(ids)
+            within.add(ends - np.repeat(until - width, count))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.width.add(width)
+        self.fine.add(np.ones(len(new), bool))
+        return True
 
     def _learn(self, new: list[str]) -> None:
-        a, b, fine = self.whole(new)
-        first = len(self.place)
-        self.place.update(zip(new, range(first, first + len(new)), strict=True))
-        self.counts.append(np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int32).reshape(-1, 2))
-        for held, made in zip(self.ids, (a, b), strict=True):
-            held.append(np.fromiter(chain.from_iterable(made), np.int32))
-        self.width.append(np.array([1 + len(w.encode()) for w in new], np.int32))
-        self.fine.append(np.array(fine, bool))
-
-    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        # U+2581 stands for a space in pieces: it is never given back
+        plain = [w for w in new if "▁" not in w]
+        if plain and not self._add(plain):
+            for w in plain:
+                self._add([w])
+        lost = [w for w in new if w not in self.place]
+        self.place.update(zip(lost, range(len(self.place), len(self.place) + len(lost)), strict=True))
+        self.width.add(np.zeros(len(lost)))
+        self.fine.add(np.zeros(len(lost), bool))
+        for counts, starts, _, _ in self.made:
+            counts.add(np.zeros(len(lost)))
+            starts.add(np.zeros(len(lost)))
+
+    def _places(self, some: list[str], skip: np.ndarray | None = None) -> np.ndarray:
+        """Where the words are, after learning those that are new; -1 for those to skip."""
+        at = np.fromiter(map(self.place.get, some, repeat(-1)), np.int64, len(some))
+        lacking = np.flatnonzero(at < 0 if skip is None else (at < 0) & ~skip)
+        if len(lacking):
+            self._learn(list(dict.fromkeys(some[i] for i in lacking.tolist())))
+            at[lacking] = [self.place[some[i]] for i in lacking.tolist()]
+        return at
+
+    def _of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts as places, and n + 1 offsets."""
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        some = coded.dictionary.to_pylist()
+        # a space beside other white space doesn't end a word
+        loose = pc.or_(pc.equal(coded.dictionary, ""), pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary)).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        which = coded.indices.to_numpy()
+        odd = np.flatnonzero(np.bincount(np.searchsorted(offsets, np.flatnonzero(loose[which]), "right") - 1, minlength=len(texts)))
+        at = self._places(some, loose)[which]
+        if not len(odd):
+            return at, offsets
+        again = [_BETWEEN_WORDS.split(t) if (t := texts[i].as_py()) else [] for i in odd.tolist()]
+        cut = np.split(at, offsets[1:-1])
+        redone = np.split(self._places(list(chain.from_iterable(again))), np.cumsum([len(w) for w in again])[:-1])
+        for i, places in zip(odd.tolist(), redone, strict=True):
+            cut[i] = places
+        return np.concatenate(cut), np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
+
+    def tokens(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For A and B: ids and ends of all texts, and n + 1 offsets. A null or empty text, and one whose bytes a tokenizer
         doesn't give back, has no tokens."""
-        cut = [words(t) if t else [] for t in texts]
-        per_text = np.array([len(c) for c in cut], np.int64)
-        flat = list(chain.from_iterable(cut))
-        if len(self.place) > WORDS or sum(len(x) for x in chain(*self.ids)) > TOKENS:
+        if len(self.place) > WORDS or max(held.n for _, _, held, _ in self.made) > TOKENS:
             self.forget()
-        new = {w for w in set(flat) if w not in self.place}
-        if new:
-            self._learn(sorted(new))
-        counts, width, fine = (np.concatenate(x) for x in (self.counts, self.width, self.fine))
-        self.counts, self.width, self.fine = [counts], [width], [fine]
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        text = np.repeat(np.arange(len(texts)), per_text)
-        bad = np.zeros(len(texts), bool)
-        bad[text[~fine[at]]] = True
-        at, text = at[~bad[text]], text[~bad[text]]
-        size = width[at].astype(np.int64)
-        begin = np.cumsum(size) - size
-        first = np.searchsorted(text, np.arange(len(texts)))
-        if len(at):
-            begin = begin - begin[np.minimum(first, len(at) - 1)][text]
+        at, offsets = self._of_texts(texts)
+        per_text = np.diff(offsets)
+        lost = ~self.fine.values[at]
+        if lost.any():
+            bad = np.zeros(len(per_text), bool)
+            bad[np.repeat(np.arange(len(per_text)), per_text)[lost]] = True
+            at, per_text = at[np.repeat(~bad, per_text)], np.where(bad, 0, per_text)
+        first = np.concatenate(([0], np.cumsum(per_text)))
+        begin = np.concatenate(([0], np.cumsum(self.width.values[at], dtype=np.int64)))
+        begin = (begin[:-1] - np.repeat(begin[first[:-1]], per_text)).astype(np.int32)
         out = []
-        for k, lengths in enumerate((self.size_a, self.size_b)):
-            ids = np.concatenate(self.ids[k])
-            self.ids[k] = [ids]
-            n = counts[:, k].astype(np.int64)
-            took = ids[_ragged((np.cumsum(n) - n)[at], n[at])]
-            # a token's end: those of the text's words before, and of the word's tokens up to it
-            span = lengths[took].astype(np.int64)
-            run = np.cumsum(span)
-            word = np.repeat(np.arange(len(at)), n[at])
-            before = np.concatenate(([0], np.cumsum(size)))[:-1]
-            ends = run - before[word] + begin[word]
-            offsets = np.concatenate(([0], np.cumsum(n[at])))[np.append(first, len(at))]
-            out.append((took, ends.astype(np.int32), offsets))
+        for counts, starts, held, within in self.made:
+            n = counts.values[at]
+            took = _ragged(starts.values[at], n)
+            out.append((held.values[took], within.values[took] + np.repeat(begin, n), np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[first]))
         return out
 
 
@@ -159,7 +212,7 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_i
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 columns = [part.column("doc_id")]
-                for ids, ends, offsets in both.tokens(part.column("text").to_pylist()):
+                for ids, ends, offsets in both.tokens(part.column("text")):
                     columns += [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in (ids, ends)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
             release()
@@ -172,29 +225,30 @@ def grouped(tokens: DataFrame) -> DataFrame:
     """Adds to tokenised() rows: cuts (byte ends that both have), links (for each cut the places, from 0, of A's and B's token that
     end there, as place_a << 32 | place_b), pairs (their ids, likewise), groups (`a1,a2|b1`, a string for each cut).
 
-    Linear but for one sort of both ends: in their order, as many of B's tokens come before an A token that ends at a cut as its
-    place there less its own place.
+    Linear but for one sort of both ends, A's with their places below, B's with a mark that is greater than any place. In that
+    order an A token that ends at a cut is less than 2**31 before the next number, all others are more; and as many of B's tokens
+    come before it as its place there less its own.
     """
-    end = lambda x: F.shiftright(x, 32)
-    with_cuts = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b"))
+    low = lambda x: x.bitwiseAND(F.lit(_INDEX).cast("long"))
     coded_a = F.transform("ends_a", lambda e, i: F.shiftleft(e.cast("long"), 32) + i)
-    coded_b = F.transform("ends_b", lambda e: F.shiftleft(e.cast("long"), 32) + (1 << 31))
-    ordered = with_cuts.withColumn("ordered", F.sort_array(F.concat(coded_a, coded_b)))
-    place = lambda x: x.bitwiseAND(F.lit(_INDEX).cast("long"))
-    at_cut = lambda x, j: F.when(F.coalesce(end(F.get("ordered", j + 1)) == end(x), F.lit(False)), F.shiftleft(place(x), 32) + (j - place(x)))
-    linked = ordered.withColumn("links", F.array_compact(F.transform("ordered", at_cut))).drop("ordered")
-    place_a, place_b = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit(_INDEX).cast("long")).cast("int"))
-
-    def joined(ids: str, now: Column, before: Column) -> Column:
-        return F.array_join(F.slice(ids, before + 2, now - before).cast("array<string>"), ",")
-
-    def group(x: Column, k: Column) -> Column:
-        last = F.when(k > 0, F.get("links", k - 1))
-        before = lambda f: F.coalesce(f(last), F.lit(-1))
-        return F.concat(joined("ids_a", place_a(x), before(place_a)), F.lit("|"), joined("ids_b", place_b(x), before(place_b)))
-
-    pair = lambda x: F.shiftleft(F.get("ids_a", place_a(x)).cast("long"), 32) + F.get("ids_b", place_b(x))
-    return linked.withColumns({"groups": F.transform("links", group), "pairs": F.transform("links", pair)})
+    coded_b = F.transform("ends_b", lambda e: F.shiftleft(e.cast("long"), 32) + _INDEX)
+    at_cut = lambda x, j: F.when(F.get("ordered", j + 1) - x < 1 << 31, F.shiftleft(low(x), 32) + (j - low(x)))
+    out = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b")).withColumn("ordered", F.sort_array(F.concat(coded_a, coded_b)))
+    out = out.withColumn("links", F.array_compact(F.transform("ordered", at_cut))).drop("ordered")
+    out = out.withColumns({"last_a": F.transform("links", lambda x: F.shiftright(x, 32).cast("int")), "last_b": F.transform("links", lambda x: low(x).cast("int"))})
+
+    # a group ends at its link's places and begins after those of the link before
+    out = out.withColumns({f"before_{side}": F.concat(F.array(F.lit(-1)), f"last_{side}") for side in "ab"})
+
+    def joined(ids: str, before: Column, last: Column) -> Column:
+        # most groups have a token or two of a side, for which no array need be made
+        shown = lambda at: F.get(ids, at).cast("string")
+        many = F.array_join(F.slice(ids, before + 2, last - before).cast("array<string>"), ",")
+        return F.when(last - before == 1, shown(last)).when(last - before == 2, F.concat(shown(last - 1), F.lit(","), shown(last))).otherwise(many)
+
+    groups = F.transform("last_a", lambda x, k: F.concat(joined("ids_a", F.get("before_a", k), x), F.lit("|"), joined("ids_b", F.get("before_b", k), F.get("last_b", k))))
+    pairs = F.zip_with("last_a", "last_b", lambda a, b: F.shiftleft(F.get("ids_a", a).cast("long"), 32) + F.get("ids_b", b))
+    return out.withColumns({"groups": groups, "pairs": pairs}).drop("last_a", "last_b", "before_a", "before_b")
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,8 +81,8 @@ def test_words_are_tokenised_apart(libraries):
     """Words of a text, each by itself, give the tokens of the whole text."""
     with open(B, "rb") as f:
         both = alignment.Tokenizers(read_spec(A), f.read())
-    for texts in (ODD, [None, "a b", None], [], [None]):
-        (ids_a, ends_a, at_a), (ids_b, ends_b, at_b) = both.tokens(texts)
+    for texts in (ODD, [None, "a b", None], [], [None], ["", "x▁ y"], ODD[::-1]):
+        (ids_a, ends_a, at_a), (ids_b, ends_b, at_b) = both.tokens(pa.array(texts, pa.string()))
         for k, t in enumerate(texts):
             want = tokens(libraries, t) or ([], [])
             for (ids, ends, at), side in (((ids_a, ends_a, at_a), want[0]), ((ids_b, ends_b, at_b), want[1])):
