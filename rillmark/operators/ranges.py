@@ -7,10 +7,11 @@ checked number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.model import State
+from rillmark.operators.joins import overlapping
 
 SKIP, OLD, NEW = "SKIP", "OLD", "NEW"
 #: Ledger rows up to which the ledger is broadcast.
@@ -122,19 +123,9 @@ def latest(history: DataFrame, order: str = "seq") -> DataFrame:
 
 def overlaps(ranges: DataFrame, written: DataFrame) -> DataFrame:
     """Ranges that share an offset with a written range of another extent: (partition_id, min_offset, max_offset,
-    written_min, written_max). Both have partition_id, min_offset, max_offset.
-
-    Written ranges of a partition don't overlap each other, so a range need only be held against its neighbours:
-    the two are put in one order and looked at with a window.
-    """
+    written_min, written_max), with the least of these. Both have partition_id, min_offset, max_offset."""
     cols = ["partition_id", "min_offset", "max_offset"]
-    both = ranges.select(*cols, F.lit(1).alias("is_new")).unionByName(written.select(*cols, F.lit(0).alias("is_new")))
-    by_min = Window.partitionBy("partition_id").orderBy("min_offset", "is_new")
-    before = by_min.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_min.rowsBetween(1, Window.unboundedFollowing)
-    old = F.when(F.col("is_new") == 0, F.struct("max_offset", "min_offset"))
-    seen = both.withColumns({"p": F.max(old).over(before), "q": F.first(F.when(F.col("is_new") == 0, F.struct("min_offset", "max_offset")), True).over(after)})
-    hit = lambda c: F.col(f"{c}.min_offset").isNotNull() & (F.col(f"{c}.min_offset") <= F.col("max_offset")) & (F.col(f"{c}.max_offset") >= F.col("min_offset")) & ~((F.col(f"{c}.min_offset") == F.col("min_offset")) & (F.col(f"{c}.max_offset") == F.col("max_offset")))
-    found = seen.where((F.col("is_new") == 1) & (hit("p") | hit("q")))
-    pick = lambda f: F.when(hit("p"), F.col(f"p.{f}")).otherwise(F.col(f"q.{f}"))
-    return found.select(*cols, pick("min_offset").alias("written_min"), pick("max_offset").alias("written_max"))
+    pairs = overlapping(ranges.select(*cols), written.select(*cols), ["partition_id"])
+    other = (F.col("left.min_offset") != F.col("right.min_offset")) | (F.col("left.max_offset") != F.col("right.max_offset"))
+    least = pairs.where(other).groupBy("partition_id", "left.min_offset", "left.max_offset").agg(F.min("right").alias("w"))
+    return least.select(*cols, F.col("w.min_offset").alias("written_min"), F.col("w.max_offset").alias("written_max"))

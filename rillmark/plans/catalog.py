@@ -30,7 +30,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+def query(sql: str | None = None):
     def put(f):
         _QUERIES[f.__name__] = f
         if sql is not None:
@@ -62,7 +62,7 @@ def _ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEDGER, RANGES)
 
 
-def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranges of the batches of BATCH_SIZE messages."""
     cut = canonical(spark, sf_dir).withColumn("batch", F.floor(F.col("offset") / BATCH_SIZE).cast("bigint"))
     return R.range_state(cut, "partition_id", "batch")
@@ -71,37 +71,37 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # raw rows and totals
 
 
-@_query('SELECT "date", transaction_id, user_id, product_id, amount, partition_id, "offset" FROM tx')
+@query('SELECT "date", transaction_id, user_id, product_id, amount, partition_id, "offset" FROM tx')
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(spark, sf_dir)
 
 
-@_query('SELECT transaction_id, user_id, product_id, amount, "date" FROM tx')
+@query('SELECT transaction_id, user_id, product_id, amount, "date" FROM tx')
 def full_row_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_transactions(events(spark, sf_dir))
 
 
-@_query("SELECT count(*) AS row_count FROM tx")
+@query("SELECT count(*) AS row_count FROM tx")
 def raw_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@_query("SELECT count(DISTINCT transaction_id) AS distinct_ids FROM tx")
+@query("SELECT count(DISTINCT transaction_id) AS distinct_ids FROM tx")
 def distinct_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).agg(F.count_distinct("transaction_id").alias("distinct_ids"))
 
 
-@_query("SELECT CAST(sum(amount) AS BIGINT) AS total FROM tx")
+@query("SELECT CAST(sum(amount) AS BIGINT) AS total FROM tx")
 def raw_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).agg(F.sum("amount").alias("total"))
 
 
-@_query("SELECT CAST(sum(amount) AS BIGINT) AS total FROM (SELECT sum(amount) AS amount FROM tx GROUP BY \"date\", user_id, product_id) r")
+@query("SELECT CAST(sum(amount) AS BIGINT) AS total FROM (SELECT sum(amount) AS amount FROM tx GROUP BY \"date\", user_id, product_id) r")
 def reports_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.merged(reports.partials(events(spark, sf_dir))).agg(F.sum("amount").alias("total"))
 
 
-@_query("SELECT count(*) AS row_count, CAST(sum(amount) AS BIGINT) AS total FROM tx")
+@query("SELECT count(*) AS row_count, CAST(sum(amount) AS BIGINT) AS total FROM tx")
 def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.totals(events(spark, sf_dir))
 
@@ -109,12 +109,12 @@ def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # reports
 
 
-@_query('SELECT "date", user_id, product_id, partition_id, CAST(sum(amount) AS BIGINT) AS amount, max("offset") AS "offset" FROM tx GROUP BY 1, 2, 3, 4')
+@query('SELECT "date", user_id, product_id, partition_id, CAST(sum(amount) AS BIGINT) AS amount, max("offset") AS "offset" FROM tx GROUP BY 1, 2, 3, 4')
 def reports_mv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.partials(canonical(spark, sf_dir))
 
 
-@_query('SELECT "date", user_id, product_id, CAST(sum(amount) AS BIGINT) AS amount, max("offset") AS "offset" FROM tx GROUP BY 1, 2, 3')
+@query('SELECT "date", user_id, product_id, CAST(sum(amount) AS BIGINT) AS amount, max("offset") AS "offset" FROM tx GROUP BY 1, 2, 3')
 def reports_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.merged(reports.partials(canonical(spark, sf_dir)))
 
@@ -128,17 +128,17 @@ def _rollup_sql(unit: str) -> str:
     return f'SELECT CAST(date_trunc(\'{unit}\', "date") AS DATE) AS period, CAST(sum(amount) AS BIGINT) AS amount, count(*) AS "rows" FROM (SELECT "date", sum(amount) AS amount FROM tx GROUP BY "date", user_id, product_id) r GROUP BY 1'
 
 
-@_query(_rollup_sql("day"))
+@query(_rollup_sql("day"))
 def reports_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rollup(_by_key(spark, sf_dir), "day")
 
 
-@_query(_rollup_sql("week"))
+@query(_rollup_sql("week"))
 def reports_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rollup(_by_key(spark, sf_dir), "week")
 
 
-@_query(_rollup_sql("month"))
+@query(_rollup_sql("month"))
 def reports_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rollup(_by_key(spark, sf_dir), "month")
 
@@ -146,43 +146,43 @@ def reports_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # wire and records
 
 
-@_query('SELECT "date", transaction_id, user_id, product_id, amount, partition_id, "offset" FROM tx')
+@query('SELECT "date", transaction_id, user_id, product_id, amount, partition_id, "offset" FROM tx')
 def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.decode(wire.encode(canonical(spark, sf_dir)))
 
 
-@_query("SELECT partition_id, batch, 'transactions-insert-' || CAST(partition_id AS VARCHAR) || '-' || CAST(min_offset AS VARCHAR) || '-' || CAST(max_offset AS VARCHAR) AS token, n FROM ranges")
+@query("SELECT partition_id, batch, 'transactions-insert-' || CAST(partition_id AS VARCHAR) || '-' || CAST(min_offset AS VARCHAR) || '-' || CAST(max_offset AS VARCHAR) AS token, n FROM ranges")
 def insert_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _batches(spark, sf_dir).select("partition_id", "batch", S.insert_token(F.col("partition_id"), F.col("min_offset"), F.col("max_offset")).alias("token"), "n")
+    return batches(spark, sf_dir).select("partition_id", "batch", S.insert_token(F.col("partition_id"), F.col("min_offset"), F.col("max_offset")).alias("token"), "n")
 
 
-@_query("SELECT partition_id, batch, lpad(hex(min_offset), 16, '0') || lpad(hex(max_offset), 16, '0') || '01' AS record, min_offset, max_offset, 1 AS state FROM ranges")
+@query("SELECT partition_id, batch, lpad(hex(min_offset), 16, '0') || lpad(hex(max_offset), 16, '0') || '01' AS record, min_offset, max_offset, 1 AS state FROM ranges")
 def state_codec_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = _batches(spark, sf_dir).select("partition_id", "batch", S.record(F.col("min_offset"), F.col("max_offset"), F.col("state")).alias("r"))
+    coded = batches(spark, sf_dir).select("partition_id", "batch", S.record(F.col("min_offset"), F.col("max_offset"), F.col("state")).alias("r"))
     back = S.unrecord(F.col("r"))
     return coded.select("partition_id", "batch", F.hex("r").alias("record"), back["min_offset"].alias("min_offset"), back["max_offset"].alias("max_offset"), back["state"].cast("int").alias("state"))
 
 
-@_query('SELECT partition_id, count(*) AS "rows", CAST(1 AS BIGINT) AS shards, true AS within FROM tx GROUP BY 1')
+@query('SELECT partition_id, count(*) AS "rows", CAST(1 AS BIGINT) AS shards, true AS within FROM tx GROUP BY 1')
 def shard_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds whatever the hash is: each partition lies whole in one of the shards."""
     rows = events(spark, sf_dir).select("partition_id", S.shard(F.col("partition_id")).alias("shard"))
     return rows.groupBy("partition_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shard").alias("shards"), F.min("shard").between(0, 1).alias("within"))
 
 
-@_query("""SELECT 'tx-' || CAST(event_id AS VARCHAR) AS transaction_id, CAST(ts AS DATE) = CAST(ts + INTERVAL 6 HOUR AS DATE) AS same FROM events""")
+@query("""SELECT 'tx-' || CAST(event_id AS VARCHAR) AS transaction_id, CAST(ts AS DATE) = CAST(ts + INTERVAL 6 HOUR AS DATE) AS same FROM events""")
 def same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a message's day is still the same six hours later."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
     return rows.select(F.concat(F.lit("tx-"), F.col("event_id").cast("string")).alias("transaction_id"), S.same_day(F.col("ts"), F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("same"))
 
 
-@_query("SELECT partition_id, batch, CASE WHEN partition_id = 0 THEN 'UNKNOWN' WHEN partition_id = 1 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS name FROM ranges")
+@query("SELECT partition_id, batch, CASE WHEN partition_id = 0 THEN 'UNKNOWN' WHEN partition_id = 1 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS name FROM ranges")
 def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _batches(spark, sf_dir).select("partition_id", "batch", state_name(F.col("partition_id").cast("tinyint")).alias("name"))
+    return batches(spark, sf_dir).select("partition_id", "batch", state_name(F.col("partition_id").cast("tinyint")).alias("name"))
 
 
-@_query("SELECT product_id, CAST(sum(amount) AS BIGINT) AS total, true AS named FROM tx GROUP BY 1")
+@query("SELECT product_id, CAST(sum(amount) AS BIGINT) AS total, true AS named FROM tx GROUP BY 1")
 def sql_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of statements: a comment, a view, and a query over it that tells whether the database has a name."""
     events(spark, sf_dir).createOrReplaceTempView("tx_of_file")
@@ -196,12 +196,12 @@ def sql_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 # offset ranges
 
 
-@_query("SELECT partition_id, batch, min_offset, max_offset, n, n_distinct, 1 AS state FROM ranges")
+@query("SELECT partition_id, batch, min_offset, max_offset, n, n_distinct, 1 AS state FROM ranges")
 def range_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _batches(spark, sf_dir).withColumn("state", F.col("state").cast("int"))
+    return batches(spark, sf_dir).withColumn("state", F.col("state").cast("int"))
 
 
-@_query(
+@query(
     """SELECT tx.partition_id, "offset", CASE WHEN stored_min IS NULL THEN 'NEW' WHEN "offset" < stored_min THEN 'SKIP'
        WHEN "offset" <= stored_max THEN 'OLD' ELSE 'NEW' END AS class FROM tx LEFT JOIN ledger ON tx.partition_id = ledger.partition_id"""
 )
@@ -209,26 +209,26 @@ def range_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.classify(canonical(spark, sf_dir), _ledger(spark)).select("partition_id", "offset", "class")
 
 
-@_query(
+@query(
     """SELECT ranges.partition_id, batch, CASE WHEN stored_min IS NULL OR min_offset < stored_min OR max_offset > stored_max
        THEN 'not contained in the stored range' WHEN n <> max_offset - min_offset + 1 OR n_distinct <> n THEN 'not contiguous' END AS error
        FROM ranges LEFT JOIN ledger ON ranges.partition_id = ledger.partition_id"""
 )
 def validate_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.validate_old(_batches(spark, sf_dir), _ledger(spark)).select("partition_id", "batch", "error")
+    return R.validate_old(batches(spark, sf_dir), _ledger(spark)).select("partition_id", "batch", "error")
 
 
-@_query(
+@query(
     """SELECT ranges.partition_id, batch, CASE WHEN stored_max IS NOT NULL AND min_offset <> stored_max + 1 THEN 'does not follow the stored range'
        WHEN n <> max_offset - min_offset + 1 OR n_distinct <> n THEN 'not contiguous'
        WHEN stored_state = 1 THEN 'the stored range is still in progress' END AS error
        FROM ranges LEFT JOIN ledger ON ranges.partition_id = ledger.partition_id"""
 )
 def validate_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.validate_new(_batches(spark, sf_dir), _ledger(spark)).select("partition_id", "batch", "error")
+    return R.validate_new(batches(spark, sf_dir), _ledger(spark)).select("partition_id", "batch", "error")
 
 
-@_query("""SELECT partition_id, "offset", CASE WHEN "offset" % 1000 < 600 THEN amount ELSE amount + 1 END AS amount FROM tx""")
+@query("""SELECT partition_id, "offset", CASE WHEN "offset" % 1000 < 600 THEN amount ELSE amount + 1 END AS amount FROM tx""")
 def merge_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream: of each batch the first 600 offsets are pending, and those from 400 on incoming."""
     rows = canonical(spark, sf_dir).select("partition_id", "offset", "amount")
@@ -237,7 +237,7 @@ def merge_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_pending(rows.where(place < 600), later)
 
 
-@_query("""SELECT partition_id, step, step = 2 AS covers FROM (SELECT partition_id, unnest([0, 1, 2]) AS step FROM tx GROUP BY 1) q""")
+@query("""SELECT partition_id, step, step = 2 AS covers FROM (SELECT partition_id, unnest([0, 1, 2]) AS step FROM tx GROUP BY 1) q""")
 def accumulate_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each partition's whole range is in progress and comes again in three parts, which overlap: whole only after the last."""
     rows = canonical(spark, sf_dir).select("partition_id", "offset", "amount")
@@ -250,15 +250,15 @@ def accumulate_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen
 
 
-@_query(
+@query(
     """SELECT ranges.partition_id, batch, coalesce(min_offset = stored_min AND max_offset = stored_max AND n = max_offset - min_offset + 1 AND n_distinct = n, false) AS covers
        FROM ranges LEFT JOIN ledger ON ranges.partition_id = ledger.partition_id"""
 )
 def covers_full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.covers_full_range(_batches(spark, sf_dir), _ledger(spark)).select("partition_id", "batch", "covers")
+    return R.covers_full_range(batches(spark, sf_dir), _ledger(spark)).select("partition_id", "batch", "covers")
 
 
-@_query(
+@query(
     """SELECT t.partition_id, CAST(CASE WHEN stored_state = 2 THEN stored_max + 1 WHEN stored_state = 1 THEN stored_min ELSE committed END AS BIGINT) AS start_offset
        FROM (SELECT partition_id, max("offset") AS committed FROM tx GROUP BY 1) t LEFT JOIN ledger ON t.partition_id = ledger.partition_id"""
 )
@@ -267,19 +267,19 @@ def start_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.start_offset(parts, _ledger(spark)).select("partition_id", F.col("start_offset").cast("bigint").alias("start_offset"))
 
 
-@_query("SELECT partition_id, min_offset, max_offset, 1 AS state FROM (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY batch DESC) AS r FROM ranges) q WHERE r = 1")
+@query("SELECT partition_id, min_offset, max_offset, 1 AS state FROM (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY batch DESC) AS r FROM ranges) q WHERE r = 1")
 def ledger_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.latest(_batches(spark, sf_dir), "batch").withColumn("state", F.col("state").cast("int"))
+    return R.latest(batches(spark, sf_dir), "batch").withColumn("state", F.col("state").cast("int"))
 
 
-@_query(
+@query(
     """SELECT a.partition_id, a.min_offset, a.max_offset, min(w.min_offset) AS written_min, min(w.max_offset) AS written_max
        FROM (SELECT partition_id, min_offset + 250 AS min_offset, max_offset + 250 AS max_offset FROM ranges) a
        JOIN ranges w ON a.partition_id = w.partition_id AND w.min_offset <= a.max_offset AND w.max_offset >= a.min_offset GROUP BY 1, 2, 3"""
 )
 def range_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranges of all batches, moved, against those of all batches as written."""
-    written = _batches(spark, sf_dir)
+    written = batches(spark, sf_dir)
     return R.overlaps(written.withColumns({"min_offset": F.col("min_offset") + 250, "max_offset": F.col("max_offset") + 250}), written)
 
 
@@ -301,7 +301,7 @@ both_sides AS (SELECT coalesce(p.transaction_id, h.transaction_id) AS transactio
 """
 
 
-@_query(
+@query(
     """, s AS (SELECT count(DISTINCT transaction_id) AS d, count(*) AS n, CAST(sum(amount) AS BIGINT) AS t FROM stored),
        p AS (SELECT count(*) AS n, CAST(sum(amount) AS BIGINT) AS t FROM produced),
        r AS (SELECT 'loss' AS "check", s.d AS actual, p.n AS expected FROM s, p UNION ALL SELECT 'double_write', s.n, p.n FROM s, p
@@ -313,7 +313,7 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.invariants(stored, reports.partials(stored), verify.totals(produced))
 
 
-@_query(
+@query(
     _COMPARED
     + """SELECT count(CASE WHEN produced AND copies = 0 THEN 1 END) AS missing, CAST(sum(CASE WHEN copies > 1 THEN copies - 1 ELSE 0 END) AS BIGINT) AS duplicates,
          count(CASE WHEN NOT produced THEN 1 END) AS unexpected, count(CASE WHEN differs THEN 1 END) AS corrupted,
@@ -324,32 +324,32 @@ def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.summary(verify.compare(*_sides(spark, sf_dir)))
 
 
-@_query("SELECT transaction_id FROM produced WHERE transaction_id NOT IN (SELECT transaction_id FROM stored)")
+@query("SELECT transaction_id FROM produced WHERE transaction_id NOT IN (SELECT transaction_id FROM stored)")
 def missing_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.missing(*_sides(spark, sf_dir))
 
 
-@_query("SELECT min(transaction_id) AS missing_min, max(transaction_id) AS missing_max FROM produced WHERE transaction_id NOT IN (SELECT transaction_id FROM stored)")
+@query("SELECT min(transaction_id) AS missing_min, max(transaction_id) AS missing_max FROM produced WHERE transaction_id NOT IN (SELECT transaction_id FROM stored)")
 def missing_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.missing(*_sides(spark, sf_dir)).agg(F.min("transaction_id").alias("missing_min"), F.max("transaction_id").alias("missing_max"))
 
 
-@_query("SELECT transaction_id FROM produced WHERE transaction_id NOT IN (SELECT transaction_id FROM stored) ORDER BY transaction_id LIMIT 10")
+@query("SELECT transaction_id FROM produced WHERE transaction_id NOT IN (SELECT transaction_id FROM stored) ORDER BY transaction_id LIMIT 10")
 def missing_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.examples(verify.missing(*_sides(spark, sf_dir)))
 
 
-@_query("SELECT DISTINCT transaction_id FROM stored WHERE transaction_id NOT IN (SELECT transaction_id FROM produced)")
+@query("SELECT DISTINCT transaction_id FROM stored WHERE transaction_id NOT IN (SELECT transaction_id FROM produced)")
 def unexpected_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.unexpected(*_sides(spark, sf_dir))
 
 
-@_query("SELECT transaction_id, count(*) AS copies FROM stored GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT transaction_id, count(*) AS copies FROM stored GROUP BY 1 HAVING count(*) > 1")
 def duplicate_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.duplicates(_sides(spark, sf_dir)[1])
 
 
-@_query(_COMPARED + "SELECT transaction_id, produced_amount, stored_amount FROM both_sides WHERE differs")
+@query(_COMPARED + "SELECT transaction_id, produced_amount, stored_amount FROM both_sides WHERE differs")
 def field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.field_diff(*_sides(spark, sf_dir))
 
@@ -363,7 +363,7 @@ def _by_partition(rows: DataFrame) -> DataFrame:
     return rows.groupBy("partition_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("total"), F.max("offset").alias("last_offset"))
 
 
-@_query(_BY_PARTITION)
+@query(_BY_PARTITION)
 def replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream is written twice under its ranges' tokens and read back."""
     sink = TokenSink(spark, new_path(spark, "sink"))
@@ -374,7 +374,7 @@ def replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_partition(sink.transactions())
 
 
-@_query('SELECT "date", user_id, product_id, CAST(sum(amount) AS BIGINT) AS amount, max("offset") AS "offset" FROM tx GROUP BY 1, 2, 3')
+@query('SELECT "date", user_id, product_id, CAST(sum(amount) AS BIGINT) AS amount, max("offset") AS "offset" FROM tx GROUP BY 1, 2, 3')
 def replay_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports after a write, a compaction and a replay of the write."""
     sink = TokenSink(spark, new_path(spark, "sink"))
@@ -386,7 +386,7 @@ def replay_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.reports().drop("write_time")
 
 
-@_query(_BY_PARTITION)
+@query(_BY_PARTITION)
 def ingest_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream as one batch of messages, and the same batch again after it is COMPLETED; then an empty one."""
     root = new_path(spark, "ingest")
@@ -402,7 +402,7 @@ class _Crash(RuntimeError):
     pass
 
 
-@_query(_BY_PARTITION)
+@query(_BY_PARTITION)
 def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream goes through a topic log; its first batch crashes after the write, and the restart replays it."""
     root = new_path(spark, "stream")
@@ -430,33 +430,40 @@ def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 # generators
 
 
-@_query("SELECT 1000000 AS total, true AS within")
+@query("SELECT 1000000 AS total, true AS within")
 def generator_exact_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = generate.distribution(spark, 1_000_000, 500)
     return made.agg(F.sum("amount").cast("int").alias("total"), (F.min("amount").between(0, 500) & F.max("amount").between(0, 500)).alias("within"))
 
 
-@_query("SELECT CAST(p AS BIGINT) AS pass, CAST(d AS DATE) AS \"date\", CAST(CASE WHEN p = 2 AND d = DATE '2025-03-02' THEN 7 ELSE 20000 END AS BIGINT) AS total, true AS within FROM (SELECT unnest([0, 0, 1, 1, 2, 2]) AS p, unnest([DATE '2025-03-01', DATE '2025-03-02', DATE '2025-03-01', DATE '2025-03-02', DATE '2025-03-01', DATE '2025-03-02']) AS d) q")
+@query("SELECT CAST(p AS BIGINT) AS pass, CAST(d AS DATE) AS \"date\", CAST(CASE WHEN p = 2 AND d = DATE '2025-03-02' THEN 7 ELSE 20000 END AS BIGINT) AS total, true AS within FROM (SELECT unnest([0, 0, 1, 1, 2, 2]) AS p, unnest([DATE '2025-03-01', DATE '2025-03-02', DATE '2025-03-01', DATE '2025-03-02', DATE '2025-03-01', DATE '2025-03-02']) AS d) q")
 def generator_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passes over two days until the total is reached."""
     made = generate.history(spark, date(2025, 3, 1), date(2025, 3, 3), 100_007, 20_000, 500)
     return made.groupBy("pass", "date").agg(F.sum("amount").alias("total"), (F.min("amount").between(0, 500) & F.max("amount").between(0, 500)).alias("within"))
 
 
-@_query("SELECT 1000 AS rows_made, 1000 AS ids, true AS within")
+@query("SELECT 1000 AS rows_made, 1000 AS ids, true AS within")
 def generator_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = generate.dataset(spark, 1000)
     return made.agg(F.count(F.lit(1)).cast("int").alias("rows_made"), F.count_distinct("transaction_id").cast("int").alias("ids"), (F.min("amount").between(1, 500) & F.max("amount").between(1, 500)).alias("within"))
 
 
-@_query("SELECT CAST(d AS DATE) AS \"date\" FROM (SELECT unnest(generate_series(DATE '2025-03-01', DATE '2025-03-31', INTERVAL 1 DAY)) AS d) q")
+@query("SELECT CAST(d AS DATE) AS \"date\" FROM (SELECT unnest(generate_series(DATE '2025-03-01', DATE '2025-03-31', INTERVAL 1 DAY)) AS d) q")
 def generator_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.days(spark, date(2025, 3, 1), date(2025, 4, 1))
 
 
+def _loaded() -> None:
+    """The modules that register more queries on top of this one."""
+    from rillmark.plans import ordered, streams  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_SQL)

@@ -38,32 +38,48 @@ def _nothing(step: str) -> None:
     """Called at each step of a batch; tests put faults here."""
 
 
-class LiveReport:
-    """The merged report of a stream of transactions, kept up to date batch by batch.
-
-    State holds a row for each key of the report, whatever the number of transactions. A batch in update mode gives the keys it
-    has changed with their new sums, and only those are written. A crash before a batch is committed leaves the old state: Spark
-    runs the same batch again from it, and the table takes each batch once.
+class StreamTable:
+    """The table that a stateful stream gives: <root>/table holds its rows by key, <root>/checkpoint its progress and state. They
+    belong together.
 
-    <root>/table holds the report, <root>/checkpoint the stream's progress and state: they belong together.
+    A crash before a batch is committed leaves the old state: Spark runs the same batch again from it, and the table takes each
+    batch once.
     """
 
-    def __init__(self, spark: SparkSession, root: str, at: Callable[[str], None] = _nothing) -> None:
+    def __init__(self, spark: SparkSession, root: str, key: list[str], at: Callable[[str], None] = _nothing) -> None:
         self.spark, self.checkpoint, self.at = spark, f"{root.rstrip('/')}/checkpoint", at
-        self.table = KeyedTable(spark, f"{root.rstrip('/')}/table", REPORT_KEY)
+        self.table = KeyedTable(spark, f"{root.rstrip('/')}/table", key)
 
-    def start(self, transactions: DataFrame, available_now: bool = False) -> StreamingQuery:
-        """Starts the stream of transactions, or goes on where it was; available_now ends when what there is has been read."""
-        changed = reports.merged(transactions)
-        writer = changed.writeStream.outputMode("update").foreachBatch(self._upsert).option("checkpointLocation", self.checkpoint)
+    def run(self, result: DataFrame, mode: str, available_now: bool = False) -> StreamingQuery:
+        """Starts the stream, or goes on where it was. mode: `update` for keys that change, `append` for keys that are final when
+        they come. available_now ends when what there is has been read."""
+        writer = result.writeStream.outputMode(mode).foreachBatch(self._take).option("checkpointLocation", self.checkpoint)
         with rocksdb(self.spark):
             return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="0 seconds")).start()
 
-    def _upsert(self, changed: DataFrame, batch: int) -> None:
+    def _take(self, rows: DataFrame, batch: int) -> None:
         self.at("before write")
-        self.table.put(changed, batch)
+        self.table.put(rows, batch)
         self.at("after write")
 
-    def report(self) -> DataFrame | None:
-        """The report by date, user_id and product_id; None before the first batch."""
+    def rows(self) -> DataFrame | None:
+        """What has come so far, a row a key; None before the first batch."""
         return self.table.rows()
+
+
+class LiveReport(StreamTable):
+    """The merged report of a stream of transactions, kept up to date batch by batch.
+
+    State holds a row for each key of the report, whatever the number of transactions. A batch in update mode gives the keys it
+    has changed with their new sums, and only those are written.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, at: Callable[[str], None] = _nothing) -> None:
+        super().__init__(spark, root, REPORT_KEY, at)
+
+    def start(self, transactions: DataFrame, available_now: bool = False) -> StreamingQuery:
+        return self.run(reports.merged(transactions), "update", available_now)
+
+    def report(self) -> DataFrame | None:
+        """The report by date, user_id and product_id."""
+        return self.rows()
