@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-# links are those of link elements with rel=canonical and of refresh meta elements, resolved as urlfilter.resolved does
+# rules, and classes of one url: no links are read here, as the tables' html has none
 _OP3 = r"""
 WITH p AS (
   SELECT page_id, url, html,

@@ -142,11 +142,22 @@ def resolved(links: DataFrame) -> DataFrame:
     )
 
 
+#: What isn't markup: comments, and the content of elements that hold text alone. Tags that matter are matched first and stay, so
+#: that an attribute's value doesn't begin a comment. What isn't closed goes to the end of the page.
+_TEXT = r"""(?is)(<(?:link|meta|base)\s[^>]*>)|<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</\2(?=[\s/>])|\z)"""
+
+
+def markup(html: Column) -> Column:
+    """The page without comments and without what scripts, styles and text fields hold."""
+    return F.regexp_replace(html, _TEXT, "$1")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes: each page's canonical link and meta refresh. Pages without either give none. Targets are
-    relative to the page's first base element with href, where there is one."""
+    relative to the page's first base element with href, where there is one. Comments, scripts, styles and text fields hold no
+    links."""
     html = F.col("html")
-    marked = pages.where((F.locate("://", "url") > 0) & html.rlike("(?i)canonical|http-equiv"))
+    marked = pages.where((F.locate("://", "url") > 0) & html.rlike("(?i)canonical|http-equiv")).withColumn("html", markup(html))
     base = F.trim(_attribute(F.regexp_extract(html, r"(?is)(<base\s(?:[^>]*\s)?href\s*=[^>]*>)", 1), "href"))
     tags = marked.select("url", base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))).alias("tag"))
     tag = F.col("tag")

@@ -299,6 +299,32 @@ def test_aliases_share_decisions(spark):
     assert {r.verdict for r in urlfilter.judge(df, urlfilter.RULES, extra).where("page_id = 9").collect()} == {"block"}
 
 
+def test_links_in_text_are_no_links(spark):
+    link = '<link rel="canonical" href="http://x.net/es/1">'
+    real = '<link rel="canonical" href="http://x.net/fr/1">'
+    pages = [
+        f"<!-- {link} -->",
+        f"<script>var s='{link}'</script>",
+        f"<SCRIPT type='x'>\n{link}\n</Script >",
+        f"<style>{link}</style><textarea rows=2>{link}</textarea><title>{link}</title>",
+        f"<!-- open {link}",
+        f"<script>open {link}",
+        f"<script>'<!--'</script> <!-- {link} <script> -->",
+        f"<!-->{real}",
+        f"<!-- {link} -->{real}<!-- {link} -->",
+        f'<meta name="a" content="<!--">{real}',
+        f"<scripted>{real}</scripted>",
+        f"<script>'a'</script>{real}<script>'b'</script>",
+        f"<!-- <base href='http://y.org/'> --><link rel=canonical href='//x.net/fr/2'>",
+    ]
+    df = spark.createDataFrame([(i, f"http://q{i}.org/a", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(df, urlfilter.RULES).collect()}
+    assert got == {i: "allow" if i < 7 else "block" for i in range(len(pages))}
+    assert len(urlfilter.link_edges(df).collect()) == len(pages) - 7
+    long = "<!--" + "-" * 300_000 + f"{link}" + "<script " * 50_000
+    assert urlfilter.link_edges(spark.createDataFrame([(1, "http://q.org/", long)], "page_id long, url string, html string")).collect() == []
+
+
 def test_relative_targets(spark):
     deep, bare = "http://b.org/x/y/z?q=1#f", "HTTP://B.org"
     want = {
