@@ -47,7 +47,7 @@ _ODD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: count of the lower order, of those next words that have been seen.
 _SUMS = 2 * (UNDISCOUNTED + 1)
 
-_BLOCK = "block long, n_tokens long, ids binary, held_out binary, sizes binary, vocabulary binary, tokens binary"
+_BLOCK = "block long, n_tokens long, ids binary, part binary, sizes binary, vocabulary binary, tokens binary"
 _ZSTD: dict[str, object] = {}
 
 
@@ -80,8 +80,13 @@ def _filled(data: bytes, n: int) -> np.ndarray:
     return got if len(got) else np.zeros(n, np.int64)
 
 
-def is_held_out(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(str(i).encode()) % modulus == remainder for i in ids.tolist()), bool, len(ids))
+#: What a document is for: learnt from, held out, or scored alone, as its id is null.
+LEARN, HELD_OUT, NO_ID = range(3)
+
+
+def part_of(ids: pa.Array, modulus: int, remainder: int) -> np.ndarray:
+    """LEARN, HELD_OUT or NO_ID for each id."""
+    return np.fromiter((NO_ID if i is None else HELD_OUT if zlib.crc32(str(i).encode()) % modulus == remainder else LEARN for i in ids.to_pylist()), np.uint8, len(ids))
 
 
 def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -91,7 +96,7 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
@@ -104,18 +109,18 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             vocabulary, tokens = vocabulary[order], place[tokens]
-            row = (part << 32 | number, len(tokens), ids.astype("<i8").tobytes(), is_held_out(ids, modulus, remainder).tobytes(), count.astype("<i8").tobytes(), vocabulary.tobytes(), packed(tokens))
+            row = (part << 32 | number, len(tokens), ids.astype("<i8").tobytes(), np.concatenate([h[3] for h in held]).tobytes(), count.astype("<i8").tobytes(), vocabulary.tobytes(), packed(tokens))
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["block", "n_tokens", "ids", "held_out", "sizes", "vocabulary", "tokens"]
+                [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["block", "n_tokens", "ids", "part", "sizes", "vocabulary", "tokens"]
             )
 
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
                 data, offsets = flat(batch.column("text"))
                 hashes, starts = words(data, offsets)
-                ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                held.append((ids, np.diff(starts) + 1, np.insert(hashes, starts[1:], END)))
+                ids = batch.column("id")
+                held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), np.diff(starts) + 1, np.insert(hashes, starts[1:], END), part_of(ids, modulus, remainder)))
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield out()
@@ -124,7 +129,7 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, id_column: str =
             yield out()
         release()
 
-    made = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, _BLOCK)
+    made = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, _BLOCK)
     return stored_by(made, "tokens", "block")
 
 
@@ -133,12 +138,12 @@ class _Block:
 
     def __init__(self, row: dict) -> None:
         self.ids = np.frombuffer(row["ids"], "<i8")
-        self.held_out = np.frombuffer(row["held_out"], bool)
+        self.part = np.frombuffer(row["part"], np.uint8)
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
         self.tokens = _filled(row["tokens"], row["n_tokens"])
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.trains = np.repeat(~self.held_out, self.sizes)
+        self.trains = np.repeat(self.part == LEARN, self.sizes)
 
 
 class _Order:
@@ -506,7 +511,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). Tokens are
     words with A-Z lower-cased and an end for each text; histories reach back to the start of a text. A null or empty
-    text has the end alone. Rows with null doc_id have no training half and are left out.
+    text has the end alone. Rows with null doc_id are scored, not held out, and not learnt from.
     With no training token at all every token has the unseen word's probability 1. Repeated rows count
     each. Texts of any length are scored whole; other columns are ignored; an empty table gives an empty result.
     Words and histories are told apart by 64-bit hashes.
@@ -536,8 +541,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
             b, log = known.b, np.log10(probabilities(known, unigrams, d))
             base = np.log10((known.count + 1) / (unigrams.n + unigrams.types + 1))
             sums = lambda x: np.add.reduceat(x, b.first)  # noqa: B023, E731  every text has a token
-            values = {"doc_id": b.ids, "held_out": b.held_out, "n_tokens": b.sizes, "n_known": sums((known.count > 0)[b.tokens].astype(np.int64)), "train_tokens": np.full(len(b.ids), unigrams.n)}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (values | {"base_score": sums(base[b.tokens]), "score": sums(log)}).items()})
+            values = {"doc_id": pa.array(b.ids, pa.int64(), mask=b.part == NO_ID), "held_out": b.part == HELD_OUT, "n_tokens": b.sizes, "n_known": sums((known.count > 0)[b.tokens].astype(np.int64)), "train_tokens": np.full(len(b.ids), unigrams.n)}
+            yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in (values | {"base_score": sums(base[b.tokens]), "score": sums(log)}).items()})
             del known, b, log
 
     return known.mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
