@@ -20,27 +20,47 @@ LEAST_LANGUAGE_SCORE = 0.3
 ORACLE_SQL = None
 
 
+#: What stages look at. Other columns are carried.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with all columns that no stage reads under names of their own, which nothing that a stage adds can have."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"carried column {i}") for i, c in enumerate(docs.columns)])
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of _plain(docs) in rows, under docs' names."""
+    return rows.select(*[F.col(f"`{p}`").alias(c) for p, c in zip(_plain(docs).columns, docs.columns, strict=True)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language; a text that is null, has no letter or fits no language goes."""
-    model = langid.fit(*langid.training_sample(docs, 3, 1))
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    plain = _plain(docs)
+    model = langid.fit(*langid.training_sample(plain, 3, 1))
+    found = langid.predict(plain, model)
+    return _named(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("kept").select(*docs.columns)
+    plain = _plain(docs)
+    model = quality.fit(plain, table(spark, sf_dir, "labels"))
+    return _named(quality.score(plain, model).where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the least doc_id. Of rows of one doc_id the least one stays, by all
-    columns in order; rows without doc_id all stay."""
-    keep = stored(neardup.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    once = docs.join(keep.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
-    rows = docs.join(keep.where("n > 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_r"))
-    least = rows.groupBy("_id").agg(F.min("_r").alias("_r")).select("_r.*")
-    return once.unionByName(least).unionByName(docs.where("doc_id is null"))
+    columns in order, those of kinds without an order (maps) by their JSON; rows without doc_id all stay."""
+    plain = _plain(docs)
+    found = neardup.near_duplicates(plain).where("kept and doc_id is not null")
+    keep = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    once = plain.join(keep.where("n = 1"), "doc_id", "left_semi").select(*plain.columns)
+    rows = plain.join(keep.where("n > 1"), "doc_id", "left_semi")
+    columns = [f"`{c}`" for c in plain.columns]
+    order = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, (_, kind) in zip(columns, plain.dtypes, strict=True)]
+    least = rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_r")).select("_r.*")
+    return _named(once.unionByName(least).unionByName(plain.where("doc_id is null")), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +81,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Nulls, empty and very long texts, and ties are what each stage says. Rows without doc_id aren't learnt from nor linked, and
     stay if language and quality do; of several rows of a document one stays. An empty table gives an empty result. Columns
-    beyond those of documents are carried to the last stage, which has its own.
+    beyond those of documents, whatever their names and kinds, are carried as they are to the last stage, which has its own.
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
