@@ -167,3 +167,23 @@ def test_pipeline_bears_odd_rows(spark, odd, none):
         now.collect()
     assert corpus_pipeline.language_id(spark, odd, SF).where("text is null or length(trim(text)) = 0").count() == 0
     assert F is not None
+
+
+def test_pipeline_carries_all_columns(spark, docs):
+    """Columns that are named as what stages add, and of kinds without an order, come out as they went in."""
+    names = ["score", "lang_pred", "kept", "quality_score", "text_score", "meta_score", "_source", "_lang", "_doc_id", "_n_chars", "_text", "n", "_r", "_id", "component_id", "a.b", "carried column 7"]
+    rows = docs.limit(60).unionByName(docs.limit(5))
+    wide = rows.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in names}).withColumn("facts", F.create_map(F.lit("id"), "doc_id"))
+    now = wide.persist()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.dtypes == wide.dtypes
+        now = now.persist()
+    got = now.collect()
+    assert got
+    for r in got:
+        assert r["facts"] == {"id": r["doc_id"]} and all(r[c] == f"{c} {r['doc_id']}" for c in names)
+    plain = rows
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, plain, SF)
+    assert sorted(r.doc_id for r in plain.collect()) == sorted(r["doc_id"] for r in got)
