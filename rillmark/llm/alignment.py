@@ -230,11 +230,12 @@ def grouped(tokens: DataFrame) -> DataFrame:
     come before it as its place there less its own.
     """
     low = lambda x: x.bitwiseAND(F.lit(_INDEX).cast("long"))
+    none = F.lit(-1).cast("long")
     coded_a = F.transform("ends_a", lambda e, i: F.shiftleft(e.cast("long"), 32) + i)
     coded_b = F.transform("ends_b", lambda e: F.shiftleft(e.cast("long"), 32) + _INDEX)
-    at_cut = lambda x, j: F.when(F.get("ordered", j + 1) - x < 1 << 31, F.shiftleft(low(x), 32) + (j - low(x)))
+    at_cut = lambda x, j: F.when(F.get("ordered", j + 1) - x < 1 << 31, F.shiftleft(low(x), 32) + (j - low(x))).otherwise(none)
     out = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b")).withColumn("ordered", F.sort_array(F.concat(coded_a, coded_b)))
-    out = out.withColumn("links", F.array_compact(F.transform("ordered", at_cut))).drop("ordered")
+    out = out.withColumn("links", F.array_remove(F.transform("ordered", at_cut), none)).drop("ordered")
     out = out.withColumns({"last_a": F.transform("links", lambda x: F.shiftright(x, 32).cast("int")), "last_b": F.transform("links", lambda x: low(x).cast("int"))})
 
     # a group ends at its link's places and begins after those of the link before
