@@ -26,7 +26,7 @@ from rillmark.llm.bpe import byte_alphabet, read_spec
 from rillmark.llm.common import pieces, release, small_batches, stored
 
 #: Bytes of text that are tokenised at once; words, and tokens of theirs, that a worker remembers; words that are tokenised as one text.
-PIECE, WORDS, TOKENS, TOGETHER = 2 << 20, 400_000, 4_000_000, 512
+PIECE, WORDS, TOKENS, TOGETHER = 1 << 20, 400_000, 4_000_000, 512
 #: Id pairs whose counts are broadcast at most (some 40 bytes each).
 BROADCAST_PAIRS = 1 << 20
 
