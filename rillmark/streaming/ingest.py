@@ -53,8 +53,8 @@ class Ingest:
     says what was begun, and the token makes writing it again change nothing.
 
     With a lease, a batch takes those of its partitions first and gives up if it can't get one within `wait` seconds, or
-    takes longer than `budget` altogether. The first batch of a partition claims it in the ledger; should another owner claim
-    it later, this one's next record is refused (Fenced), whatever its lease says.
+    takes longer than `budget` altogether; then it frees those that it holds. The first batch of a partition claims it in the
+    ledger; should another owner claim it later, this one's next record is refused (Fenced), whatever its lease says.
     """
 
     def __init__(
@@ -102,6 +102,10 @@ class Ingest:
             if news:
                 fresh = sorted_out.where(F.col("class") == R.NEW).select("partition_id", "offset", "value")
                 self._write(decode(fresh), {p: RangeState(r.min_offset, r.max_offset) for p, r in news.items()})
+        except LeaseLost:
+            # others needn't wait until these leases end by themselves; what is written late is refused by its epoch
+            each(self.lease.release, partitions)
+            raise
         finally:
             messages.unpersist()
 
