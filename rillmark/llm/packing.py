@@ -1,8 +1,8 @@
 """Best-fit packing of token ids into sequences of several permitted lengths.
 
 Documents are encoded, an end id follows each, and what is longer than the largest length is cut into pieces.
-Pieces are dealt evenly over groups by a hash of their document, place and contents, whatever their source and
-however the input is split, and each group is packed by itself, longest piece first: a piece goes into the open
+Pieces are dealt evenly over groups by a hash of their document, place, contents and number among equal rows, whatever their
+source and however the input is split, and each group is packed by itself, longest piece first: a piece goes into the open
 bin that it leaves least room in. If none has room, the bin size that costs least is opened: its fixed
 overhead and what the rest of the group can't fill, by token that is held. At the end each bin shrinks to the
 least permitted length that holds its contents, and is written as a sequence.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.bpe import LibraryEncoder, encoder, read_spec
-from rillmark.llm.common import pieces, release, small_batches, work_path
+from rillmark.llm.common import pieces, release, small_batches, stored, work_path
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Tokens that a bin costs besides its length.
@@ -114,7 +114,10 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.
 
 
 def _bin_ids(group: int, chunk: int, bins: np.ndarray) -> np.ndarray:
-    return (group << 28) + (chunk << 20) + bins
+    """Ids of a chunk's bins: 28 bits of group, 17 of chunk, 18 of bin."""
+    if group >= 1 << 28 or chunk >= 1 << 17 or (len(bins) and int(bins.max()) >= 1 << 18):
+        raise ValueError("more groups, chunks or bins than a bin_id can tell apart: pack in larger groups")
+    return (group << 35) + (chunk << 18) + bins
 
 
 def best_fit(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS, id_column: str = "doc_id") -> DataFrame:
@@ -129,8 +132,10 @@ def best_fit(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPA
     most = max(capacities)
     n = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0).cast("long"))
     items = docs.select(F.col(id_column).cast("long").alias("doc_id"), n.alias("n"))
-    cut = items.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest((F.col("n") - 1).cast("long"), F.lit(0).cast("long")), F.lit(most).cast("long"))).alias("start"))
-    cut = cut.select("doc_id", (F.col("start") / most).cast("int").alias("piece"), "start", F.least(F.lit(most).cast("long"), F.col("n") - F.col("start")).alias("length"))
+    # equal rows are numbered, so that they are dealt to all groups
+    each = _each_copy(items.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("copies")))
+    cut = each.select("doc_id", "n", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest((F.col("n") - 1).cast("long"), F.lit(0).cast("long")), F.lit(most).cast("long"))).alias("start"))
+    cut = cut.select("doc_id", "copy", (F.col("start") / most).cast("int").alias("piece"), "start", F.least(F.lit(most).cast("long"), F.col("n") - F.col("start")).alias("length"))
     total = items.agg(F.coalesce(F.sum(F.greatest("n", F.lit(1))), F.lit(0))).head()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +149,7 @@ def best_fit(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPA
                 names=["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity"],
             )
 
-    spread = _groups(cut, total, group_tokens, ["doc_id", "start", "length"])
+    spread = _groups(cut, total, group_tokens, ["doc_id", "start", "length", "copy"])
     return spread.mapInArrow(run, "doc_id long, piece int, start long, length long, bin_id long, bin_offset long, capacity long")
 
 
@@ -154,20 +159,37 @@ def _spread(values: np.ndarray, where: np.ndarray) -> np.ndarray:
     return out
 
 
+def _each_copy(rows: DataFrame) -> DataFrame:
+    """A row for each of copies equal rows, numbered by copy."""
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+
+
+def _counted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, text and copies: equal rows are one. Only hashes are shuffled, and of texts those that repeat."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    rows = rows.withColumn("_k", F.xxhash64("id", "text", F.col("id").isNull(), F.col("text").isNull()))
+    again = stored(rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k"), "repeated")
+    one = F.lit(1).cast("long").alias("copies")
+    if again.isEmpty():
+        return rows.select("id", "text", one)
+    more = rows.join(again, "_k", "left_semi").groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.join(again, "_k", "left_anti").select("id", "text", one).union(more)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, most: int, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, start, length and ids of each document's pieces of at most most ids. ids are little-endian, of 16 bits if
-    the vocabulary has no more, else of 32."""
+    """doc_id, start, length and ids of each document's pieces of at most most ids, and copy, a number from 1 among equal rows of
+    docs. ids are little-endian, of 16 bits if the vocabulary has no more, else of 32."""
     small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
-    kinds = "doc_id long, start long, length long, ids binary"
+    kinds = "doc_id long, start long, length long, ids binary, copies long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value, LibraryEncoder)
         kind = id_kind(bpe.library.get_vocab_size(with_added_tokens=True), end_id)
         for whole in batches:
             for batch in pieces(whole, "text"):
-                doc, start, length, data = [], [], [], []
-                for i, x in zip(batch.column("id").to_pylist(), bpe.encode_batch(batch.column("text").to_pylist()), strict=True):
+                doc, start, length, data, copies = [], [], [], [], []
+                for i, n, x in zip(batch.column("id").to_pylist(), batch.column("copies").to_pylist(), bpe.encode_batch(batch.column("text").to_pylist()), strict=True):
                     ids = np.append(np.frombuffer(x, "<u4"), end_id).astype(kind)
                     for a in range(0, len(ids), most):
                         part = ids[a : a + most]
@@ -175,12 +197,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, most: int, end_id: int =
                         start.append(a)
                         length.append(len(part))
                         data.append(part.tobytes())
+                        copies.append(n)
                 for a in range(0, len(doc), 1024):
                     b = a + 1024
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[a:b], pa.int64()), pa.array(start[a:b], pa.int64()), pa.array(length[a:b], pa.int64()), pa.array(data[a:b], pa.binary())], names=["doc_id", "start", "length", "ids"])
+                    columns = [pa.array(c[a:b], pa.int64()) for c in (doc, start, length)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(data[a:b], pa.binary()), pa.array(copies[a:b], pa.int64())], names=["doc_id", "start", "length", "ids", "copies"])
         release()
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, kinds)
+    return _each_copy(_counted(docs, id_column, text_column).mapInArrow(run, kinds))
 
 
 def id_kind(vocabulary: int, end_id: int) -> str:
@@ -198,7 +222,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacities: tuple[int,
     """
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_column), F.lit(0)) + 1), F.lit(0))).head()[0]
-    dealt = _groups(token_pieces(docs, tokenizer_path, max(capacities), end_id, id_column, text_column), total, group_bytes, ["doc_id", "start", "ids"])
+    dealt = _groups(token_pieces(docs, tokenizer_path, max(capacities), end_id, id_column, text_column), total, group_bytes, ["doc_id", "start", "ids", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, chunk, t in _by_group(batches):

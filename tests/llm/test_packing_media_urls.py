@@ -68,6 +68,33 @@ def fill(rows):
     return sum(r.length for r in rows) / sum(v[0][2] for v in bins.values())
 
 
+def test_repeated_rows_are_dealt_to_all_groups(spark, docs):
+    """A third and more of rows may be equal: no group holds them all, none is lost, and splits make no difference."""
+    row = docs.where("length(text) > 200").select("doc_id", "text").limit(1)
+    many = row.crossJoin(spark.range(2000)).drop("id").union(docs.select("doc_id", "text").limit(50))
+    made = [packing.pack_sequences(df, tokenizer_path(), (512, 1024), group_bytes=40_000) for df in (many, many.repartition(5, F.rand(3)))]
+    one, other = (sorted(map(str, packing.spans(m).collect())) for m in made)
+    assert one == other
+    key = row.head()[0]
+    assert packing.spans(made[0]).where(F.col("doc_id") == key).where("start = 0").count() >= 2000
+    held = [r[1] for r in made[0].groupBy(F.shiftright("bin_id", 35).alias("g")).agg(F.sum("n_tokens")).collect()]
+    assert len(held) > 5 and max(held) < 3 * sum(held) / len(held)
+    by_length = packing.best_fit(many, F.lit(300), (512, 1024), 40_000)
+    assert by_length.count() == many.count()
+    held = [r[1] for r in by_length.groupBy(F.shiftright("bin_id", 35).alias("g")).agg(F.sum("length")).collect()]
+    assert len(held) > 5 and max(held) < 3 * sum(held) / len(held)
+
+
+def test_bin_ids():
+    """Groups, chunks and bins have ids of their own, up to the largest; beyond, an error instead of equal ids."""
+    at = [(0, 256, 0), (1, 0, 0), (0, 0, 2**18 - 1), (0, 1, 0), (0, 2**17 - 1, 0), (2**28 - 1, 2**17 - 1, 2**18 - 1)]
+    ids = [int(packing._bin_ids(g, c, np.array([b]))[0]) for g, c, b in at]
+    assert len(set(ids)) == len(ids) and min(ids) >= 0 and max(ids) == 2**63 - 1
+    for g, c, b in [(2**28, 0, 0), (0, 2**17, 0), (0, 0, 2**18)]:
+        with pytest.raises(ValueError):
+            packing._bin_ids(g, c, np.array([b]))
+
+
 def test_packing_by_length(spark, docs, odd, none):
     tokens = F.coalesce(F.size(F.split("text", " ")), F.lit(0)) + 1
     for df in (docs, odd):
