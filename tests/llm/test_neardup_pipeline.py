@@ -98,6 +98,33 @@ def test_one_document_of_several_texts(spark):
     assert len(got) == len(rows)
 
 
+def test_repeated_rows_are_one_in_cells(spark, monkeypatch):
+    """Rows of one document and text don't fill a cell, however many; the document's other text and its copies are linked."""
+    sizes = spark.sparkContext.accumulator(0)
+    whole = neardup.spread_links
+
+    def counting(ids, linked):
+        sizes.add(len(ids))
+        return whole(ids, linked)
+
+    monkeypatch.setattr(neardup, "spread_links", counting)
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a)] * 3000 + [(5, b), (7, a + " more"), (3, b + " more")] + [(6, a.upper())] * 50
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(5, 3), (7, 3), (3, 3), (6, 3)}
+    assert 0 < sizes.value < 300
+
+
+def test_parts_of_a_large_family_meet(monkeypatch, spark):
+    """Two kinds of texts in one bucket-made family, linked by one member of a small part: rows dealt grow with members."""
+    monkeypatch.setattr(neardup, "FAMILY_BLOCK", 8)
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base + [f"z{i}"])) for i in range(100)]
+    rows += [(500 + i, " ".join(base[4 * i :] + [f"y{i}x{k}" for k in range(4 * i)])) for i in range(8)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_boundary(spark):
     # 12 and 16 shingles, 12 in common: exactly 0.75; and one less
     w = [f"t{i}" for i in range(20)]
