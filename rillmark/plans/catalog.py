@@ -26,6 +26,9 @@ from rillmark.workspace import new_path
 #: The ledger that queries hold the stream against: partition 0 completed, 1 in progress, 2 unknown.
 LEDGER = [(0, 1000, 1999, 2), (1, 500, 999, 1)]
 
+#: Batches that a stream is cut into, if messages of a partition in each are within these bounds.
+BATCHES, BATCH_MESSAGES = 3, (1 << 14, 1 << 20)
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -417,7 +420,7 @@ def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise _Crash(step)
 
     job = Ingest(spark, ledger, sink, crash)
-    most = 1 << 14  # several batches
+    most = topic.batch_messages(log, BATCHES, *BATCH_MESSAGES)
     try:
         job.catch_up(log, f"{root}/checkpoint", most)
     except Exception as e:  # Spark wraps what the batch raised

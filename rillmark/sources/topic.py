@@ -22,8 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from rillmark.model import BATCH_SIZE, TOPIC
 
-#: Messages of a segment at most.
-SEGMENT = 1 << 14
+#: Messages of a segment at most, and those of a batch that a task reads at most.
+SEGMENT, READ = 1 << 14, 1 << 16
 
 
 def local(path: str) -> str:
@@ -63,6 +63,12 @@ def end_offset(root: str, partition: int) -> int:
     return found[-1][0] + found[-1][1] if found else 0
 
 
+def batch_messages(root: str, batches: int, least: int, most: int) -> int:
+    """How many messages of a partition a batch has to take for the log to be so many batches; least to most."""
+    longest = max((end_offset(root, p) for p in partitions(root)), default=0)
+    return max(least, min(most, -(-longest // batches)))
+
+
 def append(root: str, partition: int, messages: list[str]) -> tuple[int, int]:
     """Appends messages as segments and returns their range. One producer a partition."""
     first = end_offset(root, partition)
@@ -160,7 +166,13 @@ class _Reader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         # what is read now is where the next cut begins, also after a restart
         self.at = {int(p): o for p, o in end.items()}
-        return [_Slice(int(p), start.get(p, self.start.get(int(p), 0)), o) for p, o in end.items() if o > start.get(p, self.start.get(int(p), 0))]
+        found = []
+        for p, o in end.items():
+            first = start.get(p, self.start.get(int(p), 0))
+            # a long range is read by several tasks, cut where segments begin
+            cuts = [first, *range((first // READ + 1) * READ, o, READ), o]
+            found += [_Slice(int(p), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+        return found
 
     def read(self, partition: _Slice):
         yield from _lines(self.root, partition.partition, partition.start, partition.end)

@@ -182,12 +182,18 @@ class Ingest:
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="0 seconds")).start()
 
     def catch_up(self, root: str, checkpoint: str, most: int = BATCH_SIZE, timeout: float = 600.0) -> None:
-        """Ingests until the ledger has all that the topic holds now, then stops."""
+        """Ingests until the ledger has all that the topic holds now, then stops; gives up after timeout seconds in which
+        the ledger hasn't changed."""
         ends = {p: topic.end_offset(root, p) for p in topic.partitions(root)}
         query = self.start(root, checkpoint, most)
-        until = time.monotonic() + timeout
+        seen, until = None, 0.0
         try:
-            while not all(each(lambda pe: self._done(*pe), list(ends.items()))):
+            while True:
+                states = each(self.ledger.get, list(ends))
+                if all(self._done(s, end) for s, end in zip(states, ends.values(), strict=True)):
+                    break
+                if states != seen:
+                    seen, until = states, time.monotonic() + timeout
                 if (error := query.exception()) is not None:
                     raise error
                 if not query.isActive or time.monotonic() > until:
@@ -197,6 +203,5 @@ class Ingest:
         finally:
             query.stop()
 
-    def _done(self, partition: int, end: int) -> bool:
-        s = self.ledger.get(partition)
+    def _done(self, s: RangeState, end: int) -> bool:
         return end == 0 or (s.state is State.COMPLETED and s.max_offset + 1 >= end)

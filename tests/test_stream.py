@@ -5,6 +5,7 @@ import logging
 import random
 import threading
 import time
+import types
 
 import pytest
 
@@ -14,6 +15,7 @@ from rillmark.functions import wire
 from rillmark.model import RangeState, State
 from rillmark.operators import verify
 from rillmark.sources import topic
+from rillmark.streaming import ingest
 from rillmark.streaming.ingest import Ingest, InvalidRange, LeaseLost, transient
 from rillmark.streaming.lease import FileLease
 from rillmark.streaming.ledger import Fenced, FileLedger
@@ -335,3 +337,40 @@ def test_soak(spark, tmp_path):
     checks = verify.invariants(sink.transactions(), sink.reports(), verify.totals(produced)).collect()
     assert all(c.ok for c in checks)
     assert len(faults) >= 2
+
+
+def test_a_batch_is_read_by_several_tasks(tmp_path, monkeypatch):
+    root = f"{tmp_path}/topic"
+    monkeypatch.setattr(topic, "READ", 4)
+    topic.append(root, 0, [str(i) for i in range(15)])
+    reader = topic._Reader({"path": root, "startoffsets": '{"0": 2}'})
+    found = reader.partitions({"0": 2}, {"0": 13})
+    assert [(s.start, s.end) for s in found] == [(2, 4), (4, 8), (8, 12), (12, 13)]
+    assert [o for s in found for _, o, _ in reader.read(s)] == list(range(2, 13))
+    assert reader.partitions({"0": 13}, {"0": 13}) == []
+
+
+def test_batches_grow_with_the_log(tmp_path):
+    root = f"{tmp_path}/topic"
+    topic.append(root, 0, ["x"] * 100)
+    topic.append(root, 1, ["x"] * 7)
+    assert topic.batch_messages(root, 3, 10, 1000) == 34
+    assert topic.batch_messages(root, 3, 50, 1000) == 50
+    assert topic.batch_messages(root, 3, 10, 20) == 20
+    assert topic.batch_messages(f"{tmp_path}/none", 3, 10, 20) == 10
+
+
+def test_catching_up_may_take_long_while_it_goes_on(spark, tmp_path, monkeypatch):
+    """Each of three batches takes 40 s of this clock; only a minute without any progress ends the run."""
+    root, late = f"{tmp_path}/topic", [0.0]
+    topic.produce(wire.encode(rows(spark, 30)), root)
+
+    def slow(step):
+        if step == "after COMPLETED":
+            late[0] += 40.0
+            time.sleep(1.0)
+
+    monkeypatch.setattr(ingest, "time", types.SimpleNamespace(monotonic=lambda: late[0], sleep=time.sleep))
+    job, ledger, sink = parts(spark, tmp_path, slow)
+    job.catch_up(root, f"{tmp_path}/checkpoint", most=10, timeout=60)
+    holds(rows(spark, 30), sink)
