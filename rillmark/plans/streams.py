@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.model import BATCH_SIZE, canonical
+from rillmark.model import BATCH_SIZE, canonical, events
 from rillmark.operators import ranges as R
 from rillmark.plans.catalog import query
 from rillmark.sources import slices
@@ -20,6 +20,10 @@ SLICE_ROWS, SLICES = 1 << 20, 6
 _SEEN = "date date, transaction_id string, user_id string, product_id string, amount bigint, partition_id bigint, offset bigint"
 
 
+def _count(spark: SparkSession, sf_dir: str) -> int:
+    return events(spark, sf_dir).count()
+
+
 class _Crash(RuntimeError):
     pass
 
@@ -31,7 +35,7 @@ def report_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = canonical(spark, sf_dir)
     last = rows.agg(F.max("offset")).head()[0] or 0
     per = max(1, min(SLICE_ROWS, -(-(last + 1) // SLICES)))
-    slices.stage(rows.withColumn("slice", F.floor(F.col("offset") / per)), "slice", f"{root}/in")
+    slices.stage(rows.withColumn("slice", F.floor(F.col("offset") / per)), "slice", f"{root}/in", slices.files_of(3 * per))
 
     def crash(step: str) -> None:
         if step == "after write":
@@ -59,9 +63,11 @@ def gather_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = R.range_state(rows, "partition_id", "batch").select("partition_id", "batch", F.col("min_offset").alias("stored_min"), F.col("max_offset").alias("stored_max"), F.col("state").alias("stored_state"))
     known = rows.join(stored, ["partition_id", "batch"]).withColumn("class", F.lit(R.OLD))
     place = F.col("offset") % 10
-    parts = [known.where(p).withColumns({"amount": F.col("amount") + k, "slice": F.lit(k)}) for k, p in enumerate((place < 5, place.between(3, 8), place >= 7))]
-    slices.stage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "slice", f"{root}/in")
-    schema = parts[0].drop("slice").schema
+    kinds = F.filter(F.array(*[F.when(p, F.lit(k)) for k, p in enumerate((place < 5, place.between(3, 8), place >= 7))]), lambda k: k.isNotNull())
+    parts = known.withColumn("slice", F.explode(kinds)).withColumn("amount", F.col("amount") + F.col("slice"))
+    # a part has six tenths of the rows at most
+    slices.stage(parts, "slice", f"{root}/in", slices.files_of(_count(spark, sf_dir) * 6 // 10))
+    schema = parts.drop("slice").schema
     table = StreamTable(spark, f"{root}/out", ["partition_id", "offset"])
     found = gather(slices.stream(spark, f"{root}/in", schema), ["offset", "amount"]).where(F.col("kind") == WHOLE)
     table.run(found, "append", True).awaitTermination()
@@ -86,7 +92,7 @@ def _arriving(spark: SparkSession, sf_dir: str, root: str, latest: int = 72) ->
     rows = read.select(
         F.timestamp_micros(seconds).alias("ts"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("product_id"), F.round(F.col("value") * 100).cast("bigint").alias("amount"), F.floor((seconds / 1e6 + hours * 3600) / 432000).cast("bigint").alias("slice")
     )
-    slices.stage(rows, "slice", f"{root}/in")
+    slices.stage(rows, "slice", f"{root}/in", slices.files_of(_count(spark, sf_dir) // SLICES))
     return slices.stream(spark, f"{root}/in", "ts timestamp, user_id string, product_id string, amount bigint")
 
 

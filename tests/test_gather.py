@@ -1,13 +1,16 @@
 """Ranges in progress in keyed state."""
 
+import datetime as dt
+import os
 import time
 
+import numpy as np
 import pytest
 
 from rillmark.model import RANGES
 from rillmark.operators import ranges as R
 from rillmark.sources import slices
-from rillmark.streaming.gather import gather, joined
+from rillmark.streaming.gather import _outside, _runs, gather, joined
 from rillmark.streaming.live import rocksdb
 
 ROWS = "partition_id bigint, offset bigint, amount bigint"
@@ -78,3 +81,28 @@ def test_a_range_that_is_never_whole(spark, tmp_path):
         query.stop()
     assert [(r["partition_id"], r["min_offset"], r["max_offset"], r["missing"], r["offset"]) for r in sink.rows("incomplete")] == [(1, 0, 4, 3, None)]
     assert sorted((r["partition_id"], r["offset"]) for r in sink.rows("whole")) == [(2, 0), (2, 1)]
+
+
+def test_intervals_of_many_offsets():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        seen = r.choice(200, r.integers(1, 150), replace=False)
+        covered = _runs(seen)
+        assert covered == joined([[int(o), int(o)] for o in seen])
+        assert _outside(np.arange(-3, 210), covered).tolist() == [o not in set(seen.tolist()) for o in range(-3, 210)]
+    assert _outside(np.arange(3), []).all()
+
+
+def test_columns_of_other_kinds_and_nulls(spark, tmp_path):
+    """What is kept in state comes out as it went in, from a file of each of two parts of several files."""
+    schema = "partition_id bigint, offset bigint, amount bigint, name string, day date, class string, stored_min bigint, stored_max bigint, stored_state tinyint"
+    rows = [(0, o, None if o % 3 == 0 else o, None if o % 4 == 1 else f"n{o}", None if o == 7 else dt.date(2025, 3, 1 + o), R.OLD, 0, 9, 1) for o in range(10)]
+    root, sink = f"file://{tmp_path}", Sink()
+    made = spark.createDataFrame(rows, schema).selectExpr("*", "floor(offset / 6) as slice")
+    assert slices.stage(made, "slice", f"{root}/in", 3) == 2
+    folders = [d for d in os.listdir(f"{tmp_path}/in") if d.startswith("_slice=")]
+    assert len({len([f for f in os.listdir(f"{tmp_path}/in/{d}") if f.startswith("part-")]) for d in folders}) == 1
+    found = gather(slices.stream(spark, f"{root}/in", schema), ["offset", "amount", "name", "day"])
+    with rocksdb(spark, **{"spark.sql.shuffle.partitions": "2"}):
+        found.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((g["offset"], g["amount"], g["name"], g["day"]) for g in sink.rows("whole")) == [r[1:5] for r in rows]
