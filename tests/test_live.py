@@ -51,6 +51,21 @@ def test_slices_come_in_order(spark, tmp_path):
     assert seen == [[k] for k in range(n)] and n > 3
 
 
+def test_slices_of_several_files_are_whole_batches(spark, tmp_path):
+    """The last slice has a single row, and so fewer files than the others: it gets some without rows."""
+    path, seen = f"file://{tmp_path}/in", []
+    rows = canonical(spark, SF).where("partition_id = 0 and offset <= 120")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert slices.stage(rows.withColumn("slice", F.floor(F.col("offset") / 60)), "slice", path, 3) == 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [len(list((tmp_path / "in" / f"_slice={k}").glob("part-*"))) for k in range(3)]
+    assert files[0] > 1 and len(set(files)) == 1
+    slices.stream(spark, path, SCHEMA).writeStream.foreachBatch(lambda d, i: seen.append(sorted(r[0] for r in d.select("offset").collect()))).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    assert seen == [list(range(60)), list(range(60, 120)), [120]]
+
+
 @pytest.mark.parametrize("step", ["before write", "after write"])
 def test_crash_and_restart(spark, tmp_path, step):
     rows, n, stream = staged(spark, f"file://{tmp_path}/in")
