@@ -56,7 +56,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(plain).where("kept and doc_id is not null")
     keep = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     once = plain.join(keep.where("n = 1"), "doc_id", "left_semi").select(*plain.columns)
-    rows = plain.join(keep.where("n > 1"), "doc_id", "left_semi")
+    # few or none, and stored by themselves: Spark sees that, and doesn't move all texts once more for them
+    again = stored(keep.where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return _named(once.unionByName(plain.where("doc_id is null")), docs)
+    rows = plain.join(again, "doc_id", "left_semi")
     columns = [f"`{c}`" for c in plain.columns]
     order = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, (_, kind) in zip(columns, plain.dtypes, strict=True)]
     least = rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_r")).select("_r.*")
