@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmark.llm.bpe import byte_alphabet, read_spec
-from rillmark.llm.common import pieces, release, small_batches, stored
+from rillmark.llm.common import Pool, pieces, ragged, release, small_batches, stored
 
 #: Bytes of text that are tokenised at once; words, and tokens of theirs, that a worker remembers; words that are tokenised as one text.
 PIECE, WORDS, TOKENS, TOGETHER = 1 << 20, 400_000, 4_000_000, 512
@@ -34,28 +34,6 @@ _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 _INDEX = (1 << 31) - 1
 
 
-def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... size[0] of them, then those of begin[1], ..."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
-class _Pool:
-    """Numbers that are appended to, in an array that doubles."""
-
-    def __init__(self, kind: type) -> None:
-        self.held, self.n = np.zeros(1 << 12, kind), 0
-
-    def add(self, values: np.ndarray) -> None:
-        if self.n + len(values) > len(self.held):
-            self.held = np.concatenate((self.held[: self.n], np.zeros(max(len(self.held), len(values)), self.held.dtype)))
-        self.held[self.n : self.n + len(values)] = values
-        self.n += len(values)
-
-    @property
-    def values(self) -> np.ndarray:
-        return self.held[: self.n]
-
-
 class Tokenizers:
     """Both tokenizers, and what they made of the words seen so far."""
 
@@ -87,9 +65,9 @@ class Tokenizers:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.width, self.fine = _Pool(np.int32), _Pool(bool)
+        self.width, self.fine = Pool(np.int32), Pool(bool)
         # of each tokenizer: tokens of a word, where they begin, ids, and ends within the word
-        self.made = [(_Pool(np.int32), _Pool(np.int64), _Pool(np.int32), _Pool(np.int32)) for _ in self.vocabularies]
+        self.made = [(Pool(np.int32), Pool(np.int64), Pool(np.int32), Pool(np.int32)) for _ in self.vocabularies]
 
     def _add(self, new: list[str]) -> bool:
         """Tokenises new words. Many go as one text, as words are independent; ends tell where the next one begins. False, and
@@ -106,7 +84,7 @@ class Tokenizers:
         for (every, begin), per_text in zip(self.vocabularies, (by_a, self.b.encode(texts, num_threads=1)), strict=True):
             ids = np.fromiter(chain.from_iterable(per_text), np.int64)
             size = begin[ids + 1] - begin[ids]
-            if not np.array_equal(every[_ragged(begin[ids], size)], raw):
+            if not np.array_equal(every[ragged(begin[ids], size)], raw):
                 return False
             found.append((ids, np.cumsum(size)))
         for (ids, ends), (counts, starts, held, within) in zip(found, self.made, strict=True):
@@ -182,7 +160,7 @@ class Tokenizers:
         out = []
         for counts, starts, held, within in self.made:
             n = counts.values[at]
-            took = _ragged(starts.values[at], n)
+            took = ragged(starts.values[at], n)
             out.append((held.values[took], within.values[took] + np.repeat(begin, n), np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[first]))
         return out
 

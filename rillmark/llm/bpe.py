@@ -14,13 +14,15 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import pieces, small_batches
+from rillmark.llm.common import ARROW_BATCH_BYTES, Pool, pieces, ragged, small_batches
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 700_000
@@ -297,41 +299,63 @@ class LibraryEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_str(spec)
         self.special = {x["content"]: x["id"] for x in understood(spec)["added_tokens"]}
         self._specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self._known: dict[str, bytes] = {}
+        # the same model for pieces that are cut and in lower case already
+        self._cut = Tokenizer.from_str(spec)
+        self._cut.normalizer = normalizers.Sequence([])
+        self._cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        self._of_piece: dict[str, bytes] = {}
 
         ends = [t for t in self.library.get_vocab(with_added_tokens=False).items() if t[0].endswith("</w>")]
         self._ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self._ends[[i for _, i in ends]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        # each word's place, and there its number of ids and where they begin in held
+        self._place = {"": 0}
+        self._count, self._begin, self._held = Pool(np.int32), Pool(np.int64), Pool(np.uint32)
+        self._count.add(np.zeros(1))
+        self._begin.add(np.zeros(1))
 
     words = WordBpe.words
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Each word's ids. Many words go to the library as one text, which its white space separates.
+        """Each word's ids. Latin words are cut into lower-case pieces as the vocabulary does, and each piece is encoded once, many
+        as one text that white space separates; all other words go to the library whole, one by one.
 
-        The ids are cut after word-end tokens, of which each piece of a word has one. The number of pieces is
-        known for Latin words; should a text have another number of word ends than
-        expected, its words go one by one, as all others do.
+        The ids are cut after word-end tokens, of which each piece has one; should a text have another number of them, the words
+        of its pieces go one by one as well.
         """
         made: dict[str, bytes] = {}
         plain, odd = [], []
         for w in words:
             (plain if _LATIN.fullmatch(w) and "<|" not in w else odd).append(w)
-        for a in range(0, len(plain), 512):
-            some = plain[a : a + 512]
-            count = [1 if w.isalpha() else len(_LATIN_PIECE.findall(w.lower())) for w in some]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        if len(self._of_piece) > REMEMBERED:
+            self._of_piece.clear()
+        of = self._of_piece
+        whole = [w.lower() for w in plain if w.isalpha()]
+        cut_up = {w: _LATIN_PIECE.findall(w.lower()) for w in plain if not w.isalpha()}
+        new = [p for p in dict.fromkeys(chain(whole, chain.from_iterable(cut_up.values()))) if p not in of]
+        for a in range(0, len(new), 512):
+            some = new[a : a + 512]
+            ids = np.array(self._cut.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self._ends[ids])
-            if len(last) != sum(count):
-                odd += some
-                continue
-            cut = [0, *(4 * (last[np.cumsum(count) - 1] + 1)).tolist()]
-            data = ids.tobytes()
-            made.update(zip(some, [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+            if len(last) == len(some):
+                cut = [0, *(4 * (last + 1)).tolist()]
+                data = ids.tobytes()
+                of.update(zip(some, [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        get = of.get
+        made.update(zip((w for w in plain if w.isalpha()), map(get, whole), strict=True))
+        for w, ps in cut_up.items():
+            found = [*map(get, ps)]
+            made[w] = None if None in found else b"".join(found)
+        odd += [w for w in plain if made[w] is None]
         for a in range(0, len(odd), 1024):
             some = odd[a : a + 1024]
             for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -341,6 +365,42 @@ class LibraryEncoder:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         return cached_encode(texts, self.words, self.encode_words, self._known, self.special, self._specials)
 
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode_batch() of all texts as one array of numbers, and the n + 1 offsets of the texts. Each distinct word is looked up
+        once, in Arrow's dictionary of the batch."""
+        if len(self._place) > REMEMBERED:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        # texts that may hold special tokens, characters that Arrow takes for white space, or very many ids
+        alone = pc.or_(pc.match_substring_regex(texts, r"<\||[\x1c-\x1f]"), pc.greater(pc.binary_length(texts), ARROW_BATCH_BYTES))
+        lists = pc.utf8_split_whitespace(pc.if_else(alone, "", texts))
+        coded = lists.flatten().dictionary_encode()
+        some = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self._place.get, some, repeat(-1)), np.int64, len(some))
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            new = [some[i] for i in lacking.tolist()]
+            made = self.encode_words(new)
+            data = [made[w] for w in new]
+            count = np.fromiter(map(len, data), np.int64, len(data)) // 4
+            at[lacking] = np.arange(len(self._place), len(self._place) + len(new))
+            self._place.update(zip(new, at[lacking].tolist(), strict=True))
+            self._begin.add(self._held.n + np.cumsum(count) - count)
+            self._count.add(count)
+            self._held.add(np.frombuffer(b"".join(data), "<u4"))
+        at = at[coded.indices.to_numpy()]
+        count = self._count.values[at]
+        ids = self._held.values[ragged(self._begin.values[at], count)]
+        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))
+        offsets = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[offsets]
+        odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return ids, offsets
+        every = np.split(ids, offsets[1:-1])
+        for i, x in zip(odd.tolist(), self.encode_batch(texts.take(pa.array(odd)).to_pylist()), strict=True):
+            every[i] = np.frombuffer(x, "<u4")
+        return np.concatenate(every), np.concatenate(([0], np.cumsum([len(x) for x in every])))
+
 
 _made: dict[tuple[str, str], WordBpe | LibraryEncoder] = {}
 

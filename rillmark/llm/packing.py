@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.bpe import LibraryEncoder, encoder, read_spec
-from rillmark.llm.common import pieces, release, small_batches, stored, work_path
+from rillmark.llm.common import pieces, ragged, release, small_batches, stored, work_path
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Tokens that a bin costs besides its length.
@@ -188,20 +188,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, most: int, end_id: int =
         kind = id_kind(bpe.library.get_vocab_size(with_added_tokens=True), end_id)
         for whole in batches:
             for batch in pieces(whole, "text"):
-                doc, start, length, data, copies = [], [], [], [], []
-                for i, n, x in zip(batch.column("id").to_pylist(), batch.column("copies").to_pylist(), bpe.encode_batch(batch.column("text").to_pylist()), strict=True):
-                    ids = np.append(np.frombuffer(x, "<u4"), end_id).astype(kind)
-                    for a in range(0, len(ids), most):
-                        part = ids[a : a + most]
-                        doc.append(i)
-                        start.append(a)
-                        length.append(len(part))
-                        data.append(part.tobytes())
-                        copies.append(n)
-                for a in range(0, len(doc), 1024):
-                    b = a + 1024
-                    columns = [pa.array(c[a:b], pa.int64()) for c in (doc, start, length)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(data[a:b], pa.binary()), pa.array(copies[a:b], pa.int64())], names=["doc_id", "start", "length", "ids", "copies"])
+                ids, offsets = bpe.encode_flat(batch.column("text"))
+                ids = np.insert(ids, offsets[1:], end_id).astype(kind)
+                n = np.diff(offsets) + 1
+                # of each piece: its row, its start in the text, and its end among all ids
+                row = np.repeat(np.arange(len(n)), -(-n // most))
+                start = most * ragged(np.zeros(len(n), np.int64), -(-n // most))
+                length = np.minimum(most, n[row] - start)
+                ends = np.concatenate(([0], np.cumsum(length)))
+                for a in range(0, len(row), 1024):
+                    some = slice(a, a + 1024)
+                    cuts = ends[a : a + 1025]
+                    data = pa.py_buffer(np.ascontiguousarray(ids[cuts[0] : cuts[-1]]))
+                    places = pa.py_buffer(((cuts - cuts[0]) * ids.itemsize).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(pa.array(row[some])), pa.array(start[some]), pa.array(length[some]), pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, places, data]), batch.column("copies").take(pa.array(row[some]))],
+                        names=["doc_id", "start", "length", "ids", "copies"],
+                    )
         release()
 
     return _each_copy(_counted(docs, id_column, text_column).mapInArrow(run, kinds))

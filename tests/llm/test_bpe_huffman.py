@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,3 +160,16 @@ def test_files_are_in_order_of_id(spark, tmp_path):
     assert np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() == [r.start for r in got]
     order = [-(2**63) if r.doc_id is None else r.doc_id for r in got]
     assert order == sorted(order)
+
+
+def test_flat_ids_of_batches():
+    """encode_flat() gives the library's ids, whatever stands between words, over batches that share words."""
+    space = "".join(f"a{chr(c)}b" for c in range(0x3100) if not 0xD800 <= c < 0xE000)
+    some = [space[k : k + 90] for k in range(0, len(space), 90)]
+    texts = [None, "", " ", "\x1c", "a\x1fb  c", *ODD, *some, "one<|two|> three", *(f"x {s} y" for s in WORDS.special), " lead", "trail ", "Word word WORD don't", " end "]
+    for a in (0, 7, 0):
+        got, offsets = WORDS.encode_flat(pa.array(texts[a:], pa.string()))
+        assert len(offsets) == len(texts[a:]) + 1
+        for t, x, y in zip(texts[a:], offsets[:-1], offsets[1:], strict=True):
+            assert got[x:y].tolist() == LIBRARY.encode(t or "", add_special_tokens=False).ids, t
+    assert WORDS.encode_flat(pa.array([], pa.string()))[1].tolist() == [0]
