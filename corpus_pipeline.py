@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm import langid, neardup, packing, quality
-from rillmark.llm.common import stored, table
+from rillmark.llm.common import marked, stored, table
 from rillmark.llm.queries import tokenizer_path
 
 #: A language prediction below this is no language that was learnt.
@@ -53,14 +53,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the least doc_id. Of rows of one doc_id the least one stays, by all
     columns in order, those of kinds without an order (maps) by their JSON; rows without doc_id all stay."""
     plain = _plain(docs)
-    found = neardup.near_duplicates(plain).where("kept and doc_id is not null")
-    keep = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    once = plain.join(keep.where("n = 1"), "doc_id", "left_semi").select(*plain.columns)
-    rows = plain.join(keep.where("n > 1"), "doc_id", "left_semi")
+    found = neardup.near_duplicates(plain).where("doc_id is not null")
+    # most documents are kept and have one row: texts of others alone are dealt
+    other = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept")
+    other = stored(other, "other")
+    flagged = marked(plain, other)
+    sure = flagged.where("doc_id is null or not _may").drop("_may")
+    maybe = flagged.where("doc_id is not null and _may").drop("_may")
+    once = maybe.join(other, "doc_id", "left_anti").select(*sure.columns)
+    rows = maybe.join(other.where("kept"), "doc_id", "left_semi")
     columns = [f"`{c}`" for c in plain.columns]
     order = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, (_, kind) in zip(columns, plain.dtypes, strict=True)]
     least = rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_r")).select("_r.*")
-    return _named(once.unionByName(least).unionByName(plain.where("doc_id is null")), docs)
+    return _named(sure.unionByName(once).unionByName(least), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

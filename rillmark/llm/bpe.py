@@ -309,7 +309,6 @@ class LibraryEncoder:
         self._cut = Tokenizer.from_str(spec)
         self._cut.normalizer = normalizers.Sequence([])
         self._cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
-        self._of_piece: dict[str, bytes] = {}
 
         ends = [t for t in self.library.get_vocab(with_added_tokens=False).items() if t[0].endswith("</w>")]
         self._ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
@@ -336,12 +335,10 @@ class LibraryEncoder:
         plain, odd = [], []
         for w in words:
             (plain if _LATIN.fullmatch(w) and "<|" not in w else odd).append(w)
-        if len(self._of_piece) > REMEMBERED:
-            self._of_piece.clear()
-        of = self._of_piece
+        of: dict[str, bytes] = {}
         whole = [w.lower() for w in plain if w.isalpha()]
         cut_up = {w: _LATIN_PIECE.findall(w.lower()) for w in plain if not w.isalpha()}
-        new = [p for p in dict.fromkeys(chain(whole, chain.from_iterable(cut_up.values()))) if p not in of]
+        new = list(dict.fromkeys(chain(whole, chain.from_iterable(cut_up.values()))))
         for a in range(0, len(new), 512):
             some = new[a : a + 512]
             ids = np.array(self._cut.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")

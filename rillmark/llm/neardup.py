@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import flat, mixed, pieces, shingles, small_batches, stored, words
+from rillmark.llm.common import flat, marked, mixed, pieces, shingles, small_batches, stored, words
 from rillmark.llm.urlfilter import components
 
 SHINGLE, PERCENT = 5, 75
@@ -274,11 +274,12 @@ def candidate_edges(heads: DataFrame, margin: float = MARGIN) -> DataFrame:
     return connected(members, several, "key", lambda r: r.join(heads.select("doc_id", "signature"), "doc_id"), compare).distinct()
 
 
-def whole_texts(docs: DataFrame, repeated: bool, id_column: str, text_column: str) -> Callable[[DataFrame], DataFrame]:
+def whole_texts(docs: DataFrame, wanted: DataFrame, repeated: bool, id_column: str, text_column: str) -> Callable[[DataFrame], DataFrame]:
     """A function that adds text to rows of doc_id, text_key and repeated. Rows of one document and text that repeat are made
-    one, before they are dealt."""
+    one, before they are dealt. wanted has all doc_id that it may be asked for: few other texts are dealt."""
     key = ["doc_id", "text_key"]
     texts = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_key"), F.col(text_column).alias("text"))
+    texts = marked(texts, wanted).where("_may").drop("_may")
 
     def load(rows: DataFrame) -> DataFrame:
         if not repeated:
@@ -331,7 +332,7 @@ def confirmed_edges(docs: DataFrame, heads: DataFrame, family: DataFrame, id_col
 
         return linked
 
-    load = whole_texts(docs, not heads.where("repeated").isEmpty(), id_column, text_column)
+    load = whole_texts(docs, sized, not heads.where("repeated").isEmpty(), id_column, text_column)
     return connected(lambda g: sized.drop("n_shingles").join(g, "family"), groups, "family", load, compare).distinct()
 
 

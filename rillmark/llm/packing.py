@@ -25,6 +25,8 @@ CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 #: Text bytes, or tokens where lengths are given, that a group has about; and tokens that are packed at once at most.
 GROUP_BYTES, GROUP_TOKENS, MOST_TOKENS = 512 << 10, 192 << 10, 4 << 20
+#: Text bytes that are encoded at once, about.
+ENCODED_BYTES = 1 << 20
 END_ID = 1
 
 
@@ -187,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, most: int, end_id: int =
         bpe = encoder(spec.value, LibraryEncoder)
         kind = id_kind(bpe.library.get_vocab_size(with_added_tokens=True), end_id)
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", ENCODED_BYTES):
                 ids, offsets = bpe.encode_flat(batch.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id).astype(kind)
                 n = np.diff(offsets) + 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillmark.llm import neardup
-from rillmark.llm.common import flat, shingles, words
+from rillmark.llm.common import flat, marked, shingles, words
 from rillmark.llm.neardup import near_duplicates
 
 from .conftest import SF
@@ -214,3 +214,17 @@ def test_pipeline_carries_all_columns(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         plain = stage(spark, plain, SF)
     assert sorted(r.doc_id for r in plain.collect()) == sorted(r["doc_id"] for r in got)
+
+
+def test_few_others_are_marked(spark, docs):
+    """All ids that are looked for, whatever their sign or kind, and few others: only such rows' texts are dealt."""
+    ids = spark.range(-30_000, 30_000, 7).toDF("doc_id")
+    rows = spark.range(-30_000, 30_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("a.b")).union(spark.sql("SELECT NULL, 'x'"))
+    got = marked(rows, ids)
+    assert got.columns == ["doc_id", "a.b", "_may"] and got.count() == 60_001
+    may = {r.doc_id for r in got.where("_may").collect()}
+    assert may >= set(range(-30_000, 30_000, 7)) and len(may) < 60_000 * (1 / 7 + 0.1)
+    assert marked(rows, ids.limit(0)).where("_may").count() == 0
+    load = neardup.whole_texts(docs, docs.where("doc_id < 3").select("doc_id"), False, "doc_id", "text")
+    every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lit(False).alias("repeated"))
+    assert {0, 1, 2} & {r.doc_id for r in docs.collect()} <= {r.doc_id for r in load(every).collect()} and load(every).count() < docs.count() / 2
