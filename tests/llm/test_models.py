@@ -2,6 +2,7 @@ import collections
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -133,6 +134,25 @@ def test_katz_counts_beyond_32_bits():
     assert [katz.unpacked(t[4]).tolist() for t in katz.answer_order([ask | {"block": 1}])] == [[]]
 
 
+@pytest.mark.parametrize("large", [[], [2**63, 2**63 + 1, 2**64 - 1]])
+def test_distinct_numbers(large):
+    """As np.unique() and a stable np.argsort() give them, also where numbers differ in their lowest bits alone."""
+    values = np.array([*np.random.default_rng(1).integers(0, 300, 1000), *large, *large], np.uint64)
+    want, where = np.unique(values, return_inverse=True)
+    got, at = katz.distinct(values)
+    assert got.tolist() == want.tolist() and at.tolist() == where.tolist()
+    assert katz.ordered(values).tolist() == np.argsort(values, kind="stable").tolist()
+    assert [len(x) for x in katz.distinct(values[:0])] == [0, 0]
+
+
+def test_katz_histories_by_numbers():
+    """A history of two words is asked for by their numbers, in 48 bits; by a hash only if these are large. The start isn't a word."""
+    most = int(katz._NUMBERED)
+    known, o = SimpleNamespace(number=np.array([0, 5, most, most - 1], np.uint64)), SimpleNamespace(hist=np.array([4, 0, 2, 1, 3]), word=np.array([1, 1, 0, 2, 3]))
+    hashed = int(katz._HASHED)
+    assert katz._Known._pairs(known, o).tolist() == [most << 24 | 5, 5, hashed, hashed, most - 1 << 24 | most - 1, hashed]
+
+
 def test_packed_numbers():
     for x in ([], [0, 0], [0, 255, 256, 2**40, 2**64 - 1], [5]):
         got = katz.unpacked(katz.packed(np.array(x, np.uint64)))
