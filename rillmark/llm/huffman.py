@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm.bpe import LibraryEncoder, encoder, read_spec
-from rillmark.llm.common import flat, free_shuffles, mixed, pieces, release, small_batches, stored, stored_by, word_spans, work_path
+from rillmark.llm.common import distinct, flat, free_shuffles, mixed, pieces, release, small_batches, stored, stored_by, word_spans, work_path
 
 LONGEST = 16
 #: Ids of a file's block, ids between checkpoints, text bytes of a block of words, and words that a partition stands for.
@@ -203,7 +203,7 @@ def word_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             base = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
             hashes, begin, end = (np.concatenate([h[i] + (b if i > 3 else 0) for h, b in zip(held, base, strict=True)]) for i in (3, 4, 5))
             raw = data.tobytes()
-            _, first, tokens = np.unique(_by_case(data, hashes, begin, end), return_index=True, return_inverse=True)
+            _, first, tokens = distinct(_by_case(data, hashes, begin, end))
             texts = b" ".join([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
             ids, count = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             row = (part << 32 | number, len(ids), len(tokens), ids.tobytes(), count.tobytes(), _press(texts), _press(tokens.astype("<u4").tobytes()))
@@ -266,7 +266,7 @@ def encoded_words(blocks: DataFrame, tokenizer_path: str, n: int) -> DataFrame:
         bpe = encoder(spec.value, LibraryEncoder)
         sent = [_unpress(r["texts"]) for r in rows]
         keys = [*map(_vocabulary, sent)]
-        distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        every, first, at = distinct(np.concatenate(keys))
         texts = [w for x in sent for w in x.split(b" ")]
         own = [texts[i].decode() for i in first.tolist()]
         made = bpe.encode_words(own)
@@ -274,7 +274,7 @@ def encoded_words(blocks: DataFrame, tokenizer_path: str, n: int) -> DataFrame:
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         ids = np.frombuffer(b"".join(coded), "<u4")
         begin = np.cumsum(size) - size
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(_unpress(r["counts"]), "<u4") for r in rows]), minlength=len(distinct))
+        total = np.bincount(at, weights=np.concatenate([np.frombuffer(_unpress(r["counts"]), "<u4") for r in rows]), minlength=len(every))
         per_id = np.bincount(ids, weights=np.repeat(total, size)).astype(np.int64)
         seen = np.flatnonzero(per_id)
         counts = np.concatenate((seen, per_id[seen])).astype("<i8").tobytes()

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import flat, free_shuffles, mixed, pieces, release, small_batches, stored, stored_by, words
+from rillmark.llm.common import distinct, flat, free_shuffles, mixed, ordered, pieces, release, small_batches, stored, stored_by, words
 
 ORDER = 3
 #: Text bytes of a block, tokens that a part of a table stands for, and tokens of a history from which it is spread.
@@ -88,29 +88,6 @@ def _filled(data: bytes, n: int) -> np.ndarray:
     return got if len(got) else np.zeros(n, np.int64)
 
 
-def ordered(values: np.ndarray) -> np.ndarray:
-    """As np.argsort(kind="stable") of whole numbers of 0 or more: they are sorted with their places in their lowest bits, as that is
-    several times as fast as sorting places. Should numbers differ in these bits alone, places are sorted."""
-    bits = np.uint64(max(len(values), 1).bit_length())
-    value, places = values.astype(np.uint64, copy=False), np.arange(len(values), dtype=np.uint64)
-    fits = value.max(initial=0) < np.uint64(1) << (np.uint64(64) - bits)
-    order = (np.sort((value << bits if fits else value >> bits << bits) | places) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    if not fits and ((found := value[order])[1:] < found[:-1]).any():
-        return np.argsort(values, kind="stable")
-    return order
-
-
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct whole numbers in order, and each one's place there, as np.unique() gives them."""
-    order = ordered(values)
-    found = values[order]
-    new = np.ones(len(found), bool)
-    np.not_equal(found[1:], found[:-1], out=new[1:])
-    at = np.empty(len(found), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return found[new], at
-
-
 #: What a document is for: learnt from, held out, or scored alone, as its id is null.
 LEARN, HELD_OUT, NO_ID = range(3)
 
@@ -186,7 +163,7 @@ class _Order:
         histories = np.concatenate((np.zeros(1, np.int64), at[:-1]))
         histories[b.first] = below
         size = len(b.vocabulary)
-        grams, self.at = distinct(histories * size + b.tokens)
+        grams, _, self.at = distinct(histories * size + b.tokens)
         self.hist, self.word = np.divmod(grams, size)
         self.lower = np.empty(len(grams), np.int64)
         self.lower[self.at] = at
@@ -386,7 +363,7 @@ def answer_words(rows: list[dict]) -> list[tuple]:
     """counts are the words' training counts, held all others, and sums their places in the part in order of frequency, which
     number them: frequent words have small numbers."""
     keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
-    every, at = distinct(np.concatenate(keys))
+    every, _, at = distinct(np.concatenate(keys))
     total, held = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     np.add.at(total, at, np.concatenate([_filled(r["own"], len(k)) for r, k in zip(rows, keys, strict=True)]))
     np.add.at(held, at, np.concatenate([_filled(r["held"], len(k)) for r, k in zip(rows, keys, strict=True)]))
@@ -438,8 +415,8 @@ def answer_order(rows: list[dict]) -> list[tuple]:
         held.append(_filled(r["held"], m))
         lower.append(_filled(r["lower"], m))
         told.append(_filled(r["told"], _SUMS * len(key)).reshape(_SUMS, -1))
-    histories, unit = distinct(np.concatenate(keys))
-    every, at = distinct(np.concatenate(grams))
+    histories, _, unit = distinct(np.concatenate(keys))
+    every, _, at = distinct(np.concatenate(grams))
     total, beside = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     np.add.at(total, at, np.concatenate(own))
     np.add.at(beside, at, np.concatenate(held))
