@@ -26,6 +26,8 @@ from rillmark.llm.common import ARROW_BATCH_BYTES, Pool, pieces, ragged, small_b
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 700_000
+#: Pieces of words, likewise: few, as most are in words that are remembered.
+PIECES = 150_000
 
 #: Unicode White_Space, which the vocabulary's normaliser collapses. str.split() would also split at
 #: U+001C to U+001F.
@@ -311,6 +313,7 @@ class LibraryEncoder:
         self._cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
 
         ends = [t for t in self.library.get_vocab(with_added_tokens=False).items() if t[0].endswith("</w>")]
+        self._of_piece: dict[str, bytes] = {}
         self._ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self._ends[[i for _, i in ends]] = True
         self._forget()
@@ -332,13 +335,18 @@ class LibraryEncoder:
         of its pieces go one by one as well.
         """
         made: dict[str, bytes] = {}
-        plain, odd = [], []
+        whole, mixed, odd = [], [], []
         for w in words:
-            (plain if _LATIN.fullmatch(w) and "<|" not in w else odd).append(w)
-        of: dict[str, bytes] = {}
-        whole = [w.lower() for w in plain if w.isalpha()]
-        cut_up = {w: _LATIN_PIECE.findall(w.lower()) for w in plain if not w.isalpha()}
-        new = list(dict.fromkeys(chain(whole, chain.from_iterable(cut_up.values()))))
+            if "<|" in w or not (w.isascii() or _LATIN.fullmatch(w)):
+                odd.append(w)
+            elif w.isalpha():
+                whole.append(w)
+            else:
+                mixed.append(w)
+        of = self._of_piece
+        lower = [w.lower() for w in whole]
+        cut_up = [_LATIN_PIECE.findall(w.lower()) for w in mixed]
+        new = [p for p in dict.fromkeys(chain(lower, chain.from_iterable(cut_up))) if p not in of]
         for a in range(0, len(new), 512):
             some = new[a : a + 512]
             ids = np.array(self._cut.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -347,12 +355,18 @@ class LibraryEncoder:
                 cut = [0, *(4 * (last + 1)).tolist()]
                 data = ids.tobytes()
                 of.update(zip(some, [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
-        get = of.get
-        made.update(zip((w for w in plain if w.isalpha()), map(get, whole), strict=True))
-        for w, ps in cut_up.items():
-            found = [*map(get, ps)]
-            made[w] = None if None in found else b"".join(found)
-        odd += [w for w in plain if made[w] is None]
+        if all(map(of.__contains__, new)):
+            get = of.__getitem__
+            made.update(zip(whole, map(get, lower), strict=True))
+            made.update((w, b"".join(map(get, ps))) for w, ps in zip(mixed, cut_up, strict=True))
+        else:
+            for w, ps in zip(chain(whole, mixed), chain(([p] for p in lower), cut_up), strict=True):
+                if None in (found := [*map(of.get, ps)]):
+                    odd.append(w)
+                else:
+                    made[w] = b"".join(found)
+        if len(of) > PIECES:
+            of.clear()
         for a in range(0, len(odd), 1024):
             some = odd[a : a + 1024]
             for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):

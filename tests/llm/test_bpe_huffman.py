@@ -173,3 +173,16 @@ def test_flat_ids_of_batches():
         for t, x, y in zip(texts[a:], offsets[:-1], offsets[1:], strict=True):
             assert got[x:y].tolist() == LIBRARY.encode(t or "", add_special_tokens=False).ids, t
     assert WORDS.encode_flat(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_pieces_are_remembered_within_bounds(monkeypatch):
+    """Pieces that words before had aren't encoded again, and a worker keeps no more than a number of them."""
+    from rillmark.llm import bpe as module
+
+    library = module.LibraryEncoder(module.read_spec(tokenizer_path()))
+    want = library.encode_words(["Stone,", "STONE", "wall"])
+    with monkeypatch.context() as m:
+        m.setattr(library, "_cut", None)  # nothing is left to encode
+        assert library.encode_words(["stone", "Wall,", "stone,"]) == {"stone": want["STONE"], "Wall,": want["wall"] + want["Stone,"][len(want["STONE"]) :], "stone,": want["Stone,"]}
+    monkeypatch.setattr(module, "PIECES", 2)
+    assert library.encode_words(["stone", "wall"]) == {"stone": want["STONE"], "wall": want["wall"]} and not library._of_piece
