@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,31 +56,46 @@ _ZSTD: dict[str, object] = {}
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers as zstd of their bytes, the lowest bytes of all first; bytes that all have 0 are left out."""
+    """Whole numbers as zstd of their bytes, the lowest bytes of all first; bytes that all have 0 are left out. While most are 0 or 1,
+    a bit each tells which aren't 0, and these go on less 1."""
     import zstandard
 
     values = np.ascontiguousarray(values.ravel(), "<u8")
+    n, masks = len(values), []
+    while len(masks) < 15 and values.any() and 5 * np.count_nonzero(values < 2) > 3 * len(values):
+        some = values > 0
+        masks.append(np.packbits(some))
+        values = values[some] - np.uint64(1)
     width = (int(values.max(initial=0)).bit_length() + 7) // 8
     every, planes = values.view(np.uint8).reshape(-1, 8), np.empty((width, len(values)), np.uint8)
     for k in range(width):
         planes[k] = every[:, k]
-    return bytes([width]) + _ZSTD.setdefault("c", zstandard.ZstdCompressor(level=3)).compress(planes.ravel())
+    head = bytes([len(masks) << 4 | width]) + (n.to_bytes(8, "little") if masks else b"")
+    return head + _ZSTD.setdefault("c", zstandard.ZstdCompressor(level=3)).compress(np.concatenate((*masks, planes.ravel())))
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """The numbers as unsigned 64-bit."""
     import zstandard
 
-    planes = np.frombuffer(_ZSTD.setdefault("d", zstandard.ZstdDecompressor()).decompress(data[1:]), np.uint8)
-    width = data[0]
-    if not width:
-        return np.zeros(0, np.uint64)
-    if width == 1:
-        return planes.astype(np.uint64)
-    out = np.zeros((planes.size // width, 8), np.uint8)
-    for k, plane in enumerate(planes.reshape(width, -1)):
-        out[:, k] = plane
-    return out.view("<u8").ravel()
+    levels, width = data[0] >> 4, data[0] & 15
+    planes = np.frombuffer(_ZSTD.setdefault("d", zstandard.ZstdDecompressor()).decompress(data[9 if levels else 1 :]), np.uint8)
+    masks, n = [], int.from_bytes(data[1:9], "little") if levels else 0
+    for _ in range(levels):
+        masks.append(np.unpackbits(planes[: -(-n // 8)], count=n).view(bool))
+        planes, n = planes[-(-n // 8) :], int(np.count_nonzero(masks[-1]))
+    if width > 1:
+        out = np.zeros((planes.size // width, 8), np.uint8)
+        for k, plane in enumerate(planes.reshape(width, -1)):
+            out[:, k] = plane
+        values = out.view("<u8").ravel()
+    else:
+        values = planes.astype(np.uint64) if width else np.zeros(n, np.uint64)
+    for some in reversed(masks):
+        wider = np.zeros(len(some), np.uint64)
+        wider[some] = values + np.uint64(1)
+        values = wider
+    return values
 
 
 def _filled(data: bytes, n: int) -> np.ndarray:
@@ -180,11 +196,6 @@ def _sums(hist: np.ndarray, count: np.ndarray, low: np.ndarray, size: int) -> np
     return out
 
 
-def _tokens(sums: np.ndarray) -> np.ndarray:
-    """The tokens after each history, from its sums."""
-    return (sums[:UNDISCOUNTED] * np.arange(1, UNDISCOUNTED + 1)[:, None]).sum(axis=0) + sums[UNDISCOUNTED]
-
-
 class _Units:
     """What an order's n-grams are asked for by: a unit is a history in one part, of several if it is hot. Everything is in
     order of part and unit's key, so that answers find their places again. closed histories and local n-grams are known."""
@@ -249,16 +260,13 @@ class _Known:
             count, everywhere, sums, lacks = o.own.copy(), o.every.copy(), np.zeros((_SUMS, len(units.order)), np.int64), np.zeros(len(units.order), bool)
             for part, a in _by_part(row[f"answers{k}"]).items():
                 some, grams = units.part(part)
-                count[grams] = _filled(a["counts"], len(grams))
-                everywhere[grams] = count[grams] + _filled(a["held"], len(grams))
+                count[grams] += _filled(a["counts"], len(grams))
+                everywhere[grams] += _filled(a["counts"], len(grams)) + _filled(a["held"], len(grams))
                 lacks[some] = _filled(a["lacks"], some.stop - some.start)
                 sums[:, some.start + np.flatnonzero(lacks[some])] = _filled(a["sums"], _SUMS * int(lacks[some].sum())).reshape(_SUMS, -1)
-            # a unit without sums: those of its n-grams and of what it was told
-            unit = np.repeat(np.arange(len(units.order)), units.runs)
-            by_self = np.flatnonzero(~lacks[unit])
-            mine = units.grams[by_self]
-            sums += _sums(unit[by_self], count[mine], self.counts[o.lower[mine]], len(units.order))
-            sums += np.where(lacks, 0, units.told)
+            # beside what it was answered, a unit has its n-grams and what it told
+            sums += _sums(np.repeat(np.arange(len(units.order)), units.runs), count[units.grams], self.counts[o.lower[units.grams]], len(units.order))
+            sums += units.told
             near = np.flatnonzero(units.closed[o.hist])
             whole = _sums(o.hist[near], o.own[near], self.counts[o.lower[near]], len(units.base))
             of = units.of[units.order]
@@ -296,7 +304,7 @@ def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ASK = "bucket int, block long, keys binary, runs binary, words binary, own binary, held binary, lower binary, told binary, facts binary"
-#: lacks says which units have sums; the others' follow from the counts.
+#: Counts and sums are what is beside the block's own and what follows from these; lacks says which units have such sums.
 _TELL = "bucket int, block long, counts binary, held binary, lacks binary, sums binary, facts binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
@@ -374,10 +382,12 @@ def answer_words(rows: list[dict]) -> list[tuple]:
     return [(r["bucket"], r["block"], packed(total[p]), packed(held[p]), b"", packed(place[p]), None if i else facts) for i, (r, p) in enumerate(zip(rows, each, strict=True))]
 
 
-def ask_order(known: DataFrame, k: int, n: int) -> DataFrame:
+def ask_order(known: DataFrame, k: int, n: int, last: bool = False) -> DataFrame:
     """Each block's n-grams of order k that it can't know, by part: keys are the units', in order and as differences; runs how
-    many n-grams each has; then of each n-gram its last word's number, its own count in training and beside it, and the
-    count of its shorter form; and told, the units' sums of local n-grams. facts are the counts of counts of what isn't asked."""
+    many n-grams each has; then of each n-gram its last word's number, its own count in training and beside it (which the last order
+    has no use for), and the count of its shorter form: for n-grams of two words, one for each last word; only for those
+    that the block has in training, as what is nowhere in training needs none. told are the units' sums of local n-grams,
+    and facts the counts of counts of what isn't asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
@@ -392,7 +402,11 @@ def ask_order(known: DataFrame, k: int, n: int) -> DataFrame:
                 if some.start == some.stop and part != home:
                     continue
                 steps = np.diff(units.key[some], prepend=np.uint64(0))
-                numbers = (known.number[o.word[grams]], o.own[grams], o.every[grams] - o.own[grams], known.counts[o.lower[grams]], units.told[:, some])
+                word, own = known.number[o.word[grams]], o.own[grams]
+                lower = known.counts[o.lower[grams[own > 0]]]
+                if k == 2:
+                    lower = lower[distinct(word[own > 0])[1]]
+                numbers = (word, own, own[:0] if last else o.every[grams] - own, lower, units.told[:, some])
                 rows.append((part, row["block"], packed(steps), packed(units.runs[some]), *map(packed, numbers), facts if part == home else None))
             yield from _in_parts(rows, _ASK)
             del known, o, units, rows
@@ -400,7 +414,9 @@ def ask_order(known: DataFrame, k: int, n: int) -> DataFrame:
     return known.mapInArrow(run, _ASK)
 
 
-def answer_order(rows: list[dict]) -> list[tuple]:
+def answer_order(rows: list[dict], by_word: bool = False, beside_own: bool = False) -> list[tuple]:
+    """by_word: counts of shorter forms come for each last word. beside_own: counts and sums are told without those that the block
+    has of its own, which are much smaller numbers; else they are told whole."""
     keys, grams, own, held, lower, every_run, told = [], [], [], [], [], [], []
     for r in rows:
         key = np.cumsum(unpacked(r["keys"]), dtype=np.uint64)
@@ -413,7 +429,9 @@ def answer_order(rows: list[dict]) -> list[tuple]:
         grams.append(mixed(np.repeat(key, runs) * _ODD + mixed(word)))
         own.append(_filled(r["own"], m))
         held.append(_filled(r["held"], m))
-        lower.append(_filled(r["lower"], m))
+        seen = np.flatnonzero(own[-1])
+        at = distinct(word[seen])[2] if by_word else np.arange(len(seen))
+        lower.append(_filled(r["lower"], int(at.max(initial=-1)) + 1)[at])
         told.append(_filled(r["told"], _SUMS * len(key)).reshape(_SUMS, -1))
     histories, _, unit = distinct(np.concatenate(keys))
     every, _, at = distinct(np.concatenate(grams))
@@ -421,7 +439,7 @@ def answer_order(rows: list[dict]) -> list[tuple]:
     np.add.at(total, at, np.concatenate(own))
     np.add.at(beside, at, np.concatenate(held))
     low, hist = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    low[at] = np.concatenate(lower)
+    low[at[np.concatenate(own) > 0]] = np.concatenate(lower)
     hist[at] = np.repeat(unit, np.concatenate(every_run))
     sums = _sums(hist, total, low, len(histories))
     for j, row in enumerate(np.concatenate(told, axis=1)):
@@ -433,13 +451,15 @@ def answer_order(rows: list[dict]) -> list[tuple]:
             facts = facts + np.frombuffer(r["facts"], "<i8")
     facts = facts.astype("<i8").tobytes()
     each, units = np.split(at, np.cumsum([len(g) for g in grams])[:-1]), np.split(unit, np.cumsum([len(k) for k in keys])[:-1])
-    tokens, out = _tokens(sums), []
-    for i, (r, p, u, runs, t) in enumerate(zip(rows, each, units, every_run, told, strict=True)):
+    out = []
+    for i, (r, p, u, runs, t, mine, others) in enumerate(zip(rows, each, units, every_run, told, own, held, strict=True)):
         # a block that has met all that follows a unit adds it up by itself
-        own_tokens = np.zeros(len(u), np.int64)
-        np.add.at(own_tokens, np.repeat(np.arange(len(u)), runs), total[p])
-        lacks = own_tokens + _tokens(t) != tokens[u]
-        out.append((r["bucket"], r["block"], packed(total[p]), packed(beside[p]), packed(lacks), packed(sums[:, u[lacks]]), None if i else facts))
+        rest = sums[:, u]
+        rest -= _sums(np.repeat(np.arange(len(u)), runs), total[p], low[p], len(u))
+        rest -= t
+        lacks = rest.any(axis=0)
+        numbers = (total[p] - mine, beside[p] - others, lacks, rest[:, lacks]) if beside_own else (total[p], beside[p], lacks, sums[:, u[lacks]])
+        out.append((r["bucket"], r["block"], *map(packed, numbers), None if i else facts))
     return out
 
 
@@ -544,7 +564,10 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24, -(-tokens // BUCKET_TOKENS))
     known, facts = blocks, []
     for k in range(1, order + 1):
-        told = _exchange(ask_words(blocks, n) if k == 1 else ask_order(known, k, n), n, answer_words if k == 1 else answer_order)
+        if k == 1:
+            told = _exchange(ask_words(blocks, n), n, answer_words)
+        else:
+            told = _exchange(ask_order(known, k, n, k == order), n, partial(answer_order, by_word=k == 2, beside_own=True))
         if k < order:
             # in buckets by block, as the blocks are: what comes later joins them without moving either
             told = stored_by(_gathered(told, k), f"answers{k}", "block")

@@ -158,6 +158,27 @@ def test_packed_numbers():
         assert got.tolist() == (x if any(x) else [])
 
 
+def test_packed_numbers_take_few_bits():
+    """Numbers of which most are 0 take less than a bit each."""
+    x = np.random.default_rng(1).choice(np.array([0, 0, 0, 0, 1, 2, 300], np.uint64), 40_000, p=[0.3, 0.3, 0.2, 0.1, 0.08, 0.015, 0.005])
+    for values in (x, x[x > 0], x.reshape(100, -1), np.arange(20, dtype=np.uint64), np.uint64([0, 1, 2**64 - 1, 0, 0])):
+        assert katz.unpacked(katz.packed(values)).tolist() == values.ravel().tolist()
+    assert len(katz.packed(x)) < 40_000 * 0.75 / 8
+
+
+def test_katz_tells_what_a_block_lacks():
+    """Two blocks share a bigram; each is told the other's part of it and of its history alone."""
+    one = {"bucket": 0, "keys": [7, 2], "runs": [2, 1], "words": [3, 9, 3], "own": [4, 0, 1], "held": [5, 1, 0], "lower": [20], "told": [1, *[0] * 23]}
+    two = {"bucket": 0, "keys": [7], "runs": [1], "words": [9], "own": [2], "held": [0], "lower": [8], "told": [0] * 12}
+    asks = [{k: v if k == "bucket" else katz.packed(np.array(v)) for k, v in x.items()} | {"facts": None, "block": b} for b, x in enumerate((one, two))]
+    first, second = ([katz.unpacked(x).tolist() for x in t[2:6]] for t in katz.answer_order(asks, by_word=True, beside_own=True))
+    # the first block has all that follows: its own, and with the count that it is told the other's bigram
+    assert first == [[0, 2, 0], [], [], []]
+    assert second == [[], [1], [1], [1, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 20]]
+    whole = katz.answer_order([a | {"lower": katz.packed(np.array(x))} for a, x in zip(asks, ([20, 20], [8]), strict=True)])
+    assert katz.unpacked(whole[1][2]).tolist() == [2] and katz.unpacked(whole[1][5]).tolist() == [1, 1, 0, 1, 0, 0, 0, 0, 0, 0, 0, 28]
+
+
 def test_katz_beats_the_base(spark):
     held = op10_katz_scores(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert held[0] > held[1]
