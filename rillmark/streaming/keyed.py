@@ -78,8 +78,8 @@ class KeyedTable:
 
     def _newest(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c not in self.key]
-        last = F.max_by(F.struct(*rest), VERSION)
-        return rows.groupBy(*self.key).agg(last.alias("_r")).select(*self.key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+        # column by column, as a key is once in a version: numbers are then kept in hash maps, without a sort by key
+        return rows.groupBy(*self.key).agg(*[F.max_by(c, VERSION).alias(c) for c in rest])
 
     def rows(self) -> DataFrame | None:
         """The newest row of each key; None before the first batch."""

@@ -124,3 +124,13 @@ def test_a_merge_that_ended_half_way(spark, tmp_path, monkeypatch):
     put(spark, again, 1, [(9, "a replay is left out")])
     put(spark, again, 2, [(2, "d")])
     assert {r.k: r.v for r in again.rows().collect()} == {1: "b", 2: "d"}
+
+
+def test_newest_rows_without_a_sort(spark, tmp_path):
+    """Numbers of a key are taken by hash aggregates; a newer null counts as well."""
+    table = KeyedTable(spark, f"file://{tmp_path}/t", ["k"])
+    for b, rows in enumerate(([("a", 1, 9), ("b", 2, 8)], [("a", None, 7), ("c", 3, None)])):
+        table.put(spark.createDataFrame(rows, "k string, amount bigint, offset bigint"), b)
+    assert sorted(tuple(r) for r in table.rows().collect()) == [("a", None, 7), ("b", 2, 8), ("c", 3, None)]
+    plan = table.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
